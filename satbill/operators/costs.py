@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,12 +57,16 @@ def usage_overage(usage: DataFrame, plans: DataFrame) -> DataFrame:
     )
 
 
-def modal_plan(usage: DataFrame, key: str) -> DataFrame:
-    """Most frequent non-blank plan per key; equal counts go to the first name."""
+def modal_plan(usage: DataFrame, key: str, weight: str | None = None) -> DataFrame:
+    """Most frequent non-blank plan per key; equal counts go to the first name.
+
+    ``weight`` names a record count when the input is already summed up.
+    """
+    size = F.sum(weight) if weight else F.count(F.lit(1))
     return (
         usage.filter(F.col(key).isNotNull() & blank_null("plan_name").isNotNull())
         .groupBy(key, "plan_name")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(size.alias("_n"))
         .groupBy(key)
         .agg(F.min(F.struct((-F.col("_n")).alias("rank"), "plan_name")).alias("_top"))
         .select(key, F.col("_top.plan_name").alias("plan_name"))
@@ -97,12 +102,17 @@ USAGE_SUMS = [
 
 
 def consolidated(usage: DataFrame, fees: DataFrame, plans: DataFrame, plan_fallback: bool = True) -> DataFrame:
-    """Usage and fee sides of every device, contract and month, with the best known plan.
+    """Usage and fee sides of every device, contract and month, with the best known plan."""
+    return consolidate(usage_overage(usage, plans), fees, plan_fallback)
+
+
+def consolidate(overage: DataFrame, fees: DataFrame, plan_fallback: bool = True) -> DataFrame:
+    """``consolidated`` from an overage table, which is all it needs of the raw usage.
 
     Both sides are aggregated to their join key before the full outer join, so no key is hot there.
     """
     left = (
-        usage_overage(usage, plans)
+        overage
         .groupBy("imei", "contract_id", norm_bill_month("bill_month").alias("bill_month"), "plan_name")
         .agg(*[F.sum(n).alias(n) for n in USAGE_SUMS], F.max("included_kb").alias("included_kb"))
         .alias("u")
@@ -122,7 +132,7 @@ def consolidated(usage: DataFrame, fees: DataFrame, plans: DataFrame, plan_fallb
     choices: list[Column] = [F.col("_own"), F.col("_fee")]
     if plan_fallback:
         for key in ("contract_id", "imei"):
-            modal = modal_plan(usage, key).select(
+            modal = modal_plan(overage, key, "record_count").select(
                 F.col(key).alias(f"_k_{key}"), blank_null("plan_name").alias(f"_by_{key}")
             )
             joined = joined.join(
@@ -166,9 +176,13 @@ def dedup_fees(fees: DataFrame) -> DataFrame:
 
 def fee_pivot(fees: DataFrame, trimmed: bool = False) -> DataFrame:
     """Fee kinds side by side per month, contract (``trimmed``: without trailing blanks) and device."""
+    return pivot_lines(dedup_fees(fees), trimmed)
+
+
+def pivot_lines(lines: DataFrame, trimmed: bool = False) -> DataFrame:
     flags = fee_flags("line")
     contract = F.rtrim("contract_id").alias("contract_id") if trimmed else F.col("contract_id")
-    return dedup_fees(fees).groupBy("bill_month", contract, "imei").agg(
+    return lines.groupBy("bill_month", contract, "imei").agg(
         *[sum_when(flags[k], "amount").alias(f"fee_{k}") for k in FEE_KINDS],
         F.sum("amount").alias("fees_total"),
     )
@@ -176,11 +190,14 @@ def fee_pivot(fees: DataFrame, trimmed: bool = False) -> DataFrame:
 
 def advance_by_month(fees: DataFrame, by: str = "device", trimmed: bool = False) -> DataFrame:
     """Advance charges by the month they were earned in (the month before the invoice)."""
+    return advance_lines(dedup_fees(fees), by, trimmed)
+
+
+def advance_lines(lines: DataFrame, by: str = "device", trimmed: bool = False) -> DataFrame:
     contract = F.rtrim("contract_id").alias("contract_id") if trimmed else F.col("contract_id")
     keys = [contract, F.col("imei")] if by == "device" else [contract]
     return (
-        dedup_fees(fees)
-        .filter(fee_flags("line")["advance"])
+        lines.filter(fee_flags("line")["advance"])
         .groupBy(*keys, shift_month("bill_month", -1).alias("earned_month"))
         .agg(F.sum("amount").alias("fee_advance"))
     )
@@ -227,9 +244,9 @@ def _with_info(df: DataFrame, info: DataFrame, agreements: DataFrame, trimmed: b
 
 
 def billing_report_main(
-    costs: DataFrame, fees: DataFrame, info: DataFrame, agreements: DataFrame
+    costs: DataFrame, lines: DataFrame, info: DataFrame, agreements: DataFrame
 ) -> DataFrame:
-    """Consolidated rows with service, fee and advance columns.
+    """Consolidated rows with service, fee (``lines``: distinct fee lines) and advance columns.
 
     The previous month's advance of a contract is shown once, on its first device, however many
     devices it had that month. That choice is an aggregate joined back on the report's own key.
@@ -245,11 +262,11 @@ def billing_report_main(
     keys = ["bill_month_key", "_c", "imei"]
 
     pivot = (
-        fee_pivot(fees, trimmed=True)
+        pivot_lines(lines, trimmed=True)
         .withColumnsRenamed({"bill_month": "bill_month_key", "contract_id": "_c"})
         .drop("fee_advance")
     )
-    current = advance_by_month(fees, "device", trimmed=True).select(
+    current = advance_lines(lines, "device", trimmed=True).select(
         shift_month("earned_month", 1).alias("bill_month_key"), F.col("contract_id").alias("_c"), "imei", "fee_advance"
     )
     first_device = (
@@ -258,7 +275,7 @@ def billing_report_main(
         .agg(F.min(F.struct(F.col("imei").isNull().alias("last"), "imei", "contract_id")).alias("_f"))
     )
     previous = (
-        advance_by_month(fees, "contract", trimmed=True)
+        advance_lines(lines, "contract", trimmed=True)
         .select(
             F.col("contract_id").alias("_c"), shift_month("earned_month", 2).alias("_m"),
             F.col("fee_advance").alias("fee_advance_previous"),
@@ -372,10 +389,19 @@ def billing_report_advance_only(
 def billing_report(
     usage: DataFrame, fees: DataFrame, plans: DataFrame, info: DataFrame, agreements: DataFrame,
     as_of: dt.date | str, plan_fallback: bool = True,
+    keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
 ) -> DataFrame:
-    """The monthly cost report: consolidated rows, then advances that have no row of their own."""
-    main = billing_report_main(consolidated(usage, fees, plans, plan_fallback), fees, info, agreements)
-    return main.unionByName(billing_report_advance_only(usage, fees, info, agreements, as_of))
+    """The monthly cost report: consolidated rows, then advances that have no row of their own.
+
+    ``keep`` may write the inputs that several branches share (``snapshot``): raw usage is then
+    scanned once and everything after it starts from its far smaller monthly sums.
+    """
+    overage = keep(usage_overage(usage, plans), "overage")
+    lines = keep(dedup_fees(fees), "fee_lines")
+    costs = keep(consolidate(overage, fees, plan_fallback), "costs")
+    info, agreements = keep(info, "info"), keep(agreements, "agreements")
+    main = billing_report_main(costs, lines, info, agreements)
+    return main.unionByName(billing_report_advance_only(overage, fees, info, agreements, as_of))
 
 
 def main_report(report: DataFrame, **filters) -> DataFrame:

@@ -7,9 +7,12 @@ start from the same rows; everything after the bindings is written twice and ind
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from satbill.sources.snapshot import snapshot
+
 BASE = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -17,6 +20,9 @@ BASE = [
 
 AS_OF = "2021-08-15"
 
+# Bound from several branches and read many times within one query: written once instead.
+KEPT = {"services", "services_ext", "contacts"}
+
 # HEXID(x): a 60-bit whole number from the MD5 of x; the two dialects spell the conversion differently.
 _HEXID = re.compile(r"HEXID\(([^()]*)\)")
 
@@ -309,11 +315,22 @@ class Tables:
             if name in BASE:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             elif name in BINDINGS:
-                self._made[name] = self.sql(f"SELECT * FROM {name}")
+                made = self.sql(f"SELECT * FROM {name}")
+                self._made[name] = self.keep(made, name) if name in KEPT else made
             else:
                 raise AttributeError(name)
         return self._made[name]
 
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a shared intermediate table and go on from there."""
+        return snapshot(df, name)
+
+    def once(self, name: str, make: Callable[[Tables], DataFrame]) -> DataFrame:
+        """A result several steps of one query read; made and written once."""
+        if name not in self._made:
+            self._made[name] = self.keep(make(self), name)
+        return self._made[name]
+
     def sql(self, text: str) -> DataFrame:
         full = with_tables(text, dialect="spark")
         used = {b: getattr(self, b) for b in BASE if "{" + b + "}" in full}

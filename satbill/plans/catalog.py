@@ -35,7 +35,7 @@ REGISTRY: dict[str, Query] = {}
 
 
 def register(name: str, columns: str, run: Callable[[Tables], DataFrame], sql: str | None = None) -> None:
-    """``columns``: names with a type letter: text (none), i whole, d decimal, b flag, D day, t time."""
+    """``columns``: names with a type letter: text (none), i whole, d decimal (4 digits), e decimal (6 digits), b flag, D day, t time."""
     pairs = tuple((part.split(":")[0], part.split(":")[1] if ":" in part else "s") for part in columns.split())
     assert name not in REGISTRY, name
     REGISTRY[name] = Query(name, pairs, run, sql)
@@ -47,6 +47,7 @@ def _shape_spark(df: DataFrame, columns) -> DataFrame:
         "s": lambda c: c.cast("string"),
         "i": lambda c: c.cast("bigint"),
         "d": lambda c: F.round(c.cast("double"), 4) + F.lit(0.0),
+        "e": lambda c: F.round(c.cast("double"), 6) + F.lit(0.0),
         "b": lambda c: c.cast("boolean"),
         "D": lambda c: F.date_format(c.cast("date"), "yyyy-MM-dd"),
         "t": lambda c: F.date_format(c.cast("timestamp"), "yyyy-MM-dd HH:mm:ss"),
@@ -59,6 +60,7 @@ def _shape_sql(name: str, kind: str) -> str:
         "s": f"CAST({name} AS VARCHAR) AS {name}",
         "i": f"CAST({name} AS BIGINT) AS {name}",
         "d": f"round(CAST({name} AS DOUBLE), 4) + 0.0 AS {name}",
+        "e": f"round(CAST({name} AS DOUBLE), 6) + 0.0 AS {name}",
         "b": f"CAST({name} AS BOOLEAN) AS {name}",
         "D": f"strftime(CAST({name} AS DATE), '%Y-%m-%d') AS {name}",
         "t": f"strftime(CAST({name} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS {name}",
@@ -66,7 +68,7 @@ def _shape_sql(name: str, kind: str) -> str:
 
 
 MODULES = [
-    "q_costs",
+    "q_costs", "q_revenue",
 
 ]
 

@@ -22,7 +22,15 @@ def consolidated(t: Tables) -> DataFrame:
 
 
 def report(t: Tables) -> DataFrame:
-    return costs.billing_report(t.usage, t.fees, t.plans, info(t), agreements(t), AS_OF)
+    return costs.billing_report(t.usage, t.fees, t.plans, info(t), agreements(t), AS_OF, keep=t.keep)
+
+
+def kept_report(t: Tables) -> DataFrame:
+    return t.once("report", report)
+
+
+def kept_info(t: Tables) -> DataFrame:
+    return t.once("service_info", info)
 
 
 register(
@@ -78,7 +86,8 @@ REPORT = (
     "fee_activation:d fee_advance:d fee_advance_previous:d fee_credit:d fee_credited:d fee_prorated:d fees_total:d"
 )
 register("e08_report_main", REPORT,
-         lambda t: costs.billing_report_main(consolidated(t), t.fees, info(t), agreements(t)), "SELECT * FROM x_report_main")
+         lambda t: costs.billing_report_main(
+             t.once("costs", consolidated), costs.dedup_fees(t.fees), info(t), agreements(t)), "SELECT * FROM x_report_main")
 register("e09_report_advance_only", REPORT,
          lambda t: costs.billing_report_advance_only(t.usage, t.fees, info(t), agreements(t), AS_OF), "SELECT * FROM x_report_advance")
 register("e10_billing_report", REPORT, report, "SELECT * FROM x_report")

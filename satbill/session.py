@@ -1,4 +1,4 @@
-"""Session settings the library relies on, and the checkpoint folder rule."""
+"""Session settings the library relies on, applied at run time."""
 
 from __future__ import annotations
 
@@ -32,6 +32,7 @@ def local_session(cores: int | str = "*", app: str = "satbill", shuffle: int = 8
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # fewer calls per column while building plans
         .config("spark.driver.memory", "12g")
         .config("spark.sql.warehouse.dir", tempfile.gettempdir() + "/satbill-warehouse")
     )
@@ -41,7 +42,3 @@ def local_session(cores: int | str = "*", app: str = "satbill", shuffle: int = 8
     spark.sparkContext.setLogLevel("ERROR")
     return tune(spark)
 
-
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names; None where the session has none."""
-    return spark.conf.get("spark.checkpoint.dir", None)
