@@ -68,7 +68,7 @@ def _shape_sql(name: str, kind: str) -> str:
 
 
 MODULES = [
-    "q_costs", "q_revenue",
+    "q_costs", "q_revenue", "q_services", "q_quality",
 
 ]
 
