@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from satbill.functions.sem import c
 
+# Functions sent to executors travel whole, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLANKS = " \t\n\r\f\x0b"
 MAX_MAPPING = 20_000
 
@@ -176,7 +183,7 @@ def repaired(text: str | None) -> tuple[str | None, str | None]:
     return best or (None, None)
 
 
-@F.pandas_udf("struct<fixed: string, how: string>")
+@F.pandas_udf(T.StructType([T.StructField("fixed", T.StringType()), T.StructField("how", T.StringType())]))
 def _repair_column(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([repaired(t) for t in texts], columns=["fixed", "how"])
 

@@ -270,6 +270,46 @@ BINDINGS: dict[str, str] = {
                '00:00:00:00:' || substr(lpad(CAST(50 + n_nationkey * 2 AS STRING), 4, '0'), 1, 2) || ':'
                || substr(lpad(CAST(50 + n_nationkey * 2 AS STRING), 4, '0'), 3, 2) AS new_text
         FROM nation""",
+    "index_lines": """
+        SELECT 'a' AS side, concat(interface, ': Ifindex = ', CAST(working_index AS STRING)) AS value FROM index_map
+        UNION ALL SELECT 'b', concat('  ', interface, ':  Ifindex=', CAST(CASE WHEN working_index % 5 = 0 THEN working_index ELSE spare_index END AS STRING))
+        FROM index_map
+        UNION ALL SELECT 'b', concat('Loopback', CAST(n_nationkey AS STRING), ' is up') FROM nation""",
+    "sections": """
+        SELECT doc_id AS page_id, 'Page ' || lang AS page_title, CASE doc_id % 4 WHEN 0 THEN 'Вложение: spec' || doc_id || '.PDF '
+               WHEN 1 THEN '' WHEN 2 THEN 'вложение: net:plan.docx' ELSE 'Part ' || doc_id END AS section_title,
+               CASE WHEN doc_id % 50 = 7 THEN '' ELSE text END AS section_text FROM documents""",
+    "outdated": "SELECT doc_id AS page_id FROM labels WHERE toxic = 1",
+    "recipients": """
+        SELECT c_custkey, concat('User', CAST(c_custkey AS STRING), '@Example.com; bad@, a.b+', CAST(c_nationkey AS STRING), '@mail.test.org', chr(10),
+               ' -x@y.z ,..dot@host.org;', c_mktsegment, '@seg.io') AS emails FROM customer""",
+    "addresses": """
+        SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'user' || c_custkey || '@example.com' WHEN 1 THEN '.lead' || c_custkey || '@example.com'
+               WHEN 2 THEN 'two..dots@example.com' WHEN 3 THEN 'no-at-sign' || c_custkey WHEN 4 THEN 'a_b-c.d@sub.example.org'
+               WHEN 5 THEN 'x@-bad.example.org' ELSE 'x@example.c' END AS email FROM customer""",
+    "chunks": """
+        SELECT vec_id, label, embedding, 'Label ' || label || CASE WHEN vec_id % 2 = 0 THEN ' – ' ELSE ' - ' END || 'part ' || (vec_id % 40) AS section_title
+        FROM embeddings""",
+    "statements": """
+        SELECT c_custkey, concat('select a from T_', c_mktsegment, ' x left join n', CAST(c_nationkey AS STRING), ' y on 1 = 1 Join T_', c_mktsegment,
+               ' z; INSERT INTO out_', CAST(c_custkey % 9 AS STRING), ' SELECT 1 FROM (select 2)') AS body FROM customer""",
+    "bodies": """
+        SELECT doc_id, CASE WHEN doc_id % 20 = 0 THEN concat(text, text) WHEN doc_id % 20 = 1 THEN concat(text, chr(10), chr(10), 'end of part', chr(10), chr(10), text,
+               chr(10), chr(10), 'end of part') ELSE text END AS body FROM documents""",
+    "dirty": """
+        SELECT o_orderkey AS k, ordered,
+               CASE o_orderkey % 7 WHEN 0 THEN '$ 1,' || o_orderkey || '.5' WHEN 1 THEN o_orderkey || ',5' WHEN 2 THEN '3,' || (o_orderkey % 90 + 10) || 'E+5'
+                    WHEN 3 THEN ' -' || o_orderkey || ' €' WHEN 4 THEN '-' WHEN 5 THEN 'n/a' ELSE '  ' END AS number_text,
+               CASE o_orderkey % 6 WHEN 0 THEN '$ ' || o_orderkey || '.25' WHEN 1 THEN '12,5' WHEN 2 THEN '€-' || o_orderkey WHEN 3 THEN ''
+                    WHEN 4 THEN '1e3' ELSE 'x1' END AS amount_text,
+               CASE o_orderkey % 5 WHEN 0 THEN month(ordered) || '' || year(ordered) WHEN 1 THEN CAST(year(ordered) * 100 + month(ordered) AS STRING)
+                    WHEN 2 THEN '13' || year(ordered) WHEN 3 THEN '91999' ELSE '' END AS month_text,
+               CASE WHEN o_orderkey % 2 = 0 THEN year(ordered) * 100 + month(ordered) ELSE month(ordered) * 10000 + year(ordered) END AS month_code,
+               CASE o_orderkey % 4 WHEN 0 THEN 'traffic.' || (year(ordered) * 10000 + month(ordered) * 100 + 2) || '.csv' WHEN 1 THEN 'fees.csv'
+                    WHEN 2 THEN 'x.' || year(ordered) || '.csv' ELSE 'a.20210102.CSV' END AS file_name,
+               CAST(CAST(ordered AS DATE) - CAST(extract(DAY FROM ordered) AS INT) + 2 AS TIMESTAMP) AS beg,
+               CASE WHEN o_orderkey % 3 = 0 THEN CAST(last_day(ordered) + 1 AS TIMESTAMP) ELSE CAST(last_day(ordered) AS TIMESTAMP) END AS fin
+        FROM order_rows""",
     "attachments": """
         SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'spec' || doc_id || '.PDF' WHEN 1 THEN 'plan.xlsx' WHEN 2 THEN 'net.drawio'
                WHEN 3 THEN 'photo' || doc_id || '.jpeg' WHEN 4 THEN 'scratch.tmp' WHEN 5 THEN 'drawio net.xml'

@@ -69,6 +69,7 @@ def _shape_sql(name: str, kind: str) -> str:
 
 MODULES = [
     "q_costs", "q_revenue", "q_services", "q_quality", "q_ingest", "q_rating", "q_joins", "q_monitor",
+    "q_expr", "q_text",
 
 ]
 

@@ -24,7 +24,6 @@ FEE_HEADINGS = [
     "Prorated Days", "Amount", "Group",
 ]
 DELIMITERS = [";", "\t", ","]  # tried in this order
-MAX_COLUMNS = 60
 
 
 def _norm(text: str) -> str:
@@ -37,13 +36,14 @@ def _norm_col(col: Column) -> Column:
 
 
 def _cells(line: Column, sep: Column) -> Column:
-    """Fields of one line as an array, quotes respected."""
-    schema = ", ".join(f"c{i} string" for i in range(MAX_COLUMNS))
-    parsed = [
-        F.when(sep == d, F.from_csv(line, F.lit(schema), {"sep": d, "quote": '"', "escape": '"'})) for d in DELIMITERS
-    ]
-    row = F.coalesce(*parsed)
-    return F.array(*[row[f"c{i}"] for i in range(MAX_COLUMNS)])
+    """Fields of one line as an array; a plain split unless the line has quotes."""
+    quoted = F.concat(sep, F.lit('("(?:[^"]|"")*"|[^'), sep, F.lit("]*)"))  # every field with the delimiter before it
+    return F.when(line.contains('"'), F.regexp_extract_all(F.concat(sep, line), quoted, F.lit(1))).otherwise(F.split(line, sep))
+
+
+def _unquoted(cell: Column) -> Column:
+    inner = F.replace(F.substr(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))
+    return F.when(cell.startswith('"'), inner).otherwise(cell)
 
 
 def _filled(col: Column) -> Column:
@@ -73,7 +73,7 @@ def split_lines(lines: DataFrame, headings: list[str], must_have: list[str]) ->
     A file counts as UTF-8 only if every line is valid; otherwise all of it is read as Latin-1.
     A header is the line that carries the feed's own headings.
     """
-    as_latin = F.decode(F.col("value").cast("binary"), F.lit("ISO-8859-1"))
+    as_latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     squeezed = _norm_col(as_latin)
     # The first, cheap test spares data lines the squeezing.
     is_header = F.upper("value").contains(must_have[0].split(" ")[0].upper())
@@ -87,21 +87,20 @@ def split_lines(lines: DataFrame, headings: list[str], must_have: list[str]) ->
     sep = _separator(F.col("_head"))
     per_file = (
         per_file.withColumn("_sep", sep)
-        .withColumn("_names", F.transform(_cells(F.col("_head"), F.col("_sep")), lambda x: _norm_col(F.trim(x))))
-        .withColumn("_width", F.size(F.array_compact("_names")))
-        .withColumn("_packed", (F.col("_width") <= 2) & (F.size(F.split(F.get("_names", F.lit(0)), ";")) >= len(headings)))
-        .drop("_head", "_width")
+        .withColumn("_names", F.transform(_cells(F.col("_head"), F.col("_sep")), lambda x: _norm_col(F.trim(_unquoted(x)))))
+        .withColumn("_packed", (F.size("_names") <= 2) & (F.size(F.split(F.get("_names", F.lit(0)), ";")) >= len(headings)))
+        .drop("_head")
     )
     text = F.when(F.col("_utf8"), F.col("value")).otherwise(as_latin)
     rows = (
         marked.filter(~F.col("_header") & (F.length(F.trim("value")) > 0))
         .join(per_file, "file_path")
         .withColumn("_f", _cells(text, F.col("_sep")))
-        .withColumn("_f", F.when(F.col("_packed"), F.split(F.get("_f", F.lit(0)), ";")).otherwise(F.col("_f")))
+        .withColumn("_f", F.when(F.col("_packed"), F.split(_unquoted(F.get("_f", F.lit(0))), ";")).otherwise(F.col("_f")))
     )
     fixed = F.array(*[F.lit(_norm(h)) for h in headings])
     names = F.when(F.col("_packed"), fixed).otherwise(F.col("_names"))
-    pick = lambda h: _filled(F.get("_f", F.array_position(names, F.lit(_norm(h))).cast("int") - 1))
+    pick = lambda h: _filled(_unquoted(F.get("_f", F.array_position(names, F.lit(_norm(h))).cast("int") - 1)))
     return rows.select("source_file", *[pick(h).alias(f"c{i}") for i, h in enumerate(headings)])
 
 
