@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ PLAN_CODES = {
     "SBD Tiered 1250 10K": "SBD-10",
 }
 
-# Date layouts accepted in supplier files, tried in this order.
+# Date layouts accepted in supplier files.
 DATE_LAYOUTS = ["d.M.yyyy", "yyyy-M-d", "d/M/yyyy", "yyyy/M/d", "d-M-yyyy", "yyyy.M.d"]
 
 
@@ -33,14 +35,27 @@ def amount(col: Column | str) -> Column:
     return F.when(shaped, bare).try_cast("double")
 
 
+def _shape(layout: str) -> str:
+    digits = {"d": "[0-9]{1,2}", "M": "[0-9]{1,2}", "yyyy": "[0-9]{4}"}
+    return "^" + "".join(digits.get(part, f"[{part}]") for part in re.split(r"([./-])", layout)) + "$"
+
+
 def any_date(col: Column | str) -> Column:
+    """Date in any accepted layout. A shape test picks the layout, so no parse is tried in vain."""
     text = F.trim(c(col))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(layout)) for layout in DATE_LAYOUTS]).cast("date")
+    return F.coalesce(
+        *[F.when(text.rlike(_shape(layout)), F.try_to_timestamp(text, F.lit(layout))) for layout in DATE_LAYOUTS]
+    ).cast("date")
 
 
 def bill_month(col: Column | str, strict: bool = False) -> Column:
     """Text bill month to YYYYMM. ``strict`` takes only month-then-year input, as the source loader does."""
-    n = num(c(col).cast("string")).cast("long")
+    return bill_month_number(num(c(col).cast("string")), strict)
+
+
+def bill_month_number(col: Column | str, strict: bool = False) -> Column:
+    """``bill_month`` of a number that is parsed already."""
+    n = c(col).cast("long")
     year, month = F.pmod(n, F.lit(10000)), F.floor(n / 10000).cast("long")
     month_first = F.when(year.between(2000, 2100) & month.between(1, 12), year * 100 + month)
     if strict:

@@ -32,8 +32,8 @@ def profit_by_period(
     rows = (
         cost.join(earned, ["financial_period", "customer_name", "ext_code"])
         .join(rates.withColumnRenamed("period", "financial_period"), "financial_period", "left")
-        .withColumn("expenses_rub", spent.cast("decimal(28,6)"))
-        .withColumn("profit_rub", (F.col("revenue_rub") - F.col("expenses_rub")).cast("decimal(28,6)"))
+        .withColumn("expenses_rub", spent.cast("decimal(32,10)"))
+        .withColumn("profit_rub", (F.col("revenue_rub") - F.col("expenses_rub")).cast("decimal(32,10)"))
         .withColumn("_margin", share(F.col("profit_rub")))
     )
     return rows.select(

@@ -130,9 +130,10 @@ def rate_tiers(usage: DataFrame, tiers: DataFrame, kb_col: str = "usage_kb") ->
         width = F.greatest(F.lit(0).cast(KB), (top - band["from_kb"]).cast(KB))
         return (acc + width * band["price"]).cast("decimal(28,8)")
 
+    total = F.when(kb.isNotNull(), F.aggregate("_bands", zero, step))
     return (
         usage.join(folded, F.col("plan_name") == F.col("_plan"), "left")
-        .withColumn("charge", F.round(F.coalesce(F.aggregate("_bands", zero, step), zero), 2).cast("decimal(18,2)"))
+        .withColumn("charge", F.round(F.coalesce(total, zero), 2).cast("decimal(18,2)"))
         .drop("_plan", "_bands")
     )
 

@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satbill.functions.expr import amount, any_date, bill_month, num
-from satbill.functions.sem import blank_null
+from satbill.functions.expr import amount, any_date, bill_month_number, num
 
 # The column headings of the two feeds.
 USAGE_HEADINGS = [
@@ -82,7 +81,8 @@ def split_lines(lines: DataFrame, headings: list[str], must_have: list[str]) ->
     marked = lines.withColumn("_header", is_header)
     per_file = marked.groupBy("file_path").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("_utf8"),
-        F.min(F.when(F.col("_header"), as_latin)).alias("_head"),
+        # A file has one header, so the set is as good as a value, and it needs no sort of the lines.
+        F.array_min(F.collect_set(F.when(F.col("_header"), as_latin))).alias("_head"),
     ).filter(F.col("_head").isNotNull())
     sep = _separator(F.col("_head"))
     per_file = (
@@ -91,42 +91,56 @@ def split_lines(lines: DataFrame, headings: list[str], must_have: list[str]) ->
         .withColumn("_packed", (F.size("_names") <= 2) & (F.size(F.split(F.get("_names", F.lit(0)), ";")) >= len(headings)))
         .drop("_head")
     )
+    fixed = F.array(*[F.lit(_norm(h)) for h in headings])
+    names = F.when(F.col("_packed"), fixed).otherwise(F.col("_names"))
+    # Where each heading stands is settled once per file; a line then only looks cells up.
+    per_file = per_file.withColumn("_at", F.array(*[F.array_position(names, F.lit(_norm(h))).cast("int") - 1 for h in headings]))
     text = F.when(F.col("_utf8"), F.col("value")).otherwise(as_latin)
     rows = (
         marked.filter(~F.col("_header") & (F.length(F.trim("value")) > 0))
-        .join(per_file, "file_path")
+        # The exchange finishes the per-file work before the join and shows its true, small size.
+        .join(per_file.drop("_names").repartition("file_path"), "file_path")
         .withColumn("_f", _cells(text, F.col("_sep")))
         .withColumn("_f", F.when(F.col("_packed"), F.split(_unquoted(F.get("_f", F.lit(0))), ";")).otherwise(F.col("_f")))
     )
-    fixed = F.array(*[F.lit(_norm(h)) for h in headings])
-    names = F.when(F.col("_packed"), fixed).otherwise(F.col("_names"))
-    pick = lambda h: _filled(_unquoted(F.get("_f", F.array_position(names, F.lit(_norm(h))).cast("int") - 1)))
-    return rows.select("source_file", *[pick(h).alias(f"c{i}") for i, h in enumerate(headings)])
+    # One array expression for all cells keeps the generated code small enough to be compiled well.
+    cells = F.transform("_at", lambda i: _filled(_unquoted(F.get("_f", i))))
+    return rows.select("source_file", cells.alias("_c")).select(
+        "source_file", *[F.get("_c", F.lit(i)).alias(f"c{i}") for i in range(len(headings))]
+    )
+
+
+def _typed(cells: DataFrame, headings: list[str], numbers: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """Every cell parsed once, in a step of its own; later steps may then use it several times."""
+    parsed = cells.select("source_file", *[
+        (num(f"c{i}") if h in numbers else F.col(f"c{i}")).alias(f"c{i}") for i, h in enumerate(headings)
+    ])
+    return parsed, {h: F.col(f"c{i}") for i, h in enumerate(headings)}
 
 
 def usage_rows(lines: DataFrame, strict_month: bool = False) -> DataFrame:
     """Typed usage rows from raw lines."""
-    cells = split_lines(lines, USAGE_HEADINGS, ["Contract ID", "Usage Type", "Bill Month"])
-    at = {h: blank_null(f"c{i}") for i, h in enumerate(USAGE_HEADINGS)}
-    whole = lambda h: num(at[h]).cast("long")
+    numbers = ["Total Rows", "Usage", "Total Amount", "Bill Month", "Actual Usage", "Call/Session Count", "SP Account No"]
+    cells, at = _typed(split_lines(lines, USAGE_HEADINGS, ["Contract ID", "Usage Type", "Bill Month"]), USAGE_HEADINGS, numbers)
+    text = lambda h: F.trim(at[h])
+    whole = lambda h: at[h].cast("long")
+    money = lambda h: at[h].cast("decimal(18,2)")
     return cells.select(
-        whole("Total Rows").alias("total_rows"), at["Contract ID"].alias("contract_id"), at["IMEI"].alias("imei"),
-        at["SIM (ICCID)"].alias("sim_iccid"), at["Service"].alias("service"), at["Usage Type"].alias("usage_type"),
-        num(at["Usage"]).cast("decimal(18,2)").alias("usage_bytes"), at["Usage Unit"].alias("usage_unit"),
-        num(at["Total Amount"]).cast("decimal(18,2)").alias("total_amount"),
-        bill_month(at["Bill Month"], strict_month).alias("bill_month"), at["Plan Name"].alias("plan_name"),
-        at["IMSI"].alias("imsi"), at["MSISDN"].alias("msisdn"),
-        num(at["Actual Usage"]).cast("decimal(18,2)").alias("actual_usage"),
+        whole("Total Rows").alias("total_rows"), text("Contract ID").alias("contract_id"), text("IMEI").alias("imei"),
+        text("SIM (ICCID)").alias("sim_iccid"), text("Service").alias("service"), text("Usage Type").alias("usage_type"),
+        money("Usage").alias("usage_bytes"), text("Usage Unit").alias("usage_unit"), money("Total Amount").alias("total_amount"),
+        bill_month_number(at["Bill Month"], strict_month).alias("bill_month"), text("Plan Name").alias("plan_name"),
+        text("IMSI").alias("imsi"), text("MSISDN").alias("msisdn"), money("Actual Usage").alias("actual_usage"),
         whole("Call/Session Count").alias("call_session_count"), whole("SP Account No").alias("sp_account_no"),
-        at["SP Name"].alias("sp_name"), at["SP Reference"].alias("sp_reference"), "source_file",
+        text("SP Name").alias("sp_name"), text("SP Reference").alias("sp_reference"), "source_file",
     )
 
 
 def fee_rows(lines: DataFrame) -> DataFrame:
-    """Typed fee rows from raw lines, the left-out line of business included."""
-    cells = split_lines(lines, FEE_HEADINGS, ["Invoice Date", "Contract ID", "Amount"])
-    at = {h: F.col(f"c{i}") for i, h in enumerate(FEE_HEADINGS)}
-    whole = lambda h: num(at[h]).cast("long")
+    """Typed fee rows from raw lines, the left-out line of business included. Texts keep their blanks."""
+    numbers = ["Company Number", "Settling Period", "Prorated Days"]
+    cells, at = _typed(split_lines(lines, FEE_HEADINGS, ["Invoice Date", "Contract ID", "Amount"]), FEE_HEADINGS, numbers)
+    whole = lambda h: at[h].cast("long")
     return cells.select(
         any_date(at["Invoice Date"]).cast("timestamp").alias("invoice_date"), at["Company Name"].alias("company_name"),
         whole("Company Number").alias("company_number"), whole("Settling Period").alias("settling_period"),
