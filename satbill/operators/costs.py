@@ -243,6 +243,13 @@ def _with_info(df: DataFrame, info: DataFrame, agreements: DataFrame, trimmed: b
     )
 
 
+def monthly_plans(costs: DataFrame) -> DataFrame:
+    """The report's plan per device, contract and month, without the rest of the report."""
+    return costs.groupBy("imei", "contract_id", F.col("bill_month").alias("bill_month_key")).agg(
+        F.max(F.when(blank_null("plan_name").isNotNull(), F.col("plan_name"))).alias("plan_name")
+    )
+
+
 def billing_report_main(
     costs: DataFrame, lines: DataFrame, info: DataFrame, agreements: DataFrame
 ) -> DataFrame:
@@ -457,7 +464,10 @@ def fee_breakdown(
 
 
 def usage_profile(usage: DataFrame, month: str | None = None, by_type: bool = False) -> DataFrame:
-    """Records, distinct contracts and devices, and bytes per month, or per month and usage kind."""
+    """Records, distinct contracts and devices, and bytes per month, or per month and usage kind.
+
+    Rows fold per contract and device first, so the distinct counts expand the folded rows only.
+    """
     df = usage.withColumn("month", norm_bill_month("bill_month"))
     if month:
         df = df.filter(F.col("month") == month)
@@ -465,12 +475,17 @@ def usage_profile(usage: DataFrame, month: str | None = None, by_type: bool = Fa
         return df.groupBy("month", "usage_type").agg(
             F.count(F.lit(1)).alias("records"), F.sum("usage_bytes").alias("total_bytes")
         )
-    return df.groupBy("month").agg(
-        F.count(F.lit(1)).alias("records"),
+    folded = df.groupBy("month", "contract_id", "imei").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum("usage_bytes").alias("_b"),
+        sum_when(F.col("usage_type") == DATA_USAGE, "usage_bytes").alias("_d"),
+    )
+    return folded.groupBy("month").agg(
+        F.sum("_n").alias("records"),
         F.count_distinct("contract_id").alias("contracts"),
         F.count_distinct("imei").alias("devices"),
-        F.sum("usage_bytes").alias("total_bytes"),
-        sum_when(F.col("usage_type") == DATA_USAGE, "usage_bytes").alias("data_bytes"),
+        F.sum("_b").alias("total_bytes"),
+        F.sum("_d").alias("data_bytes"),
     )
 
 

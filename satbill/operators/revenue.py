@@ -185,12 +185,12 @@ REVENUE_SUMS = [
 
 def revenue_report(
     services: DataFrame, items: DataFrame, invoices: DataFrame, resource_types: DataFrame, currencies: DataFrame,
-    periods: DataFrame, info: DataFrame, report: DataFrame, elements: DataFrame, element_types: DataFrame,
+    periods: DataFrame, info: DataFrame, plans: DataFrame, elements: DataFrame, element_types: DataFrame,
     rates: DataFrame,
 ) -> DataFrame:
     """Revenue per contract, device, account, period and currency, split into buckets.
 
-    Everything is grouped by ids first; names, codes and currencies join the small grouped result.
+    ``plans`` is the plan of each device, contract and month: the cost report, or ``monthly_plans``. Everything is grouped by ids first; names, codes and currencies join the small grouped result.
     """
     anchors = revenue_anchors(services, items).withColumnsRenamed(
         {"service_id": "anchor_id", "type_id": "anchor_type", "customer_id": "anchor_customer"}
@@ -230,7 +230,7 @@ def revenue_report(
     )
     money_names = currencies.filter(F.col("currency_id").isin(1, UNIT_CURRENCY))
     plans = (
-        report.filter(F.col("contract_id").isNotNull() & F.col("imei").isNotNull() & F.col("bill_month_key").isNotNull())
+        plans.filter(F.col("contract_id").isNotNull() & F.col("imei").isNotNull() & F.col("bill_month_key").isNotNull())
         .select(
             F.col("contract_id").alias("base_contract_id"), "imei", show_month("bill_month_key").alias("period"),
             plan_code("plan_name").alias("plan_code"),

@@ -356,19 +356,18 @@ class Tables:
                 self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             elif name in BINDINGS:
                 made = self.sql(f"SELECT * FROM {name}")
-                self._made[name] = self.keep(made, name) if name in KEPT else made
+                self._made[name] = snapshot(made, name) if name in KEPT else made
             else:
                 raise AttributeError(name)
         return self._made[name]
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a shared intermediate table and go on from there."""
-        return snapshot(df, name)
+        """Write a table that several steps of one query read, once, and go on from there."""
+        return self.once(name, lambda _: df)
 
     def once(self, name: str, make: Callable[[Tables], DataFrame]) -> DataFrame:
-        """A result several steps of one query read; made and written once."""
         if name not in self._made:
-            self._made[name] = self.keep(make(self), name)
+            self._made[name] = snapshot(make(self), name)
         return self._made[name]
 
     def sql(self, text: str) -> DataFrame:

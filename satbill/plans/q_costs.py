@@ -30,7 +30,12 @@ def kept_report(t: Tables) -> DataFrame:
 
 
 def kept_info(t: Tables) -> DataFrame:
-    return t.once("service_info", info)
+    return t.once("info", info)
+
+
+def kept_costs(t: Tables) -> DataFrame:
+    """The consolidated rows, from an overage table that is written once as well."""
+    return t.once("costs", lambda t: costs.consolidate(t.once("overage", lambda t: costs.usage_overage(t.usage, t.plans)), t.fees))
 
 
 register(
@@ -87,7 +92,7 @@ REPORT = (
 )
 register("e08_report_main", REPORT,
          lambda t: costs.billing_report_main(
-             t.once("costs", consolidated), costs.dedup_fees(t.fees), info(t), agreements(t)), "SELECT * FROM x_report_main")
+             kept_costs(t), costs.dedup_fees(t.fees), info(t), agreements(t)), "SELECT * FROM x_report_main")
 register("e09_report_advance_only", REPORT,
          lambda t: costs.billing_report_advance_only(t.usage, t.fees, info(t), agreements(t), AS_OF), "SELECT * FROM x_report_advance")
 register("e10_billing_report", REPORT, report, "SELECT * FROM x_report")

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from satbill.operators import profit, rating, revenue
+from satbill.operators import costs, profit, rating, revenue
 from satbill.plans.bind import Tables
 from satbill.plans.catalog import register
-from satbill.plans.q_costs import info, kept_info, kept_report, report
+from satbill.plans.q_costs import info, kept_costs, kept_info, kept_report, report
 
 
 def revenue_rows(t: Tables) -> DataFrame:
     return revenue.revenue_report(
-        t.services, t.invoice_items, t.invoices, t.resource_types, t.currencies, t.periods, kept_info(t), kept_report(t),
+        t.services, t.invoice_items, t.invoices, t.resource_types, t.currencies, t.periods, kept_info(t), costs.monthly_plans(kept_costs(t)),
         t.tariff_elements, t.element_types, t.currency_rates,
     )
 
