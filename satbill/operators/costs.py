@@ -110,10 +110,12 @@ def consolidate(overage: DataFrame, fees: DataFrame, plan_fallback: bool = True)
     """``consolidated`` from an overage table, which is all it needs of the raw usage.
 
     Both sides are aggregated to their join key before the full outer join, so no key is hot there.
+    The overage rows are laid out by that key once; the regrouping and the join both use the layout.
     """
     left = (
-        overage
-        .groupBy("imei", "contract_id", norm_bill_month("bill_month").alias("bill_month"), "plan_name")
+        overage.withColumn("bill_month", norm_bill_month("bill_month"))
+        .repartition("imei", "contract_id", "bill_month")
+        .groupBy("imei", "contract_id", "bill_month", "plan_name")
         .agg(*[F.sum(n).alias(n) for n in USAGE_SUMS], F.max("included_kb").alias("included_kb"))
         .alias("u")
     )
@@ -266,44 +268,39 @@ def billing_report_main(
         F.max("fee_plan_monthly").alias("fee_plan_monthly"),
         F.max("fee_plan_suspended").alias("fee_plan_suspended"),
     ).withColumnRenamed("bill_month", "bill_month_key")
-    keys = ["bill_month_key", "_c", "imei"]
+    # All three lookups join on the same key (NULL-safe on the device), so the report moves once for them.
+    def same_key(month: str, contract: str, imei: str) -> Column:
+        return (
+            (F.col("bill_month_key") == F.col(month)) & (F.col("_c") == F.col(contract)) & F.col("imei").eqNullSafe(F.col(imei))
+        )
 
     pivot = (
         pivot_lines(lines, trimmed=True)
-        .withColumnsRenamed({"bill_month": "bill_month_key", "contract_id": "_c"})
+        .withColumnsRenamed({"bill_month": "_fm", "contract_id": "_fc", "imei": "_fi"})
         .drop("fee_advance")
     )
     current = advance_lines(lines, "device", trimmed=True).select(
-        shift_month("earned_month", 1).alias("bill_month_key"), F.col("contract_id").alias("_c"), "imei", "fee_advance"
+        shift_month("earned_month", 1).alias("_am"), F.col("contract_id").alias("_ac"), F.col("imei").alias("_ai"), "fee_advance"
     )
     first_device = (
         costs.filter(F.col("contract_id").isNotNull())
-        .groupBy(F.rtrim("contract_id").alias("_c"), F.col("bill_month").alias("_m"))
+        .groupBy(F.rtrim("contract_id").alias("_pc"), F.col("bill_month").alias("_pm"))
         .agg(F.min(F.struct(F.col("imei").isNull().alias("last"), "imei", "contract_id")).alias("_f"))
     )
     previous = (
         advance_lines(lines, "contract", trimmed=True)
         .select(
-            F.col("contract_id").alias("_c"), shift_month("earned_month", 2).alias("_m"),
+            F.col("contract_id").alias("_pc"), shift_month("earned_month", 2).alias("_pm"),
             F.col("fee_advance").alias("fee_advance_previous"),
         )
-        .join(first_device, ["_c", "_m"])
-        .select(
-            F.col("_m").alias("_pm"), F.col("_f.contract_id").alias("_pc"), F.col("_f.imei").alias("_pi"),
-            "fee_advance_previous",
-        )
+        .join(first_device, ["_pc", "_pm"])
+        .select("_pm", "_pc", F.col("_f.imei").alias("_pi"), F.col("_f.contract_id").alias("_pw"), "fee_advance_previous")
     )
     joined = (
         report.withColumn("_c", F.rtrim("contract_id"))
-        .join(pivot, keys, "left")
-        .join(current, keys, "left")
-        .join(
-            previous,
-            (F.col("bill_month_key") == F.col("_pm"))
-            & (F.col("contract_id") == F.col("_pc"))
-            & F.col("imei").eqNullSafe(F.col("_pi")),
-            "left",
-        )
+        .join(pivot, same_key("_fm", "_fc", "_fi"), "left")
+        .join(current, same_key("_am", "_ac", "_ai"), "left")
+        .join(previous, same_key("_pm", "_pc", "_pi") & (F.col("contract_id") == F.col("_pw")), "left")
     )
     match = F.col("contract_id").like("SUB_%") & (F.col("imei_vsat") == F.col("imei"))
     return (
