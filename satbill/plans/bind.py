@@ -23,6 +23,9 @@ AS_OF = "2021-08-15"
 # Bound from several branches and read many times within one query: written once instead.
 KEPT = {"services", "services_ext", "contacts"}
 
+# A small file is one scan task; these tables are then spread over the idle cores by key. Large tables have enough tasks.
+SPREAD = {"lineitem": "l_orderkey", "orders": "o_orderkey", "documents": "doc_id", "pages": "page_id"}
+
 # HEXID(x): a 60-bit whole number from the MD5 of x; the two dialects spell the conversion differently.
 _HEXID = re.compile(r"HEXID\(([^()]*)\)")
 
@@ -353,7 +356,11 @@ class Tables:
             raise AttributeError(name)
         if name not in self._made:
             if name in BASE:
-                self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                cores = self.spark.sparkContext.defaultParallelism
+                if name in SPREAD and df.rdd.getNumPartitions() < cores:
+                    df = df.repartition(cores, SPREAD[name])
+                self._made[name] = df
             elif name in BINDINGS:
                 made = self.sql(f"SELECT * FROM {name}")
                 self._made[name] = snapshot(made, name) if name in KEPT else made

@@ -52,10 +52,12 @@ register(
 )
 REPEAT = "imei contract_id customer_name ext_code plan_name months_with_overage:i total_overage:d avg_overage:d"
 X_OVER = "(SELECT * FROM x_report WHERE calculated_overage > 0 AND bill_month >= '2021-02')"
+# Average of cents rounded half up in whole numbers; floating point would round ties either way.
+X_AVERAGE = "(2 * CAST(sum(calculated_overage) * 100 AS BIGINT) + count(*)) // (2 * count(*)) / 100.0"
 register(
     "h05_alert_repeat_overage", REPEAT, lambda t: alerts.alert_repeat_overage(kept_report(t), AS_OF),
     f"""SELECT imei, contract_id, customer_name, ext_code, plan_name, n AS months_with_overage, sum(calculated_overage) AS total_overage,
-               round(avg(calculated_overage), 2) AS avg_overage
+               {X_AVERAGE} AS avg_overage
         FROM (SELECT *, count(*) OVER (PARTITION BY imei) AS n FROM {X_OVER}) WHERE n >= 3 GROUP BY ALL""",
 )
 register(
@@ -64,7 +66,7 @@ register(
              runs AS (SELECT imei, count(*) AS n FROM (SELECT imei, i - row_number() OVER (PARTITION BY imei ORDER BY i) AS g FROM m) GROUP BY imei, g),
              best AS (SELECT imei, max(n) AS n FROM runs GROUP BY imei HAVING max(n) >= 2)
         SELECT r.imei, contract_id, customer_name, ext_code, plan_name, n AS months_with_overage, sum(calculated_overage) AS total_overage,
-               round(avg(calculated_overage), 2) AS avg_overage FROM {X_OVER} r JOIN best USING (imei) GROUP BY ALL""",
+               {X_AVERAGE} AS avg_overage FROM {X_OVER} r JOIN best USING (imei) GROUP BY ALL""",
 )
 register(
     "h06_alert_shared_device", "imei active_services:i service_id:i contract_id", lambda t: alerts.alert_shared_device(t.services, active_status=10),
