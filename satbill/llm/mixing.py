@@ -21,15 +21,16 @@ SHARD_WORDS, SHARD_ROWS = 65_536, 1_024
 RANKED = 10_000  # so many quotients are ranked at once; more are first narrowed by counting
 
 
-def sized(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, source, size and two seeded numbers per row. A null text has no words."""
+def sized(docs: DataFrame, seed: int, whole: bool = False) -> DataFrame:
+    """doc_id, source, size and two seeded numbers per row, and with ``whole`` the row itself. A null text has no words."""
     key = F.md5(F.concat(
         F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))
     ))
     number = lambda at: F.conv(F.substring("key", at, 15), 16, 10).cast("long")
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if whole else []
     return docs.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key")
-    ).select("doc_id", "source", "size", number(1).alias("deal"), number(16).alias("place"))
+        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"), *row
+    ).select("doc_id", "source", "size", number(1).alias("deal"), number(16).alias("place"), *(["row"] if whole else []))
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -111,22 +112,23 @@ def quotas(shards: DataFrame, total: int, block_words: int) -> DataFrame:
     ).drop("given", "last", "won")
 
 
-def mixed(docs: DataFrame, seed: int = 7, block_words: int = 64, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+def mixed(docs: DataFrame, seed: int = 7, block_words: int = 64, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, whole: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source): size, its source's size and target, and what the mix takes of it.
 
     ``taken`` words are those of ``begin`` to ``begin + taken`` on the endless repetition of the text. An empty table, and
     tables without words, take nothing. A null source is a source of its own, the last. Rows with a null or repeated
-    doc_id are mixed like others; equal rows share what they get in any order. Further columns of ``docs`` play no part.
+    doc_id are mixed like others; equal rows share what they get in any order. Further columns of ``docs`` play no part; with ``whole`` they
+    come along in a struct ``row``.
     """
     rows = snapshot(sized(docs, seed), "mix-rows")
     sources = snapshot(targets(rows, weights, most), "mix-sources")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
-    dealt = rows.join(
-        sources.withColumn(
-            "n_shards", 1 + F.floor(F.col("source_size") / SHARD_WORDS) + F.floor(F.col("n_rows") / SHARD_ROWS)
-        ).withColumnRenamed("source", "name"),
-        F.col("source").eqNullSafe(F.col("name")),
-    ).withColumn("shard", F.col("deal") % F.col("n_shards"))
+    numbered = sources.select("source_no", "source_size", "target", F.col("source").alias("name"), F.expr(
+        f"1 + source_size div {SHARD_WORDS} + n_rows div {SHARD_ROWS}").alias("n_shards"))
+    place = lambda some: some.join(numbered, F.col("source").eqNullSafe(F.col("name"))).withColumn(
+        "shard", F.col("deal") % F.col("n_shards")
+    )
+    dealt = place(rows)
     shards = dealt.groupBy("source_no", "shard").agg(
         F.sum("size").alias("length"), F.first("target").alias("goal"), F.first("source_size").alias("whole")
     ).withColumn("votes", F.when(F.col("whole") > 0, F.col("goal") * F.col("length") / F.col("whole")).otherwise(0.0))
@@ -138,6 +140,8 @@ def mixed(docs: DataFrame, seed: int = 7, block_words: int = 64, weights: tuple[
         F.when(F.col("length") > 0, start * block_words).otherwise(0).alias("enter"),
     )
     ring = Window.partitionBy("source_no", "shard").orderBy("place", "size")
+    if whole:
+        dealt = place(sized(docs, seed, whole))
     placed = dealt.withColumn("before", F.sum("size").over(ring.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     passed = lambda y: F.expr(  # noqa: E731  words of the document among the first y of the endless ring
         f"({y}) div length * size + greatest(0L, least(size, ({y}) % length - before))"
@@ -146,8 +150,27 @@ def mixed(docs: DataFrame, seed: int = 7, block_words: int = 64, weights: tuple[
         "doc_id", "size", "source_size", "target",
         F.when(F.col("length") > 0, passed("enter + walk") - passed("enter")).otherwise(0).cast("long").alias("taken"),
         F.when(F.col("length") > 0, F.pmod(passed("enter"), F.greatest("size", F.lit(1)))).otherwise(0).cast("long").alias("begin"),
-        "deal", "place",
+        *(["row"] if whole else []),
+    )
+
+
+def taken_texts(docs: DataFrame, seed: int = 7, block_words: int = 64) -> DataFrame:
+    """The mix as rows: the columns of ``docs`` once per pass over a document.
+
+    In a pass it keeps its whole text, or the words of the pass joined by a space where the pass takes a part. Documents of
+    which nothing is taken have no row. n_chars, if there, follows the text.
+    """
+    columns = docs.columns
+    rows = mixed(docs, seed, block_words, whole=True).where("taken > 0")
+    rows = rows.select("row", "size", "begin", "taken", F.explode(F.expr("sequence(0L, (begin + taken - 1) div size)")).alias("pass"))
+    rows = rows.selectExpr(
+        "row", "size", "greatest(begin, pass * size) - pass * size AS first", "least(begin + taken, (pass + 1) * size) - pass * size AS stop"
     )
+    part = F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)), (F.col("first") + 1).cast("int"), (F.col("stop") - F.col("first")).cast("int"))
+    text = F.when(F.expr("first = 0 AND stop = size"), F.col("row.text")).otherwise(F.array_join(part, " "))
+    rows = rows.select("row", text.alias("text"))
+    fresh = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in columns else None}
+    return rows.select(*[fresh[c].alias(c) if c in fresh else F.col("row").getField(c).alias(c) for c in columns])
 
 
 ORACLE_SQL = f"""
