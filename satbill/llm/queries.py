@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from satbill.llm import mixing
+from satbill.llm import bpe, mixing, simhash, substring, toxicity
+
+BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +21,48 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _remainder(column, n: int):
+    """crc32 of the id as text, modulo n; a null id gives null."""
+    return F.crc32(column.cast("string").cast("binary")) % n
+
+
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, cut = substring.repeats(_table(spark, sf_dir, "documents"))
+    cut = cut.select("doc_id", "text_hash", F.col("n_removed").alias("removed"), F.sha2("kept", 256).alias("sha"))
+    return rows.join(cut, ["doc_id", "text_hash"], "left").select(
+        "doc_id", "n_words", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("sha", F.lower(F.hex("words_sha"))).alias("kept_sha256"),
+    )
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.encoded(_table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
+    return bpe.decoded(rows, BPE_RANKS).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fitted(docs, _table(spark, sf_dir, "labels"), lambda key: _remainder(key, 4) != 2)
+    return toxicity.scored(docs, model).select(
+        "doc_id", F.coalesce(_remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_dedup": op1_simhash_dedup,
     "op2_mixing": op2_mixing,
+    "op5_substring": op5_substring,
+    "op8_bpe": op8_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL}
