@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 BITS = 20
 MAX_ROWS = 16_384  # labelled rows the model is fitted on, those of the lowest hashed doc_id
-ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 1.0, 1.0, 2
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 5.0, 0.0, 3
 SLICE = 300_000  # words handled at once
 
 
