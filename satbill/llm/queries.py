@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satbill.llm import bpe, mixing, simhash, substring, toxicity
+from satbill.llm import ann, bpe, chat, langid, mixing, simhash, substring, tokenfile, topk, toxicity
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -30,6 +31,18 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), lambda key: key % 50 == 0, k=5).select("query_id", "rank", "vec_id", "score")
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fitted(docs, lambda key: _remainder(key, 5) != 0)
+    return langid.predicted(docs, model).select(
+        "doc_id", F.coalesce(_remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, cut = substring.repeats(_table(spark, sf_dir, "documents"))
     cut = cut.select("doc_id", "text_hash", F.col("n_removed").alias("removed"), F.sha2("kept", 256).alias("sha"))
@@ -39,6 +52,16 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    found = ann.search(ann.index(vectors), vectors.where("vec_id % 100 = 0"), k=10)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repaired(_table(spark, sf_dir, "conversations"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.encoded(_table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
     return bpe.decoded(rows, BPE_RANKS).select(
@@ -48,6 +71,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tokenfile.written(_table(spark, sf_dir, "documents"), WORD_BPE)
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fitted(docs, _table(spark, sf_dir, "labels"), lambda key: _remainder(key, 4) != 2)
@@ -60,8 +88,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_mixing": op2_mixing,
+    "op3_topk": op3_topk,
+    "op4_langid": op4_langid,
     "op5_substring": op5_substring,
+    "op6_hnsw": op6_hnsw,
+    "op7_chat": op7_chat,
     "op8_bpe": op8_bpe,
+    "op9_token_files": op9_token_files,
     "op10_toxicity": op10_toxicity,
 }
 
