@@ -147,6 +147,18 @@ def _fit(idf: np.ndarray, batches):
     yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["langs", "bias", "grams", "weights"])
 
 
+def inverse_frequencies(docs: DataFrame) -> np.ndarray:
+    """log((1 + texts) / (1 + texts with the gram)) + 1 of each of the 2**BITS grams, over all rows."""
+    counted = docs.select("text").mapInArrow(_frequencies, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts, total = np.zeros(1 << BITS), 0
+    for gram, n in counted.collect():
+        if gram < 0:
+            total = n
+        else:
+            counts[gram] = n
+    return np.log((1 + total) / (1 + counts)) + 1
+
+
 def fitted(docs: DataFrame, learn) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, biases and weights per gram, from documents with a lang whose doc_id meets the condition ``learn``.
 
@@ -154,15 +166,7 @@ def fitted(docs: DataFrame, learn) -> tuple[list[str], np.ndarray, np.ndarray]:
     letters, and null ids teach nothing. What reaches the driver has at most 2**BITS entries per language.
     """
     told = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & learn(F.col("doc_id")))
-    counted = told.select("text").mapInArrow(_frequencies, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    counts = np.zeros(1 << BITS)
-    total = 0
-    for gram, n in counted.collect():
-        if gram < 0:
-            total = n
-        else:
-            counts[gram] = n
-    idf = np.log((1 + total) / (1 + counts)) + 1
+    idf = inverse_frequencies(told)
     sample = told.select(F.col("doc_id").alias("told")).distinct().orderBy(F.xxhash64(F.col("told").cast("string")), "told").limit(MAX_ROWS)
     rows = told.join(F.broadcast(sample), F.col("doc_id") == F.col("told"))
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(
