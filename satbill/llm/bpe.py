@@ -1,10 +1,10 @@
 """Byte-level BPE: ids by merge ranks, and back.
 
-A text is split by the vocabulary's pattern; equal pieces are encoded once per task while the cache holds them. The pieces
-that are new in a batch become rows of padded matrices of token ids, one matrix per bucket of lengths. Each round finds in
-every row the leftmost pair of minimum rank, merges it, and closes the gap; rows without a pair left leave the matrix. The
-rank of a pair comes from an open-addressing hash table of all pairs of tokens that join to a token. Pieces over ``WIDE``
-bytes take the same merges in the same order from a heap, as a matrix of one endless row would be quadratic.
+A text is split into pieces by the vocabulary's pattern; equal pieces are encoded once per task while they are remembered.
+New pieces become rows of padded matrices of token ids, one matrix per bucket of lengths. Each round finds in every row
+the leftmost pair of minimum rank, merges it, and closes the gap; rows without a pair left leave the matrix. The rank of a
+pair comes from an open-addressing hash table of all pairs of tokens that join to a token. Pieces over ``WIDE`` bytes take
+the same merges in the same order from a heap, as a matrix of one endless row would be quadratic.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import base64
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,11 @@ from pyspark.sql import types as T
 NONE = np.iinfo(np.int32).max
 WIDE = 512
 CELLS = 1 << 18
-CACHED = 200_000
+SLICE = 1 << 20  # characters, and at most a quarter as many ids, handled at once; a longer text is handled by itself
+REMEMBERED = 1_000_000  # pieces
+SPACE, LETTER, NUMBER, OTHER = range(4)
+#: The pattern of the byte-level vocabularies, a fixed value; ``starts_of`` does by arrays what it says.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class PairTable:
@@ -67,6 +70,12 @@ class PairTable:
         return out
 
 
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all cells of the runs that begin at ``starts``."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Vocabulary:
     """Tokens by rank, read from a file of lines ``base64 rank``."""
 
@@ -82,45 +91,50 @@ class Vocabulary:
         ]
         self.pairs = PairTable(*np.array(pairs, np.int32).reshape(-1, 3).T)
         self.bytes = np.array([self.ids[bytes([b])] for b in range(256)], np.int32)
+        self.lengths = np.array([len(t) for t in self.tokens], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.text = np.frombuffer(b"".join(self.tokens), np.uint8)
 
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each piece; a piece that is a token is that token."""
-        out: list[list[int] | None] = [[self.ids[p]] if p in self.ids else None for p in pieces]
-        todo = sorted((i for i, ids in enumerate(out) if ids is None), key=lambda i: len(pieces[i]))
-        at = 0
-        while at < len(todo):
-            width = len(pieces[todo[at]])
+    def encode(self, text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces of ``text`` (bytes), one after another, and how many each piece has."""
+        order, at, parts = np.argsort(lengths, kind="stable"), 0, []
+        sizes = lengths[order]
+        while at < len(order):
+            width = int(sizes[at])
             if width > WIDE:
-                out[todo[at]] = self._long(pieces[todo[at]])
+                piece = order[at]
+                ids = np.array(self._long(text[starts[piece] : starts[piece] + width].tobytes()), np.int32)
+                parts.append((order[at : at + 1], np.array([len(ids)]), ids))
                 at += 1
                 continue
             width += width // 4  # the bucket's longest
-            end = at
-            while end < len(todo) and len(pieces[todo[end]]) <= width and (end - at + 1) * width <= CELLS:
-                end += 1
-            end = max(end, at + 1)
-            for i, ids in zip(todo[at:end], self._matrix([pieces[i] for i in todo[at:end]]), strict=True):
-                out[i] = ids
+            end = min(int(np.searchsorted(sizes, width, side="right")), at + max(1, CELLS // max(width, 1)))
+            rows = order[at:end]
+            parts += [(rows[r], counts, ids) for r, counts, ids in self._matrix(text, starts[rows], lengths[rows])]
             at = end
-        return out
+        counts = np.zeros(len(order), np.int64)
+        for rows, n, _ in parts:
+            counts[rows] = n
+        out, begin = np.empty(int(counts.sum()), np.int32), np.cumsum(counts) - counts
+        for rows, n, ids in parts:
+            out[_ragged(begin[rows], n)] = ids
+        return out, counts
 
-    def _matrix(self, pieces: list[bytes]) -> list[list[int]]:
-        lengths = np.array([len(p) for p in pieces])
+    def _matrix(self, text, starts, lengths):
+        """(rows, number of ids of each, their ids) as the rows are done."""
         width = max(int(lengths.max(initial=0)), 1)
-        cells = np.full((len(pieces), width + 1), -1, np.int32)  # the last column stays padding
-        cells[:, :-1][np.arange(width) < lengths[:, None]] = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
-        out: list[list[int]] = [[] for _ in pieces]
-        rows = np.arange(len(pieces))
-        ranks = self.pairs.ranks(cells[:, :-1].ravel(), cells[:, 1:].ravel()).reshape(len(pieces), width)
+        cells = np.full((len(starts), width + 1), -1, np.int32)  # the last column stays padding
+        cells[:, :-1][np.arange(width) < lengths[:, None]] = self.bytes[text[_ragged(starts, lengths)]]
+        rows = np.arange(len(starts))
+        ranks = self.pairs.ranks(cells[:, :-1].ravel(), cells[:, 1:].ravel()).reshape(len(rows), width)
         while len(rows):
             best = ranks.argmin(axis=1)  # the leftmost of equal ones
             lines = np.arange(len(rows))
             rank = ranks[lines, best]
             done = rank == NONE
             if done.any():
-                for k in np.flatnonzero(done):
-                    line = cells[k]
-                    out[rows[k]] = line[line >= 0].tolist()
+                full = cells[done]
+                yield rows[done], (full >= 0).sum(axis=1), full[full >= 0]
                 cells, ranks, rows, best, rank = cells[~done], ranks[~done], rows[~done], best[~done], rank[~done]
                 if not len(rows):
                     break
@@ -134,9 +148,8 @@ class Vocabulary:
             ranks[lines, best] = self.pairs.ranks(here, cells[lines, after])
             before = best > 0
             ranks[lines[before], best[before] - 1] = self.pairs.ranks(cells[lines[before], best[before] - 1], here[before])
-            full = int((cells >= 0).sum(axis=1).max())
-            cells, ranks = cells[:, : full + 1], ranks[:, :full]
-        return out
+            wide = int((cells >= 0).any(axis=0).sum())
+            cells, ranks = cells[:, : wide + 1], ranks[:, :wide]
 
     @staticmethod
     def _close(cells: np.ndarray, gone: np.ndarray) -> np.ndarray:
@@ -167,21 +180,141 @@ class Vocabulary:
         return [i for i in ids if i >= 0]
 
 
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The tokens' bytes, joined."""
+        return self.text[_ragged(self.starts[ids], self.lengths[ids])].tobytes()
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about ``most`` bytes of a column."""
-    sizes = np.array([len(x) if x else 0 for x in batch.column(column).to_pylist()], np.int64)
-    cut = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1 if len(sizes) else []
-    for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
-        if b > a:
-            yield batch.slice(a, b - a)
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    kinds = np.full(0x110000, OTHER, np.uint8)
+    everything = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    codes = np.frombuffer(everything.encode("utf-32-le"), np.uint32)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for run in regex.finditer(pattern, everything):
+            kinds[codes[run.start() : run.end()]] = kind
+    return kinds
+
+
+def starts_of(codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The places where the pieces of ``PATTERN`` begin, in texts that begin at ``begins`` (none of them empty).
+
+    A piece is a run of one kind of character. The last white space before another character is a piece apart from the
+    white space before it; a blank there joins the piece that follows. An apostrophe that begins a piece and stands before
+    one of the fixed endings makes a piece with it.
+    """
+    n = len(codes)
+    kind = _kinds()[codes]
+    new_text = np.zeros(n + 3, bool)
+    new_text[begins] = True
+    new_text[n:] = True
+    start = new_text[:n].copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & ~new_text[1:n])
+    start[last] = True
+    start[last[codes[last] == 32] + 1] = False
+    mark = np.flatnonzero((codes == 39) & start)
+    ahead = np.concatenate([codes, [0, 0, 0]]).astype(np.int64)
+    mark = mark[~new_text[mark + 1]]
+    first, second = ahead[mark + 1], np.where(new_text[mark + 2], 0, ahead[mark + 2])
+    one = np.isin(first, [ord(c) for c in "stmd"])
+    two = np.isin(first * 128 + np.minimum(second, 127), [ord(a) * 128 + ord(b) for a, b in ("re", "ve", "ll")])
+    start[mark[one | two] + 1] = False
+    ends = np.concatenate([mark[one] + 2, mark[two & ~one] + 3])
+    start[ends[ends < n]] = True
+    return np.flatnonzero(start)
+
+
+class _Pieces:
+    """Ids of pieces by a hash of their characters; tokens are known from the start, so a piece that is a token is that token."""
 
+    def __init__(self, words: Vocabulary):
+        self.words = words
+        texts = [(i, t.decode()) for t, i in words.ids.items() if self._is_text(t)]
+        codes = np.frombuffer("".join(t for _, t in texts).encode("utf-32-le"), np.uint32)
+        lengths = np.array([len(t) for _, t in texts], np.int64)
+        hashes, order = np.unique(self.hashes(codes, np.cumsum(lengths) - lengths, lengths), return_index=True)
+        self.first = hashes, np.arange(len(order)), np.ones(len(order), np.int64), np.array([i for i, _ in texts], np.int32)[order]
+        self.keys, self.begin, self.count, self.ids = self.first
 
-def encoded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    @staticmethod
+    def _is_text(token: bytes) -> bool:
+        try:
+            return bool(token.decode())
+        except UnicodeDecodeError:
+            return False
+
+    @staticmethod
+    def hashes(codes, starts, lengths):
+        """64-bit sums over the characters, each mixed with its place in the piece."""
+        place = np.arange(len(codes)) - np.repeat(starts, lengths)
+        x = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
+        return np.add.reduceat(x ^ (x >> np.uint64(32)), starts) if len(starts) else np.zeros(0, np.uint64)
+
+    def encode(self, codes, text, starts, lengths) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces of ``codes`` (characters; ``text`` has their bytes), and how many each piece has."""
+        keys, first, again = np.unique(self.hashes(codes, starts, lengths), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        new = self.keys[at] != keys
+        if new.any():
+            if len(self.keys) + int(new.sum()) > REMEMBERED:
+                self.keys, self.begin, self.count, self.ids = self.first
+                at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+                new = self.keys[at] != keys
+            size = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF).astype(np.int64)
+            ends = np.cumsum(size)
+            some = first[new]
+            begin = ends[starts[some]] - size[starts[some]]
+            ids, count = self.words.encode(text, begin, ends[starts[some] + lengths[some] - 1] - begin)
+            order = np.argsort(all_keys := np.concatenate([self.keys, keys[new]]), kind="stable")
+            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(count) - count])[order]
+            self.count = np.concatenate([self.count, count])[order]
+            self.ids, self.keys = np.concatenate([self.ids, ids]), all_keys[order]
+            at = np.searchsorted(self.keys, keys)
+        at = at[again]
+        return self.ids[_ragged(self.begin[at], self.count[at])], self.count[at]
+
+
+def encode_texts(texts: list[str | None], pieces: _Pieces, pattern: str = PATTERN) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the texts, one after another, and how many each has."""
+    full = [t for t in texts if t]
+    counts = np.zeros(len(texts), np.int64)
+    if not full:
+        return np.zeros(0, np.int32), counts
+    whole = "".join(full)
+    codes, sizes = np.frombuffer(whole.encode("utf-32-le"), np.uint32), np.array([len(t) for t in full])
+    begins = np.cumsum(sizes) - sizes
+    if pattern == PATTERN:
+        starts = starts_of(codes, begins)
+        lengths = np.diff(np.append(starts, len(codes)))
+    else:
+        spans = [(b + m.start(), b + m.end()) for b, t in zip(begins.tolist(), full, strict=True) for m in regex.finditer(pattern, t) if m.group()]
+        starts, lengths = np.array([a for a, _ in spans], np.int64), np.array([b - a for a, b in spans], np.int64)
+        kept = _ragged(starts, lengths)  # characters that no piece holds are left out
+        inside = np.searchsorted(kept, begins)
+        codes, begins = codes[kept], inside
+        starts = np.cumsum(lengths) - lengths
+        whole = codes.tobytes().decode("utf-32-le")
+    ids, n = pieces.encode(codes, np.frombuffer(whole.encode(), np.uint8), starts, lengths)
+    owner = np.searchsorted(begins, starts, side="right") - 1
+    counts[np.flatnonzero([bool(t) for t in texts])] = np.bincount(owner, n, len(full)).astype(np.int64)
+    return ids, counts
+
+
+def _portions(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``most`` in sum."""
+    cut = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1 if len(sizes) else np.zeros(0, np.int64)
+    yield from ((a, b) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(sizes)], strict=True) if b > a)
+
+
+def encoded(docs: DataFrame, path: str, pattern: str = PATTERN, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns ``keep`` and ``ids``, the token ids of each whole text. A null or empty text has none.
 
     ``path`` names the rank file on every machine. Rows stay where they are; repeated rows and null keys are rows like
@@ -189,25 +322,17 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("
     """
 
     def run(batches):
-        words, split, cache = vocabulary(path), regex.compile(pattern), {}
+        pieces = _Pieces(vocabulary(path))
         for whole in batches:
-            for batch in _slices(whole, text):
-                pieces = [split.findall(t) if t else [] for t in batch.column(text).to_pylist()]
-                new = set(chain.from_iterable(pieces)).difference(cache)
-                if len(cache) + len(new) > CACHED:
-                    cache.clear()
-                    new = set(chain.from_iterable(pieces))
-                new = list(new)
-                cache.update(zip(new, words.encode([p.encode() for p in new]), strict=True))
-                ids = [list(chain.from_iterable(map(cache.__getitem__, p))) for p in pieces]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                values = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-                yield pa.RecordBatch.from_arrays([*(batch.column(f"k{i}") for i in range(len(keep))), lists], names)
-
-    names = [*keep, "ids"]
+            sizes = np.array([len(t) if t else 0 for t in whole.column("text").to_pylist()], np.int64)
+            for a, b in _portions(sizes, SLICE):
+                batch = whole.slice(a, b - a)
+                ids, counts = encode_texts(batch.column("text").to_pylist(), pieces, pattern)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*(batch.column(f"k{i}") for i in range(len(keep))), lists], [*keep, "ids"])
+
     fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
-    chosen = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs[text].alias(text))
+    chosen = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs[text].alias("text"))
     return chosen.mapInArrow(run, T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
@@ -216,12 +341,16 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         words = vocabulary(path)
-        tokens = words.tokens
         for whole in batches:
-            at = whole.schema.names.index("ids")
-            for first in range(0, whole.num_rows, 512):
-                batch = whole.slice(first, 512)
-                texts = [b"".join([tokens[i] for i in ids]) if ids else b"" for ids in batch.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
+            place = whole.schema.names.index("ids")
+            sizes = np.asarray(whole.column(place).value_lengths().fill_null(0)).astype(np.int64)
+            for a, b in _portions(sizes, SLICE // 4):
+                batch = whole.slice(a, b - a)
+                n = sizes[a:b]
+                ids = np.asarray(batch.column(place).flatten()).astype(np.int64)
+                text, ends = words.decode(ids), np.concatenate([[0], np.cumsum(words.lengths[ids])])
+                bounds = ends[np.concatenate([[0], np.cumsum(n)])]
+                texts = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(text)])
+                yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())]))
