@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from satbill.functions.sem import nz
 
-# The business columns of a charge: everything that tells two charges apart except their id.
+# All business columns of a charge. Charges that differ in any of them, be it the sub-period or the counter,
+# are different charges.
 CHARGE_KEY = [
     "period_id", "service_id", "customer_id", "account_id", "type_id", "tariff_id", "tariffel_id", "vsat", "money",
-    "price", "traf", "total_traf", "invoice_item_id", "flag", "resource_type_id", "zone_id",
+    "price", "traf", "total_traf", "cbyte", "invoice_item_id", "flag", "resource_type_id", "class_id", "class_name", "blank",
+    "counter_id", "counter_cf", "zone_id", "threshold", "sub_type_id", "sub_period_id", "pmoney", "partner_percent",
 ]
 
 
@@ -173,15 +175,15 @@ def revenue_unique(revenue: DataFrame) -> DataFrame:
 def same_rows(a: DataFrame, b: DataFrame, distinct: bool = True) -> DataFrame:
     """Whether two results hold the same rows in any order, with the number of rows only one of them has.
 
-    Rows compare as text, as in the source; ``distinct=False`` also compares how often each row occurs.
+    Columns pair up by place and compare as text, as in the source; NULL equals NULL and nothing else. ``distinct=False``
+    also compares how often each row occurs.
     """
-    text = lambda df: df.select(F.concat_ws("\x01", *[
-        F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("\x02")) for n in df.columns
-    ]).alias("_row"))
-    side = lambda df, w: text(df).groupBy("_row").agg(F.count(F.lit(1)).alias(w))
-    left, right = side(a, "_l"), side(b, "_r")
-    both = left.join(right, "_row", "full_outer")
-    gap = (nz("_l") - nz("_r")) if not distinct else (nz(F.sign("_l")) - nz(F.sign("_r")))
+    keys = [f"_{i}" for i in range(len(a.columns))]
+    side = lambda df, n, m: df.select(*[
+        F.col(f"`{c}`").cast("string").alias(k) for c, k in zip(df.columns, keys, strict=True)
+    ]).withColumns({"_l": F.lit(n), "_r": F.lit(m)})
+    both = side(a, 1, 0).unionByName(side(b, 0, 1)).groupBy(*keys).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    gap = F.col("_l") - F.col("_r") if not distinct else F.sign("_l") - F.sign("_r")
     return both.agg(
         nz(F.sum(F.greatest(gap, F.lit(0)))).cast("long").alias("only_left"),
         nz(F.sum(F.greatest(-gap, F.lit(0)))).cast("long").alias("only_right"),

@@ -6,7 +6,7 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,87 +14,91 @@ from pyspark.sql import functions as F
 # Functions sent to executors travel whole, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-QUERY_CELLS = 4_000_000  # query vector cells shipped to every task in one pass (32 MB)
+BLOCK = 2048  # vectors in a block; two blocks' scores take 32 MB
 
 
-def _normal(rows: np.ndarray) -> np.ndarray:
-    length = np.linalg.norm(rows, axis=1, keepdims=True)
-    return rows / np.where(length == 0, 1.0, length)
+def _sound(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """Id and vector of rows that have both, without null or non-finite components."""
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    return rows.filter(F.col("id").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", odd))
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k highest scores, equal scores by id."""
-    if len(ids) > 4 * k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = scores >= edge
-        ids, scores = ids[near], scores[near]
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+def _blocks(df: DataFrame, id_col: str, vec_col: str, prefix: str) -> DataFrame:
+    """A row per block of unit vectors of one dimension."""
+    rows = _sound(df, id_col, vec_col)
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                sizes = np.asarray(batch.column("vec").value_lengths())
+                cells, starts = np.asarray(batch.column("vec").flatten()), np.cumsum(sizes) - sizes
+                for dim in np.unique(sizes).tolist():
+                    chosen = np.flatnonzero(sizes == dim)
+                    matrix = cells[starts[chosen][:, None] + np.arange(dim)]
+                    length = np.linalg.norm(matrix, axis=1, keepdims=True)
+                    matrix = matrix / np.where(length == 0, 1.0, length)
+                    ids = batch.column("id").take(pa.array(chosen))
+                    lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([dim], pa.int32()), lists, pa.array([matrix.tobytes()], pa.binary())], ["dim", f"{prefix}_ids", f"{prefix}_cells"]
+                    )
 
-def _pass(df: DataFrame, queries: list[tuple], k: int, id_col: str, vec_col: str) -> DataFrame:
-    names = [q for q, _ in queries]
-    matrix = _normal(np.asarray([v for _, v in queries], dtype=np.float64))
-    shared = df.sparkSession.sparkContext.broadcast((names, matrix))
-    id_type = df.schema[id_col].dataType.simpleString()
-    name_type = "string" if isinstance(names[0], str) else "bigint"
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        labels, wanted = shared.value
-        kept: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(labels)
-        for batch in batches:
-            ids = batch[id_col].to_numpy()
-            if not len(ids):
-                continue
-            scores = _normal(np.stack(batch[vec_col].to_numpy()).astype(np.float64)) @ wanted.T
-            for q in range(len(labels)):
-                old = kept[q]
-                all_ids = ids if old is None else np.concatenate([old[0], ids])
-                all_scores = scores[:, q] if old is None else np.concatenate([old[1], scores[:, q]])
-                kept[q] = _best(all_ids, all_scores, k)
-        for label, best in zip(labels, kept, strict=True):
-            if best is not None:
-                yield pd.DataFrame({"query_id": [label] * len(best[0]), id_col: best[0], "similarity": best[1]})
-
-    dims = matrix.shape[1]
-    return df.select(id_col, vec_col).filter(F.size(vec_col) == dims).mapInPandas(
-        scan, f"query_id {name_type}, {id_col} {id_type}, similarity double"
-    )
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(pack, f"dim int, {prefix}_ids array<{kind}>, {prefix}_cells binary")
 
 
 def vector_topk(
-    df: DataFrame, queries: list[tuple], k: int, id_col: str = "vec_id", vec_col: str = "embedding", **filters
+    df: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", columns: int | None = None, **filters
 ) -> DataFrame:
-    """The k nearest rows by cosine for each (name, vector), among rows that equal ``filters``.
+    """The k nearest rows by cosine for each query (query_id, vector), among rows that equal ``filters``.
 
-    Each task multiplies its batches with the query matrix and keeps k rows per query, so at most
-    tasks × queries × k rows are shuffled. Queries beyond the matrix bound go in further passes.
+    Both sides are packed into blocks. Blocks of rows are dealt to ``columns`` groups (by default the session's shuffle
+    width) and every block of queries goes to each, so rows move once and no task holds more than two blocks at a time.
+    k rows per query and pair of blocks leave Python. Vectors that are null, empty, or hold null or non-finite components take no part.
     """
     for name, value in filters.items():
         df = df.filter(F.col(name) == value)
-    if not queries:
-        raise ValueError("no query vectors")
-    per_pass = max(1, QUERY_CELLS // max(1, len(queries[0][1])))
-    parts = [_pass(df, queries[i:i + per_pass], k, id_col, vec_col) for i in range(0, len(queries), per_pass)]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    columns = columns or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _blocks(df, id_col, vec_col, "v").withColumn("column", F.pmod(F.xxhash64("v_cells"), F.lit(columns)).cast("int"))
+    wanted = _blocks(queries, "query_id", "vector", "q").withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dim = batch.column("dim")[i].as_py()
+                v, q = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64).reshape(-1, dim) for c in ("v_cells", "q_cells"))
+                ids, names = batch.column("v_ids")[i].values, batch.column("q_ids")[i].values
+                scores = q @ v.T
+                edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if k < len(v) else np.full(len(q), -np.inf)
+                query, row = np.nonzero(scores >= edge[:, None])
+                best = scores[query, row]
+                order = np.lexsort((np.array(ids.to_pylist())[row], -best, query))
+                query, row, best = query[order], row[order], best[order]
+                nth = np.arange(len(query)) - np.searchsorted(query, query)  # place among the query's own
+                near = nth < k
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(query[near])), ids.take(pa.array(row[near])), pa.array(best[near])], ["query_id", id_col, "similarity"]
+                )
+
+    id_kind, name_kind = df.schema[id_col].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    found = wanted.join(rows, ["column", "dim"]).mapInArrow(score, f"query_id {name_kind}, {id_col} {id_kind}, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), id_col)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def near_duplicates(
-    df: DataFrame, queries: list[tuple], threshold: float = 0.85, id_col: str = "vec_id", vec_col: str = "embedding"
+    df: DataFrame, queries: DataFrame, threshold: float = 0.85, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:
-    """For every new question its nearest stored one, and whether that is close enough to be the same."""
-    return vector_topk(df, queries, 1, id_col, vec_col).select(
-        "query_id", id_col, "similarity", (F.col("similarity") >= threshold).alias("is_duplicate")
+    """For every new question the k nearest stored ones, and whether each is close enough to be the same."""
+    return vector_topk(df, queries, k, id_col, vec_col).select(
+        "query_id", "rank", id_col, "similarity", (F.col("similarity") >= threshold).alias("is_duplicate")
     )
 
 
-# Dash characters that count as a hyphen, and openings of a question for a document.
+# Fixed value: dash characters that count as a hyphen.
 DASHES = "–—−‐‑"
-OPENINGS = ["опишите ", "расскажи про ", "расскажи о ", "покажи ", "найди ", "что такое ", "про "]
 
 
 def _plain(text: str) -> str:
@@ -113,43 +117,36 @@ def title_search(df: DataFrame, text: str, n: int = 15, title_col: str = "sectio
     return df.filter(_plain_col(F.coalesce(title_col, F.lit(""))).contains(wanted)).orderBy(id_col).limit(n)
 
 
-def title_terms(question: str) -> list[str]:
-    """Up to three texts to look for in titles: the question itself, and what follows a known opening."""
-    terms = [question.strip()] if len(question.strip()) <= 120 else []
-    for opening in OPENINGS:
-        for spelling in (opening, opening.capitalize()):
-            if opening in question.lower() and spelling in question:
-                rest = question.split(spelling, 1)[1].strip()
-                if len(rest) >= 2 and rest not in terms:
-                    terms.append(rest)
-                break
-    return terms[:3]
-
-
 def hybrid_search(
-    df: DataFrame, question: str, vector: list[float], k: int, title_limit: int = 15, id_col: str = "vec_id",
+    df: DataFrame, texts: list[str], queries: DataFrame, k: int, title_limit: int = 15, id_col: str = "vec_id",
     title_col: str = "section_title", vec_col: str = "embedding",
 ) -> DataFrame:
-    """Title hits first, then the semantically nearest rows under titles not seen yet, k in all."""
-    hits: list = []
-    for term in (t for t in title_terms(question) if len(t) >= 2):
-        hits = title_search(df, term[:80], title_limit, title_col, id_col).select(id_col, title_col).collect()
-        if hits:
-            break
-    near = vector_topk(df, [("q", vector)], k, id_col, vec_col).select(id_col, "similarity", "rank")
-    titled = near.join(df.select(id_col, title_col), id_col).withColumn("source", F.lit("semantic"))
-    if not hits:
-        return titled.select("source", "rank", id_col, title_col, "similarity")
-    seen = [h[1] for h in hits]
-    first = Window.partitionBy(title_col).orderBy("rank")
-    fresh = (
-        titled.filter(~F.col(title_col).isin(seen))
-        .withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") == 1)
-    )
-    schema = titled.select("source", "rank", id_col, title_col, "similarity").schema
-    top = df.sparkSession.createDataFrame([("title", i, h[0], h[1], 1.0) for i, h in enumerate(hits, 1)], schema)
+    """Title hits first, then the semantically nearest rows under titles not seen yet, k in all.
+
+    ``texts`` are looked for in titles as they are; the first of them that any title contains gives the hits. ``queries`` is
+    the question's one vector. Rows without a title keep their place among the nearest.
+    """
+    title = _plain_col(F.coalesce(title_col, F.lit("")))
+    wanted = [w for w in map(_plain, texts) if w]
+    first_term = F.coalesce(*[F.when(title.contains(w), F.lit(i)) for i, w in enumerate(wanted)], F.lit(None).cast("int")) if wanted else F.lit(None).cast("int")
+    said = df.select(id_col, title_col, first_term.alias("term")).filter(F.col("term").isNotNull())
+    # a row counts for the first text its title holds; the lowest such number of all rows is the text that hits
+    chosen = said.agg(F.min("term").alias("best"))
+    hits = said.join(chosen, F.col("term") == F.col("best")).select(id_col, title_col).orderBy(id_col).limit(title_limit)
+    hits = hits.withColumn("rank", F.row_number().over(Window.orderBy(id_col)))
+    near = vector_topk(df, queries, k, id_col, vec_col).select(id_col, "similarity", "rank")
+    near = near.join(df.select(id_col, title_col), id_col)
+    seen = hits.select(F.col(title_col).alias("seen_title")).distinct()
+    fresh = near.join(seen, F.col(title_col).eqNullSafe(F.col("seen_title")), "left_anti")
+    once = Window.partitionBy(title_col).orderBy("rank")
+    some_hit = chosen.select(F.col("best").isNotNull().alias("some_hit"))
+    fresh = fresh.withColumn("nth", F.row_number().over(once)).join(some_hit)
+    # without title hits, and under no title, every near row stays
+    fresh = fresh.filter((F.col("nth") == 1) | ~F.col("some_hit") | F.col(title_col).isNull())
+    columns = ["source", "rank", id_col, title_col, "similarity"]
     return (
-        top.unionByName(fresh.select(*schema.names))
+        hits.withColumns({"source": F.lit("title"), "similarity": F.lit(1.0)}).select(*columns)
+        .unionByName(fresh.withColumn("source", F.lit("semantic")).select(*columns))
         .orderBy(F.when(F.col("source") == "title", 0).otherwise(1), "rank").limit(k)
     )
 

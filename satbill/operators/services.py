@@ -46,43 +46,51 @@ def not_own(df: DataFrame, exclude_by: str) -> DataFrame:
 def charges_report(
     charges: DataFrame, services: DataFrame, customers: DataFrame, outer_ids: DataFrame, contacts: DataFrame,
     contact_dict: DataFrame, accounts: DataFrame, tariffs: DataFrame, zones: DataFrame, resource_types: DataFrame,
-    periods: DataFrame, exclude_by: str = "code", one_code: bool = False,
+    periods: DataFrame, exclude_by: str = "code", one_code: bool = True,
 ) -> DataFrame:
     """Charges of customers with a code, with their customer, account, service, period, tariff and zone.
 
-    A customer with several codes has a row per pair of a qualifying and a listed code, as in the
-    source report; ``one_code`` keeps the lowest code only.
+    A customer qualifies by any of its codes; a charge is listed once, with the lowest code, so that money adds up.
+    ``one_code=False`` lists it once per code, as the source report does.
     """
     codes = customer_codes(outer_ids)
-    if one_code:
-        codes = codes.groupBy("customer_id").agg(F.min("ext_code").alias("ext_code"))
-    paying = not_own(codes.filter(F.length(F.trim("ext_code")) > 0), exclude_by).distinct()
+    paying = not_own(codes.filter(F.length(F.trim("ext_code")) > 0), exclude_by).select("customer_id")
+    codes = codes.groupBy("customer_id").agg(F.min("ext_code").alias("ext_code")) if one_code else codes.distinct()
     named = (
-        customers.select("customer_id").join(codes.distinct(), "customer_id", "left")
+        customers.select("customer_id").join(codes, "customer_id", "left")
         .join(customer_names(contacts, contact_dict), "customer_id", "left")
     )
     svc = services.filter(F.col("type_id").isin(REVENUE_TYPES)).select(
         "service_id", F.col("login").alias("contract_id"), F.col("status").alias("service_status"),
         F.col("start_date").alias("service_start_date"), F.col("stop_date").alias("service_stop_date"),
     )
+    months = periods.select(
+        "period_id", F.date_format("start_date", "yyyy-MM").alias("period"), F.col("month").alias("period_name"),
+        F.col("start_date").alias("period_start_date"), F.col("stop_date").alias("period_end_date"),
+    )
+    plans = tariffs.select("tariff_id", F.col("name").alias("tariff_name"), F.col("description").alias("tariff_description"))
+    areas = zones.select("zone_id", F.col("description").alias("zone_name"), F.col("description").alias("zone_description"))
+    kinds = resource_types.select(
+        "resource_type_id", F.col("mnemonic").alias("resource_mnemonic"), F.col("name").alias("resource_type_name"),
+        F.col("name").alias("resource_type_description"),
+    )
     money_if = lambda names: F.when(F.col("resource_mnemonic").isin(names), F.col("money")).otherwise(F.lit(0))
     return (
         charges.join(svc, "service_id")
-        .join(paying.select("customer_id"), "customer_id")
+        .join(paying, "customer_id", "left_semi")
         .join(named, "customer_id", "left")
         .join(accounts.select("account_id", F.col("description").alias("account_name")), "account_id", "left")
-        .join(tariffs.select("tariff_id", F.col("name").alias("tariff_name")), "tariff_id", "left")
-        .join(zones.select("zone_id", F.col("description").alias("zone_name")), "zone_id", "left")
-        .join(resource_types.select("resource_type_id", F.col("mnemonic").alias("resource_mnemonic")), "resource_type_id", "left")
-        .join(
-            periods.select("period_id", F.date_format("start_date", "yyyy-MM").alias("period"), F.col("month").alias("period_name")),
-            "period_id", "left",
-        )
+        .join(plans, "tariff_id", "left")
+        .join(areas, "zone_id", "left")
+        .join(kinds, "resource_type_id", "left")
+        .join(months, "period_id", "left")
         .select(
             "customer_id", "ext_code", "customer_name", "organization_name", "person_name", "account_id", "account_name",
             "service_id", "contract_id", F.col("vsat").alias("imei"), "service_status", "service_start_date",
-            "service_stop_date", "period_id", "period", "period_name", "tariff_id", "tariff_name", "tariffel_id",
-            "zone_id", "zone_name", "type_id", "resource_type_id", "resource_mnemonic", "money", "price", "traf",
+            "service_stop_date", "period_id", "period", "period_name", "period_start_date", "period_end_date",
+            "tariff_id", "tariff_name", "tariff_description", "tariffel_id", "zone_id", "zone_name", "zone_description",
+            "type_id", "class_id", "class_name", "resource_type_id", "resource_mnemonic", "resource_type_name",
+            "resource_type_description", "money", "price", "traf", "total_traf",
             money_if(CHARGE_ABON).alias("money_abon"), money_if(CHARGE_TRAFFIC).alias("money_traffic"),
             "invoice_item_id",
             F.when(F.col("invoice_item_id").isNotNull(), F.lit("Y")).otherwise(F.lit("N")).alias("in_invoice"),
@@ -365,12 +373,13 @@ def card_services(services: DataFrame, cards: DataFrame, batches: DataFrame, tar
 
 # --- pick-lists --------------------------------------------------------------------------
 
-def period_list(periods: DataFrame, n: int = 100) -> DataFrame:
-    return (
+def period_list(periods: DataFrame, n: int | None = None) -> DataFrame:
+    """All months with a period, newest first; the ``n`` newest if a number is asked for."""
+    months = (
         periods.filter(F.col("start_date").isNotNull())
-        .select(F.date_format("start_date", "yyyy-MM").alias("period")).distinct()
-        .orderBy(F.col("period").desc()).limit(n)
+        .select(F.date_format("start_date", "yyyy-MM").alias("period")).distinct().orderBy(F.col("period").desc())
     )
+    return months if n is None else months.limit(n)
 
 
 def plan_list(report: DataFrame) -> DataFrame:

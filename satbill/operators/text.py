@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from satbill.functions.sem import c
 
-# Functions sent to executors travel whole, so the package need not be installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 BLANKS = " \t\n\r\f\x0b"
-MAX_MAPPING = 20_000
 
 
 def strip(col: Column | str) -> Column:
@@ -26,28 +17,26 @@ def strip(col: Column | str) -> Column:
 
 # --- replacement by a mapping table -------------------------------------------------------
 
-def _mapping_literal(mapping: DataFrame) -> Column:
-    """The mapping as one array in index order. It is a configuration table and its size is checked."""
-    rows = mapping.select("working_index", "spare_index", "old_text", "new_text").limit(MAX_MAPPING + 1).collect()
-    if len(rows) > MAX_MAPPING:
-        raise ValueError(f"a mapping holds at most {MAX_MAPPING} entries")
-    cells = [
-        F.struct(
-            F.lit(int(r.working_index)).alias("working_index"), F.lit(int(r.spare_index)).alias("spare_index"),
-            F.lit(r.old_text).alias("old_text"), F.lit(r.new_text).alias("new_text"),
-        )
-        for r in sorted(rows, key=lambda r: r.working_index)
-    ]
-    return F.array(*cells)
+INDEX_TEXT = "(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}"  # the shape of a mapping key
 
 
-def contained_keys(df: DataFrame, col: str, mapping: DataFrame, prefix: str = "") -> DataFrame:
-    """Adds ``matches``: the mapping entries whose key the text contains. No join and no row is multiplied."""
-    found = F.filter(_mapping_literal(mapping), lambda m: F.col(col).contains(F.concat(F.lit(prefix), m["old_text"])))
-    return df.withColumn("matches", found)
+def contained_keys(df: DataFrame, id_col: str, col: str, mapping: DataFrame, prefix: str = "", shape: str = INDEX_TEXT) -> DataFrame:
+    """Adds ``matches``: the mapping entries whose key the text contains, in index order.
+
+    Texts give up the keys they hold by the keys' shape, overlapping ones too, and an equi join finds the entries, so the
+    mapping is a table of any size. ``id_col`` is unique; a row's matches are bounded by its own text.
+    """
+    quoted = "".join(f"\\{ch}" if not ch.isalnum() and ch != " " else ch for ch in prefix)
+    keys = F.array_distinct(F.regexp_extract_all(F.col(col), F.lit(f"(?={quoted}({shape}))"), F.lit(1)))
+    entry = F.struct("working_index", "spare_index", "old_text", "new_text")
+    found = (
+        df.select(id_col, F.explode(keys).alias("old_text")).join(mapping, "old_text")
+        .groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("matches"))
+    )
+    return df.join(found, id_col)
 
 
-def replace_by_map(df: DataFrame, col: str, mapping: DataFrame, prefix: str = "") -> DataFrame:
+def replace_by_map(df: DataFrame, id_col: str, col: str, mapping: DataFrame, prefix: str = "", shape: str = INDEX_TEXT) -> DataFrame:
     """Rows that contain any key, with all keys replaced in index order and the list of changes."""
 
     def put(text: Column, m: Column) -> Column:
@@ -55,8 +44,7 @@ def replace_by_map(df: DataFrame, col: str, mapping: DataFrame, prefix: str = ""
 
     change = lambda m: F.concat(m["working_index"].cast("string"), F.lit("->"), m["spare_index"].cast("string"))
     return (
-        contained_keys(df.filter(F.col(col).isNotNull()), col, mapping, prefix)
-        .filter(F.size("matches") > 0)
+        contained_keys(df, id_col, col, mapping, prefix, shape)
         .withColumn("new_value", F.aggregate("matches", F.col(col), put))
         .withColumn("changes", F.array_join(F.transform("matches", change), ", "))
         .drop("matches")
@@ -93,6 +81,9 @@ def index_changes(a: DataFrame, b: DataFrame, octets: int = 6) -> DataFrame:
 
 
 # --- encoding repair ------------------------------------------------------------------------
+#
+# Text is damaged when bytes are read in a wrong code page. One-byte pages undo each other character by character, which is
+# ``translate``; the tables follow from the code pages. Only the reading as UTF-8 has to go through bytes.
 
 # Characters that only damaged text contains, and the byte behind each stand-in character.
 MARKERS = "ҐЋ®€¤¬"
@@ -102,114 +93,74 @@ STAND_INS = {
 }
 CAPITAL_ER = "Р"
 
+UPPER_HALF = [b for b in range(0x80, 0x100) if b != 0x98]  # the bytes that CP1251 has a character for
+WINDOWS = "".join(bytes([b]).decode("cp1251") for b in UPPER_HALF)
+DOS = "".join(bytes([b]).decode("cp866") for b in UPPER_HALF)
+LATIN = "".join(map(chr, UPPER_HALF))
+# the bytes of characters: by CP1251 alone, and with stand-ins first (translate keeps a character's first entry)
+BYTES_OF = (WINDOWS, LATIN), ("".join(STAND_INS) + WINDOWS, "".join(map(chr, STAND_INS.values())) + LATIN)
 
-def _letters(text: str) -> int:
-    return sum("Ѐ" <= ch <= "ӿ" for ch in text)
-
-
-def _marked(text: str) -> bool:
-    return any(ch in MARKERS for ch in text)
 
+def _letters(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, "[^\u0400-\u04FF]", ""))
 
-def _er_heavy(text: str) -> bool:
-    """UTF-8 read as CP1251 is full of one capital letter."""
-    count = text.count(CAPITAL_ER)
-    return count >= 2 and count * 4 >= _letters(text)
 
+def _sound(text: Column) -> Column:
+    """Cyrillic text without signs of damage: enough letters, no marker, and not the capital that UTF-8 read as CP1251 is full of."""
+    capitals = F.length(text) - F.length(F.replace(text, F.lit(CAPITAL_ER), F.lit("")))
+    heavy = (F.length(text) >= 4) & (capitals >= 2) & (capitals * 4 >= _letters(text))
+    enough = _letters(text) >= F.greatest(F.lit(2), F.floor(F.length(F.trim(text)) / 4))
+    return F.coalesce(enough & ~heavy & ~text.rlike(f"[{MARKERS}]"), F.lit(False))
 
-def _enough(text: str) -> bool:
-    return _letters(text) >= max(2, len(text.strip()) // 4)
 
+def _as_utf8(text: Column) -> Column:
+    """The characters' bytes read as UTF-8, null where they aren't. A blank behind a lead byte stands for a hard blank."""
+    marked = F.regexp_replace(text, "([РС]) ", "$1\u00A0")
 
-def _recode(text: str, source: str, target: str) -> str | None:
-    try:
-        return text.encode(source).decode(target)
-    except (UnicodeEncodeError, UnicodeDecodeError):
-        return None
+    def read(codes: Column) -> Column:
+        data = F.encode(F.regexp_replace(codes, "[^\\x00-\\xFF]", "?"), "ISO-8859-1")
+        return F.when(~codes.rlike("[^\\x00-\\xFF]"), F.try_validate_utf8(data.cast("string")))
 
+    return F.coalesce(*[read(F.translate(marked, *table)) for table in BYTES_OF])
 
-def _byte(ch: str) -> bytes:
-    """The byte a character of mixed damage stands for."""
-    if ord(ch) <= 0xFF:
-        return bytes([ord(ch)])
-    if ch in STAND_INS:
-        return bytes([STAND_INS[ch]])
-    try:
-        return ch.encode("cp1251")
-    except UnicodeEncodeError:
-        return ch.encode("cp1252")
 
+def with_repair(df: DataFrame, col: str) -> DataFrame:
+    """Adds ``_fixed`` and ``_how``: the reading that makes sound text of a damaged one, null where there is nothing to repair.
 
-def _from_utf8(text: str) -> str | None:
-    damaged = len(text) >= 4 and _er_heavy(text)
-    spellings = [text] + ([text.replace(" ", "\xa0")] if " " in text else [])
-    for spelling in spellings if damaged else spellings[:1]:
-        fixed = _recode(spelling, "cp1251", "utf-8")
-        if fixed and fixed != text:
-            return fixed
-    for spelling in spellings if damaged else []:
-        try:
-            fixed = b"".join(_byte(ch) for ch in spelling).decode("utf-8")
-        except (UnicodeEncodeError, UnicodeDecodeError):
-            continue
-        if fixed and fixed != spelling:
-            return fixed
-    return None
-
-
-REPAIRS = {
-    "cp1251->utf8": _from_utf8,
-    "cp1251->cp866": lambda text: _recode(text, "cp1251", "cp866"),
-    "latin1->cp1251": lambda text: _recode(text, "latin-1", "cp1251"),
-}
-
-
-def repaired(text: str | None) -> tuple[str | None, str | None]:
-    """The best reading of a damaged text and how it came about; (None, None) where there is nothing to repair."""
-    if not text or not text.strip():
-        return None, None
-    damaged = len(text) >= 4 and _er_heavy(text)
-    if not _marked(text) and not damaged and _letters(text) >= 2 and _enough(text):
-        return None, None
-    order = list(REPAIRS) if damaged else [*list(REPAIRS)[1:], list(REPAIRS)[0]]
-    best: tuple[str, str] | None = None
-    for how in order:
-        fixed = REPAIRS[how](text)
-        sound = bool(fixed) and fixed != text and not _marked(fixed) and not _er_heavy(fixed) and _enough(fixed)
-        if not sound or (how != "cp1251->utf8" and _letters(fixed) < _letters(text)):
-            continue
-        if best is None or _letters(fixed) > _letters(best[0]):
-            best = (fixed, how)
-    return best or (None, None)
-
-
-@F.pandas_udf(T.StructType([T.StructField("fixed", T.StringType()), T.StructField("how", T.StringType())]))
-def _repair_column(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([repaired(t) for t in texts], columns=["fixed", "how"])
+    Sound text stays. Else the reading as UTF-8 wins if it is sound, as no other text reads as UTF-8 by chance; then, of the two
+    one-byte readings that are sound and lose no letters, the one with more letters.
+    """
+    text = F.col(col)
+    odd = text.rlike(r"[^\x00-\x7F]")
+    dos = F.when(~text.rlike(f"[^\\x00-\\x7F{WINDOWS}]"), F.translate(text, WINDOWS, DOS))
+    windows = F.when(~text.rlike(r"[^\x00-\x97\x99-\xFF]"), F.translate(text, LATIN, WINDOWS))
+    readings = F.array(*[
+        F.struct(F.lit(i).alias("order"), t.alias("text"), F.lit(how).alias("how"))
+        for i, (t, how) in enumerate(((_as_utf8(text), "cp1251->utf8"), (dos, "cp1251->cp866"), (windows, "latin1->cp1251")))
+    ])
+    rated = F.transform(readings, lambda r: F.struct(
+        (r["order"] > 0).alias("guessed"), (-_letters(r["text"])).alias("fewer"), "_letters", r["order"], _sound(r["text"]).alias("sound"), r["text"], r["how"]
+    ))
+    fit = F.filter(rated, lambda r: r["sound"] & (~r["guessed"] | (-r["fewer"] >= r["_letters"])))
+    df = df.withColumn("_letters", _letters(text))
+    df = df.withColumn("_best", F.when(odd & ~_sound(text), F.array_min(fit)))
+    return df.withColumn("_fixed", F.col("_best.text")).withColumn("_how", F.col("_best.how")).drop("_best", "_letters")
 
 
 def text_repairs(df: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
-    """Report of what a repair would change: id, column, old and new text, and how.
-
-    Only rows with characters outside ASCII, tested on the JVM, go through Python.
-    """
+    """Report of what a repair would change: id, column, old and new text, and how."""
     cells = F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(n).alias("old_value")) for n in cols])).alias("_c")
-    return (
-        df.select(id_col, cells).select(id_col, "_c.*")
-        .filter(F.col("old_value").rlike(r"[^\x00-\x7F]"))
-        .withColumn("_r", _repair_column("old_value"))
-        .filter(F.col("_r.fixed").isNotNull())
-        .select(id_col, "column", "old_value", F.col("_r.fixed").alias("new_value"), "_r.how")
+    return with_repair(df.select(id_col, cells).select(id_col, "_c.*"), "old_value").filter(F.col("_fixed").isNotNull()).select(
+        id_col, "column", "old_value", F.col("_fixed").alias("new_value"), F.col("_how").alias("how")
     )
 
 
 def repair_text(df: DataFrame, cols: list[str]) -> DataFrame:
-    """The whole table with damaged texts repaired; rows that are plain ASCII never leave the JVM."""
-    odd = F.lit(False)
+    """The whole table with damaged texts repaired, in one pass."""
+    names = df.columns
     for n in cols:
-        odd = odd | F.coalesce(F.col(n).rlike(r"[^\x00-\x7F]"), F.lit(False))
-    fixed = {n: F.coalesce(_repair_column(n)["fixed"], F.col(n)) for n in cols}
-    return df.filter(~odd).unionByName(df.filter(odd).withColumns(fixed))
+        df = with_repair(df, n).withColumn(n, F.coalesce("_fixed", n)).select(*names)
+    return df
 
 
 # --- pages, sections, chunks ------------------------------------------------------------------
@@ -223,67 +174,86 @@ def plain_text(html: Column | str) -> Column:
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
-def page_sections(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Top-level sections of every page: title, and text with the nested sections flattened into it.
+TAG = r"(?is)<(/?)([a-z][a-z0-9]*)\b"
 
-    A heading opens a new section unless it is deeper than the one that is open; text before the
-    first heading opens an untitled section that everything after it belongs to. A page without
-    headings or paragraphs is one untitled section. Built from array functions, page by page.
+
+def page_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Headings, paragraphs, lists and tables of every page, outermost ones only: id, block, level (headings), html.
+
+    Pages fall into tags and texts, one row each. A running count of opened less closed lists and tables tells what lies
+    inside one; a heading, paragraph, list or table that opens outside of them ends whatever was open, so an unclosed
+    paragraph takes nothing from the heading after it. Windows span one page.
     """
     html = F.regexp_replace(F.coalesce(html_col, F.lit("")), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", "")
-    whole = F.regexp_extract_all(html, F.lit(r"(?is)(<(h[1-6]|p|ul|ol|table)\b[^>]*>.*?</\2\s*>)"), F.lit(1))
-    blocks = F.transform(whole, lambda b: F.struct(
-        F.regexp_extract(b, r"(?i)^<h([1-6])\b", 1).try_cast("int").alias("level"), plain_text(b).alias("text")
-    ))
-    blocks = F.filter(blocks, lambda b: b["level"].isNull() | (b["text"] != ""))
-    section = "struct<level: int, title: string, text: string, open: boolean>"
-    empty = F.array().cast(f"array<{section}>")
-
-    def made(level: Column, title: Column, text: Column, is_open: Column) -> Column:
-        return F.struct(level.alias("level"), title.alias("title"), text.alias("text"), is_open.alias("open"))
-
-    def replace_last(acc: Column, last: Column) -> Column:
-        return F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(last))
-
-    def step(acc: Column, b: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        heading = b["level"].isNotNull()
-        root = F.size(acc) == 0
-        new_root = heading & (root | (last["level"] >= b["level"]))
-        gap = F.when(heading | ~last["open"], F.lit("\n\n")).otherwise(F.lit("\n"))
-        more = made(
-            last["level"], last["title"],
-            F.when(last["text"] == "", b["text"]).otherwise(F.concat(last["text"], gap, b["text"])), ~heading,
-        )
-        return (
-            F.when(new_root, F.concat(acc, F.array(made(b["level"], b["text"], F.lit(""), F.lit(False)))))
-            .when(root, F.array(made(F.lit(0), F.lit(""), b["text"], F.lit(True))))
-            .otherwise(replace_last(acc, more))
-        )
+    parts = pages.select(id_col, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?s)(<[^>]*>|[^<]+|<)"), F.lit(1))).alias("pos", "part"))
+    page = Window.partitionBy(id_col).orderBy("pos")
+    parts = parts.withColumn("closes", F.regexp_extract("part", TAG, 1) == "/").withColumn("tag", F.lower(F.regexp_extract("part", TAG, 2)))
+    box = F.col("tag").isin("ul", "ol", "table")
+    parts = parts.withColumn("change", F.when(box & F.col("closes"), -1).when(box, 1).otherwise(0))
+    # closing tags without an opening one don't count: the depth is the sum above its lowest point so far
+    parts = parts.withColumn("sum", F.sum("change").over(page)).withColumn("low", F.least(F.lit(0), F.min("sum").over(page)))
+    parts = parts.withColumn("depth", F.col("sum") - F.col("low"))
+    outside = (F.col("depth") == 0) | (box & ~F.col("closes") & (F.col("depth") == 1))
+    line = F.col("tag").rlike("^(h[1-6]|p)$")
+    parts = parts.withColumn("starts", (outside & (line | box) & ~F.col("closes")).cast("int"))
+    shut = line | (box & (F.lag("depth", 1, 0).over(page) == 1))
+    ends = F.col("closes") & shut & (F.col("depth") == 0)
+    before = page.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("ends", ends.cast("int"))
+    parts = parts.withColumn("block", F.sum("starts").over(page))
+    parts = parts.withColumn("run", F.coalesce(F.sum(F.col("starts") + F.col("ends")).over(before), F.lit(0)) + F.col("starts"))
+    opened = Window.partitionBy(id_col, "block")
+    parts = parts.withColumn("first_run", F.min("run").over(opened))  # after its end, what follows belongs to no block
+    inside = parts.filter((F.col("block") > 0) & (F.col("run") == F.col("first_run")))
+    return inside.groupBy(id_col, "block").agg(
+        F.max(F.when(F.col("starts") == 1, F.regexp_extract("tag", "^h([1-6])$", 1).try_cast("int"))).alias("level"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "").alias("html"),
+    )
 
-    whole_page = F.array(made(F.lit(0), F.lit(""), plain_text(html), F.lit(True)))
-    folded = F.aggregate(blocks, empty, step)
-    return (
-        pages.select(id_col, F.when(F.size(blocks) == 0, whole_page).otherwise(folded).cast(f"array<{section}>").alias("_s"))
-        .select(id_col, F.posexplode("_s").alias("idx", "_x"))
-        .select(id_col, "idx", F.col("_x.title").alias("title"), strip("_x.text").alias("text"))
+
+def page_sections(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Top-level sections of every page: title, and text with the nested sections flattened into it.
+
+    A heading opens a new section unless it is deeper than the one that is open; text before the first heading opens an
+    untitled section that everything after it belongs to. So a section opens where a heading's level is at most the lowest
+    one so far. A page without headings or paragraphs is one untitled section.
+    """
+    blocks = page_blocks(pages, id_col, html_col).withColumn("text", plain_text("html")).filter(F.col("level").isNull() | (F.col("text") != ""))
+    so_far = Window.partitionBy(id_col).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    page = Window.partitionBy(id_col).orderBy("block")
+    level = F.when(F.row_number().over(page) == 1, F.coalesce("level", F.lit(0))).otherwise(F.col("level"))
+    blocks = blocks.withColumn("own", level).withColumn("lowest", F.min("own").over(so_far))
+    opens = F.col("lowest").isNull() | (F.col("level").isNotNull() & (F.col("level") <= F.col("lowest")))
+    blocks = blocks.withColumn("opens", opens).withColumn("idx", F.sum(F.col("opens").cast("int")).over(page) - 1)
+    blocks = blocks.withColumn("titles", F.col("opens") & F.col("level").isNotNull())
+    blocks = blocks.withColumn("heading", F.col("level").isNotNull()).withColumn("after_heading", F.lag("heading", 1, True).over(page))
+    gap = F.when(F.col("heading") | F.col("after_heading"), F.lit("\n\n")).otherwise(F.lit("\n"))
+    piece = F.when(~F.col("titles") & (F.col("text") != ""), F.struct("block", gap.alias("gap"), "text"))
+    joined = F.aggregate("pieces", F.lit(""), lambda a, p: F.concat(a, F.when(a == "", F.lit("")).otherwise(p["gap"]), p["text"]))
+    found = blocks.groupBy(id_col, "idx").agg(
+        F.max(F.when(F.col("titles"), F.col("text"))).alias("title"), F.array_sort(F.collect_list(piece)).alias("pieces")
+    ).select(id_col, "idx", F.coalesce("title", F.lit("")).alias("title"), strip(joined).alias("text"))
+    bare = pages.join(found.select(id_col).distinct(), id_col, "left_anti").select(
+        id_col, F.lit(0).cast("long").alias("idx"), F.lit("").alias("title"), plain_text(F.coalesce(html_col, F.lit(""))).alias("text")
     )
+    return found.unionByName(bare)
 
 
 # Wording and limits of the chunks.
 ATTACHMENT = "Вложение:"
 ATTACHMENT_NOTE = ("Документ «", "» (вложение). ")
-CUT_NOTE = "\n\n[... обрезано ...]"
 EMBED_CHARS, CONTENT_CHARS = 15000, 12000
 UNTITLED = "(без заголовка)"
 ATTACHMENT_ENDINGS = [".xlsx", ".xls", ".pdf", ".docx", ".doc", ".png", ".drawio", ".xml"]
 
 
-def section_chunks(sections: DataFrame, outdated: DataFrame) -> DataFrame:
-    """Text to embed and content to store per section (page_id, page_title, section_title, section_text).
+def section_chunks(sections: DataFrame, outdated: DataFrame, content_chars: int = CONTENT_CHARS, embed_chars: int = EMBED_CHARS) -> DataFrame:
+    """Text to embed and content to store per chunk of a section (page_id, page_title, section_title, section_text).
 
-    Pages on the outdated list and sections without text are left out. Attachments are named in
-    words, so that a question for a document by name finds it.
+    A section is its title lines and its text; chunks of ``content_chars`` hold all of it, numbered from 0, and their
+    contents in order give the section back. Later chunks are embedded behind the title lines, as far as ``embed_chars``
+    leaves room for these. Pages on the outdated list and sections without text are left out. Attachments are named
+    in words, so that a question for a document by name finds it.
     """
     title = strip(F.coalesce("section_title", F.lit("")))
     attached = F.lower(title).startswith(ATTACHMENT.lower())
@@ -292,15 +262,18 @@ def section_chunks(sections: DataFrame, outdated: DataFrame) -> DataFrame:
         *[F.when(F.lower(name).endswith(e), strip(name.substr(F.lit(1), F.length(name) - len(e)))) for e in ATTACHMENT_ENDINGS], name
     )
     note = F.when(attached & (bare != ""), F.concat(F.lit(ATTACHMENT_NOTE[0]), bare, F.lit(ATTACHMENT_NOTE[1]))).otherwise(F.lit(""))
-    full = strip(F.concat(F.col("page_title"), F.lit("\n\n"), title, F.lit("\n\n"), note, F.col("section_text")))
-    cut = F.when(F.length(full) > EMBED_CHARS, F.concat(F.substring(full, 1, EMBED_CHARS), F.lit(CUT_NOTE))).otherwise(full)
+    head = F.concat(F.coalesce("page_title", F.lit("")), F.lit("\n\n"), title, F.lit("\n\n"))
+    content = F.substr(F.col("whole"), F.col("chunk") * content_chars + 1, F.lit(content_chars))
+    room = F.greatest(F.lit(0), embed_chars - F.length(content))
     return (
         sections.join(outdated.select("page_id").distinct(), "page_id", "left_anti")
         .filter(F.coalesce("section_text", F.lit("")) != "")
-        .withColumn("embed_text", cut)
+        .withColumns({"head": head, "whole": strip(F.concat(head, note, F.col("section_text")))})
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("whole") - 1) / content_chars).cast("int")))))
         .select(
-            "page_id", "page_title", F.when(title == "", F.lit(UNTITLED)).otherwise(title).alias("section_title"),
-            "embed_text", F.substring("embed_text", 1, CONTENT_CHARS).alias("content"),
+            "page_id", "page_title", F.when(title == "", F.lit(UNTITLED)).otherwise(title).alias("section_title"), "chunk",
+            F.concat(F.when(F.col("chunk") == 0, F.lit("")).otherwise(F.substr(F.col("head"), F.lit(1), room)), content).alias("embed_text"),
+            content.alias("content"),
         )
     )
 
@@ -332,16 +305,12 @@ def mentioned_tables(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn("tables", F.array_sort(F.array_distinct(found)))
 
 
-# File endings and media types by the parser that reads them.
-SKIPPED_ENDINGS = [".tmp", ".render", ".tfss"]
-PARSER_ENDINGS = {
-    "pdf": [".pdf"], "docx": [".docx", ".doc"], "xls": [".xls", ".xlsx"], "drawio": [".drawio"],
-    "image": [".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tiff", ".tif", ".webp"],
-}
-PARSER_MEDIA = {
-    "pdf": ["application/pdf"],
-    "docx": ["application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/msword"],
-    "xls": ["application/vnd.ms-excel", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"],
+# The parser for each file ending and media type, and for families of media types.
+PARSERS = {
+    "skip": ".tmp .render .tfss", "pdf": ".pdf application/pdf", "image": ".png .jpg .jpeg .gif .bmp .tiff .tif .webp image/*",
+    "docx": ".docx .doc application/vnd.openxmlformats-officedocument.wordprocessingml.document application/msword",
+    "xls": ".xls .xlsx application/vnd.ms-excel application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "drawio": ".drawio .xml+drawio +xml +drawio",
 }
 
 
@@ -351,17 +320,17 @@ def file_ending(col: Column | str) -> Column:
 
 
 def attachment_parser(title: Column | str, media_type: Column | str) -> Column:
+    """Looks the file up by ending, by media type, by ending with "drawio" in the name, by the media type's family, and by
+    what the name or type of a file without ending mentions."""
+    table = F.create_map(*[F.lit(x) for parser, keys in PARSERS.items() for key in keys.split(" ") for x in (key, parser)])
     ending, media = file_ending(title), F.lower(F.trim(F.coalesce(c(media_type), F.lit(""))))
     drawn = F.lower(F.coalesce(c(title), F.lit(""))).contains("drawio")
-    choices = [F.when(ending.isin(SKIPPED_ENDINGS), F.lit("skip"))]
-    choices += [F.when(ending.isin(v), F.lit(k)) for k, v in PARSER_ENDINGS.items()]
-    choices += [F.when(media.isin(v), F.lit(k)) for k, v in PARSER_MEDIA.items()]
-    choices += [
-        F.when((ending == ".xml") & drawn, F.lit("drawio")),
-        F.when(media.startswith("image/"), F.lit("image")),
-        F.when((ending == "") & (media.contains("xml") | drawn), F.lit("drawio")),
+    bare = lambda word, says: F.when((ending == "") & says, F.lit(f"+{word}"))
+    keys = [
+        ending, media, F.when(drawn, F.concat(ending, F.lit("+drawio"))), F.concat(F.split(media, "/")[0], F.lit("/*")),
+        bare("xml", media.contains("xml")), bare("drawio", drawn),
     ]
-    return F.coalesce(*choices, F.lit("unsupported"))
+    return F.coalesce(*[F.try_element_at(table, key) for key in keys], F.lit("unsupported"))
 
 
 def attachment_census(files: DataFrame) -> DataFrame:

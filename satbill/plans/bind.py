@@ -20,12 +20,6 @@ BASE = [
 
 AS_OF = "2021-08-15"
 
-# Bound from several branches and read many times within one query: written once instead.
-KEPT = {"services", "services_ext", "contacts"}
-
-# A small file is one scan task; these tables are then spread over the idle cores by key. Large tables have enough tasks.
-SPREAD = {"lineitem": "l_orderkey", "orders": "o_orderkey", "documents": "doc_id", "pages": "page_id"}
-
 # HEXID(x): a 60-bit whole number from the MD5 of x; the two dialects spell the conversion differently.
 _HEXID = re.compile(r"HEXID\(([^()]*)\)")
 
@@ -166,7 +160,7 @@ BINDINGS: dict[str, str] = {
                CASE WHEN c_custkey % 30 = 0 THEN CAST('2020-01-01' AS TIMESTAMP) END FROM customer WHERE c_custkey % 6 = 0""",
     "access_points": "SELECT service_id, 500 + service_id % 40 AS ap_id FROM services",
     "resource_types": """
-        SELECT * FROM (VALUES (1, 'IRIDIUM_SBD'), (2, 'kb_traffic_pay'), (3, 'fee_sbd'), (4, 'abon_payment'),
+        SELECT *, 'Resource ' || mnemonic AS name FROM (VALUES (1, 'IRIDIUM_SBD'), (2, 'kb_traffic_pay'), (3, 'fee_sbd'), (4, 'abon_payment'),
                (5, 'iridium_sbd_suspend'), (6, 'iridium_tracking'), (7, 'iridium_monitoring'), (8, 'gsm_monitoring'),
                (9, 'abo_gsm_block'), (10, 'fee_iridium_msg'), (11, 'sbd_reg'), (12, 'll_traffic_pay')) AS v(resource_type_id, mnemonic)""",
     "currencies": "SELECT * FROM (VALUES (1, 'Rouble', 'RUB'), (4, 'Unit', 'USD'), (7, 'Euro', 'EUR')) AS v(currency_id, name, code)",
@@ -191,7 +185,7 @@ BINDINGS: dict[str, str] = {
     "charge_rows": """
         SELECT HEXID(row_text) AS rid, r.* FROM line_rows r""",
     "charges": """
-        SELECT CASE WHEN again = 1 THEN rid + 1 ELSE rid END AS aid, year(ordered) * 12 + month(ordered) AS period_id,
+        SELECT rid + again AS aid, year(ordered) * 12 + month(ordered) AS period_id,
                o_custkey * 10 + CASE WHEN o_custkey % 3 = 0 AND l_linenumber % 2 = 0 THEN 1 ELSE 0 END AS service_id,
                o_custkey AS customer_id, o_custkey % 500 AS account_id, 9002 AS type_id, o_custkey % 200 AS tariff_id,
                (o_custkey % 200) * 10 + 2 AS tariffel_id, '3002' || o_custkey || '-0' AS vsat,
@@ -199,9 +193,15 @@ BINDINGS: dict[str, str] = {
                CAST(l_quantity AS DECIMAL(18,2)) AS traf, CAST(l_quantity AS DECIMAL(18,2)) AS total_traf,
                CASE WHEN l_returnflag = 'R' THEN NULL ELSE rid END AS invoice_item_id, l_linenumber AS flag,
                CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE l_partkey % 13 END AS resource_type_id,
-               l_suppkey % 30 AS zone_id
+               l_suppkey % 30 AS zone_id, CAST(l_quantity * 1000 AS BIGINT) AS cbyte, 1 + l_partkey % 4 AS class_id,
+               'Class ' || (1 + l_partkey % 4) AS class_name, CASE WHEN l_orderkey % 9 = 0 THEN NULL ELSE l_orderkey % 50 END AS blank,
+               CASE WHEN again = 3 THEN 1 + l_linenumber WHEN l_linenumber % 2 = 0 THEN l_linenumber END AS counter_id,
+               CASE WHEN l_linenumber % 2 = 0 THEN CAST(0.5 AS DECIMAL(18,2)) END AS counter_cf, l_linenumber * 10 AS threshold,
+               CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 END AS sub_type_id, CASE WHEN again = 2 THEN 2 ELSE 1 END AS sub_period_id,
+               CAST(l_discount * 100 AS DECIMAL(18,2)) AS pmoney, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE l_suppkey % 5 END AS partner_percent
         FROM (SELECT c.*, 0 AS again FROM charge_rows c
-              UNION ALL SELECT c.*, 1 AS again FROM charge_rows c WHERE rid % 40 = 0) x""",
+              -- true copies, and charges that differ in their sub-period or counter alone
+              UNION ALL SELECT c.*, 1 + CAST(rid % 40 AS INT) AS again FROM charge_rows c WHERE rid % 40 < 3) x""",
     "periods": """
         SELECT y * 12 + m AS period_id, CAST(make_date(y, m, 1) AS TIMESTAMP) AS start_date,
                CAST(last_day(make_date(y, m, 1)) AS TIMESTAMP) AS stop_date,
@@ -356,14 +356,9 @@ class Tables:
             raise AttributeError(name)
         if name not in self._made:
             if name in BASE:
-                df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-                cores = self.spark.sparkContext.defaultParallelism
-                if name in SPREAD and df.rdd.getNumPartitions() < cores:
-                    df = df.repartition(cores, SPREAD[name])
-                self._made[name] = df
+                self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             elif name in BINDINGS:
-                made = self.sql(f"SELECT * FROM {name}")
-                self._made[name] = snapshot(made, name) if name in KEPT else made
+                self._made[name] = self.sql(f"SELECT * FROM {name}")
             else:
                 raise AttributeError(name)
         return self._made[name]

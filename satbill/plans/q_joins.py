@@ -69,7 +69,7 @@ register(
 )
 register(
     "d09_contains", "services_ext_id:i old_text",
-    lambda t: text.contained_keys(t.services_ext, "value", t.index_map, prefix="mac ").select("services_ext_id", F.explode("matches").alias("m"))
+    lambda t: text.contained_keys(t.services_ext, "services_ext_id", "value", t.index_map, prefix="mac ").select("services_ext_id", F.explode("matches").alias("m"))
     .select("services_ext_id", "m.old_text"),
     "SELECT e.services_ext_id, m.old_text FROM services_ext e JOIN index_map m ON contains(e.value, 'mac ' || m.old_text)",
 )

@@ -94,7 +94,9 @@ def keyed_fees(t):
 X_FEE_KEY = "strftime(invoice_date, '%Y%m'), contract_id, icc_id_imei, upper(trim(description)), amount, transaction_date"
 register(
     "h08_charge_duplicate_groups",
-    " ".join(f"{k}:d" if k in ("money", "price", "traf", "total_traf") else k if k == "vsat" else f"{k}:i" for k in quality.CHARGE_KEY)
+    " ".join(
+        f"{k}:d" if k in ("money", "price", "traf", "total_traf", "counter_cf", "pmoney") else k if k in ("vsat", "class_name") else f"{k}:i"
+        for k in quality.CHARGE_KEY)
     + " duplicate_count:i first_id:i last_id:i",
     lambda t: quality.duplicate_groups(t.charges, quality.CHARGE_KEY, "aid"),
     f"""SELECT {CHARGE_KEY}, count(*) AS duplicate_count, min(aid) AS first_id, max(aid) AS last_id FROM charges GROUP BY {CHARGE_KEY}
@@ -112,9 +114,15 @@ register(
         WINDOW w AS (PARTITION BY {X_FEE_KEY})) WHERE n > 1""",
 )
 register(
-    "h09_charges_without_duplicates", "aid:i period_id:i service_id:i money:d",
+    "h09_charges_without_duplicates", "aid:i period_id:i service_id:i sub_period_id:i counter_id:i money:d",
     lambda t: quality.remove_duplicates(t.charges, quality.CHARGE_KEY, "aid", keep="max"),
-    f"SELECT max(aid) AS aid, period_id, service_id, money FROM charges GROUP BY {CHARGE_KEY}",
+    f"SELECT max(aid) AS aid, period_id, service_id, sub_period_id, counter_id, money FROM charges GROUP BY {CHARGE_KEY}",
+)
+register(
+    "h10_charge_duplicate_impact", "groups:i extra_rows:i extra_amount:d",
+    lambda t: quality.duplicate_impact(t.charges, quality.CHARGE_KEY, "money"),
+    f"""SELECT count(*) AS groups, coalesce(sum(n - 1), 0) AS extra_rows, coalesce(sum((n - 1) * money), 0) AS extra_amount
+        FROM (SELECT count(*) AS n, money FROM charges GROUP BY {CHARGE_KEY} HAVING count(*) > 1)""",
 )
 register(
     "h09_fee_ids_to_delete", "id:i", lambda t: quality.remove_duplicates(keyed_fees(t), FEE_KEY, "id", dry_run=True),

@@ -22,24 +22,27 @@ X_CHARGES = """
     SELECT c.customer_id, n.ext_code, coalesce(x.organization_name, x.person_name) AS customer_name, x.organization_name, x.person_name, c.account_id,
            a.description AS account_name, c.service_id, s.login AS contract_id, c.vsat AS imei, s.status AS service_status,
            s.start_date AS service_start_date, s.stop_date AS service_stop_date, c.period_id, strftime(p.start_date, '%Y-%m') AS period,
-           p.month AS period_name, c.tariff_id, f.name AS tariff_name, c.tariffel_id, c.zone_id, z.description AS zone_name, c.type_id,
-           c.resource_type_id, r.mnemonic AS resource_mnemonic, c.money, c.price, c.traf,
+           p.month AS period_name, p.start_date AS period_start_date, p.stop_date AS period_end_date, c.tariff_id, f.name AS tariff_name,
+           f.description AS tariff_description, c.tariffel_id, c.zone_id, z.description AS zone_name, z.description AS zone_description, c.type_id,
+           c.class_id, c.class_name, c.resource_type_id, r.mnemonic AS resource_mnemonic, r.name AS resource_type_name,
+           r.name AS resource_type_description, c.money, c.price, c.traf, c.total_traf,
            CASE WHEN r.mnemonic IN ('fee_sbd', 'abon_payment', 'iridium_sbd_suspend', 'iridium_tracking', 'iridium_monitoring', 'gsm_monitoring',
                 'abo_gsm_block', 'fee_iridium_msg') THEN c.money ELSE 0 END AS money_abon,
            CASE WHEN r.mnemonic IN ('IRIDIUM_SBD', 'kb_traffic_pay', 'IRIDIUM_SBD_MBOX', 'sbd_reg', 'woufzwv', 'll_traffic_pay')
                 THEN c.money ELSE 0 END AS money_traffic,
            c.invoice_item_id, if(c.invoice_item_id IS NULL, 'N', 'Y') AS in_invoice, c.flag, c.aid
     FROM charges c JOIN services s ON s.service_id = c.service_id AND s.type_id IN (9002, 9004, 9005, 9008, 9010, 9013, 9014)
-    JOIN (SELECT DISTINCT id, ext_id FROM outer_ids WHERE upper(trim(tbl)) = 'CUSTOMERS' AND ext_id <> '521' AND length(trim(ext_id)) > 0) q
+    JOIN (SELECT DISTINCT id FROM outer_ids WHERE upper(trim(tbl)) = 'CUSTOMERS' AND ext_id <> '521' AND length(trim(ext_id)) > 0) q
          ON q.id = c.customer_id
-    LEFT JOIN (SELECT DISTINCT id, ext_id AS ext_code FROM outer_ids WHERE upper(trim(tbl)) = 'CUSTOMERS') n ON n.id = c.customer_id
+    LEFT JOIN (SELECT id, min(ext_id) AS ext_code FROM outer_ids WHERE upper(trim(tbl)) = 'CUSTOMERS' GROUP BY id) n ON n.id = c.customer_id
     LEFT JOIN x_names x ON x.customer_id = c.customer_id LEFT JOIN accounts a ON a.account_id = c.account_id
     LEFT JOIN tariffs f ON f.tariff_id = c.tariff_id LEFT JOIN zones z ON z.zone_id = c.zone_id
     LEFT JOIN resource_types r ON r.resource_type_id = c.resource_type_id LEFT JOIN periods p ON p.period_id = c.period_id"""
 CHARGES = (
     "customer_id:i ext_code customer_name organization_name person_name account_id:i account_name service_id:i contract_id imei service_status:i "
-    "service_start_date:t service_stop_date:t period_id:i period period_name tariff_id:i tariff_name tariffel_id:i zone_id:i zone_name type_id:i "
-    "resource_type_id:i resource_mnemonic money:d price:d traf:d money_abon:d money_traffic:d invoice_item_id:i in_invoice flag:i aid:i"
+    "service_start_date:t service_stop_date:t period_id:i period period_name period_start_date:t period_end_date:t tariff_id:i tariff_name "
+    "tariff_description tariffel_id:i zone_id:i zone_name zone_description type_id:i class_id:i class_name resource_type_id:i resource_mnemonic "
+    "resource_type_name resource_type_description money:d price:d traf:d total_traf:d money_abon:d money_traffic:d invoice_item_id:i in_invoice flag:i aid:i"
 )
 register("g01_charges_report", CHARGES, charge_rows, X_CHARGES)
 register("g01_charges_filtered", CHARGES, lambda t: svc.charges_filtered(charge_rows(t), period="2018-05", contract="SUB", customer="org", code="C"),
@@ -164,7 +167,7 @@ register(
        LEFT JOIN tariffs f ON f.tariff_id = b.tariff_id""",
 )
 register("g14_period_list", "period", lambda t: svc.period_list(t.periods),
-         "SELECT DISTINCT strftime(start_date, '%Y-%m') AS period FROM periods ORDER BY 1 DESC LIMIT 100")
+         "SELECT DISTINCT strftime(start_date, '%Y-%m') AS period FROM periods")
 register("g14_plan_list", "plan_name", lambda t: svc.plan_list(report(t)),
          "SELECT DISTINCT plan_name FROM x_report WHERE plan_name IS NOT NULL")
 register("g14_revenue_period_list", "period", lambda t: svc.revenue_period_list(revenue_rows(t)),

@@ -9,20 +9,13 @@ from satbill.operators import search, text
 from satbill.plans.bind import Tables
 from satbill.plans.catalog import register
 
-MAX_LABELS = 1000
 
-
-def centroids(t: Tables) -> list[tuple[int, list[float]]]:
+def centroids(t: Tables) -> DataFrame:
     """Mean vector per label: the query vectors, one per payload category."""
-    dims = t.embeddings.select(F.max(F.size("embedding"))).first()[0]
-    rows = (
-        t.embeddings.groupBy("label")
-        .agg(*[F.avg(F.get("embedding", F.lit(i)).cast("double")).alias(f"d{i}") for i in range(dims)])
-        .limit(MAX_LABELS + 1).collect()
-    )
-    if len(rows) > MAX_LABELS:
-        raise ValueError("too many labels for one batch of query vectors")
-    return sorted((int(r["label"]), [float(r[f"d{i}"]) for i in range(dims)]) for r in rows)
+    cells = t.embeddings.select("label", F.posexplode("embedding").alias("pos", "x"))
+    means = cells.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    vector = F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda c: c["m"])
+    return means.groupBy(F.col("label").alias("query_id")).agg(vector.alias("vector"))
 
 
 X_CENTROIDS = """
@@ -36,7 +29,7 @@ X_SIM = f"""
 register(
     "k01_replace_by_map", "services_ext_id:i service_id:i value new_value changes",
     lambda t: text.replace_by_map(
-        t.services_ext.filter((F.col("dict_id") == 14009) & F.col("date_end").isNull()), "value", t.index_map, prefix="mac "),
+        t.services_ext.filter((F.col("dict_id") == 14009) & F.col("date_end").isNull()), "services_ext_id", "value", t.index_map, prefix="mac "),
     """SELECT e.services_ext_id, e.service_id, e.value, m.changes,
               replace(replace(e.value, 'mac ' || l[1].o, 'mac ' || l[1].n), 'mac ' || coalesce(l[2].o, '#'), 'mac ' || coalesce(l[2].n, '#')) AS new_value
        FROM services_ext e JOIN (
@@ -79,16 +72,75 @@ register(
     "k03_repair_text", "doc_id:i lang note", lambda t: text.repair_text(damaged_documents(t), ["note"]),
     f"SELECT doc_id, lang, CASE WHEN doc_id % 10 < 4 THEN '{DAMAGE} ' || doc_id ELSE text END AS note FROM documents",
 )
-register("k04_page_sections", "page_id:i idx:i title text", lambda t: text.page_sections(t.pages))
-register(
-    "k05_section_chunks", "page_id:i page_title section_title embed_text content", lambda t: text.section_chunks(t.sections, t.outdated),
-    r"""SELECT page_id, page_title, CASE WHEN title = '' THEN '(без заголовка)' ELSE title END AS section_title, cut AS embed_text, cut[1:12000] AS content
-       FROM (SELECT *, CASE WHEN length(whole) > 15000 THEN whole[1:15000] || chr(10) || chr(10) || '[... обрезано ...]' ELSE whole END AS cut
-             FROM (SELECT *, trim(concat(page_title, chr(10), chr(10), title, chr(10), chr(10), CASE WHEN lower(title) LIKE 'вложение:%' THEN
-                          'Документ «' || regexp_replace(trim(title[10:]), '(?i)\.(xlsx|xls|pdf|docx|doc|png|drawio|xml)$', '') || '» (вложение). ' ELSE '' END,
-                          section_text), ' ' || chr(10) || chr(9) || chr(13)) AS whole
-                   FROM (SELECT *, trim(section_title) AS title FROM sections)
-                   WHERE section_text <> '' AND page_id NOT IN (SELECT page_id FROM outdated)))""",
+X_SECTIONS = r"""
+    WITH html AS (SELECT page_id, regexp_replace(HTML, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', '', 'g') AS html FROM pages),
+    cut AS (SELECT page_id, regexp_extract_all(html, '(?s)<[^>]*>|[^<]+|<') AS l FROM html),
+    parts AS (SELECT page_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS part FROM cut),
+    tags AS (SELECT *, lower(regexp_extract(part, '(?i)^</?([a-z][a-z0-9]*)\b', 1)) AS tag, part LIKE '</%' AS closes FROM parts),
+    moves AS (SELECT *, tag IN ('ul', 'ol', 'table') AS box, regexp_matches(tag, '^(h[1-6]|p)$') AS line FROM tags),
+    sums AS (SELECT *, sum(CASE WHEN box AND closes THEN -1 WHEN box THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS s FROM moves),
+    deep AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY pos)) AS depth FROM sums),
+    marks AS (SELECT *, NOT closes AND ((line AND depth = 0) OR (box AND depth = 1)) AS starts,
+                     closes AND depth = 0 AND (line OR (box AND lag(depth, 1, 0) OVER (PARTITION BY page_id ORDER BY pos) = 1)) AS ends FROM deep),
+    numbered AS (SELECT *, count(*) FILTER (starts) OVER (PARTITION BY page_id ORDER BY pos) AS block,
+                        max(CASE WHEN starts OR ends THEN pos * 2 + CASE WHEN starts THEN 1 ELSE 0 END END) OVER
+                            (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_mark FROM marks),
+    blocks AS (SELECT page_id, block, max(CASE WHEN starts THEN TRY_CAST(regexp_extract(tag, '^h([1-6])$', 1) AS INT) END) AS level, string_agg(part, '' ORDER BY pos) AS h
+               FROM numbered WHERE block > 0 AND (starts OR last_mark % 2 = 1) GROUP BY 1, 2),
+    said AS (SELECT *, PLAIN(h) AS text FROM blocks),
+    full_ AS (SELECT * FROM said WHERE level IS NULL OR text <> ''),
+    placed AS (SELECT *, row_number() OVER w AS n, coalesce(lag(level IS NOT NULL) OVER w, true) AS after_heading FROM full_ WINDOW w AS (PARTITION BY page_id ORDER BY block)),
+    lows AS (SELECT *, min(CASE WHEN n = 1 THEN coalesce(level, 0) ELSE level END) OVER (PARTITION BY page_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low
+             FROM placed),
+    opened AS (SELECT *, n = 1 OR coalesce(level <= low, false) AS opens FROM lows),
+    found AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY page_id ORDER BY n) - 1 AS idx FROM opened),
+    pieces AS (SELECT *, row_number() OVER (PARTITION BY page_id, idx ORDER BY n) AS k FROM found WHERE NOT (opens AND level IS NOT NULL) AND text <> ''),
+    joined AS (SELECT page_id, idx, string_agg(CASE WHEN k = 1 THEN '' WHEN level IS NOT NULL OR after_heading THEN chr(10) || chr(10) ELSE chr(10) END || text, '' ORDER BY n) AS body
+               FROM pieces GROUP BY 1, 2),
+    sections_ AS (SELECT page_id, idx, coalesce(max(CASE WHEN opens AND level IS NOT NULL THEN text END), '') AS title FROM found GROUP BY 1, 2)
+    SELECT page_id, idx, title, trim(coalesce(body, ''), BLANKS) AS text FROM sections_ LEFT JOIN joined USING (page_id, idx)
+    UNION ALL SELECT page_id, 0, '', PLAIN(html) FROM html WHERE page_id NOT IN (SELECT page_id FROM sections_)"""
+SQL_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def sections_sql(html: str) -> str:
+    """The sections of pages by DuckDB; PLAIN(x) is the text of a piece of HTML."""
+    plain = r"regexp_replace(X, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', '', 'g')"
+    plain = f"regexp_replace({plain}, '(?s)(<[^>]+>)+', chr(10), 'g')"
+    for entity, char in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+        plain = f"replace({plain}, '{entity}', {char})"
+    plain = f"trim(regexp_replace({plain}, '\\n{{3,}}', chr(10) || chr(10), 'g'), BLANKS)"
+    sql = X_SECTIONS.replace("HTML", html).replace("PLAIN(html)", plain.replace("X", "html")).replace("PLAIN(h)", plain.replace("X", "h"))
+    return sql.replace("BLANKS", SQL_BLANKS)
+
+
+register("k04_page_sections", "page_id:i idx:i title text", lambda t: text.page_sections(t.pages), sections_sql("coalesce(html, '')"))
+# Articles whose bold openings are read as headings: several sections a page.
+ARTICLE, BOLD = "(?is)<article>(.*)</article>", "(?i)<p><b>([^<]*)"
+register(
+    "k04_article_sections", "page_id:i idx:i title text",
+    lambda t: text.page_sections(t.pages.withColumn("html", F.regexp_replace(F.regexp_extract("html", ARTICLE, 1), BOLD, "<h1>$1</h1><p>"))),
+    sections_sql(rf"regexp_replace(regexp_extract(coalesce(html, ''), '{ARTICLE}', 1), '{BOLD}', '<h1>\1</h1><p>', 'g')"),
+)
+X_WHOLE = r"""
+    SELECT *, trim(concat(head, CASE WHEN lower(title) LIKE 'вложение:%' THEN
+                  'Документ «' || regexp_replace(trim(title[10:]), '(?i)\.(xlsx|xls|pdf|docx|doc|png|drawio|xml)$', '') || '» (вложение). ' ELSE '' END,
+                  section_text), ' ' || chr(10) || chr(9) || chr(13)) AS whole
+    FROM (SELECT *, concat(page_title, chr(10), chr(10), title, chr(10), chr(10)) AS head FROM (SELECT *, trim(section_title) AS title FROM sections)
+          WHERE section_text <> '' AND page_id NOT IN (SELECT page_id FROM outdated))"""
+register(
+    "k05_section_chunks", "page_id:i page_title section_title chunk:i embed_text content", lambda t: text.section_chunks(t.sections, t.outdated),
+    f"""SELECT page_id, page_title, CASE WHEN title = '' THEN '(без заголовка)' ELSE title END AS section_title, chunk, part AS content,
+               CASE WHEN chunk = 0 THEN part ELSE head[1:15000 - length(part)] || part END AS embed_text
+        FROM (SELECT *, whole[chunk * 12000 + 1:chunk * 12000 + 12000] AS part
+              FROM (SELECT *, unnest(range(0, (length(whole) + 11999) // 12000)) AS chunk FROM ({X_WHOLE})))""",
+)
+register(  # the chunks in order are the whole section
+    "k05_chunks_cover_sections", "page_id:i characters:i whole_md5",
+    lambda t: text.section_chunks(t.sections, t.outdated).groupBy("page_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "content"))), lambda x: x["content"]), "").alias("whole"))
+    .select("page_id", F.length("whole").alias("characters"), F.md5("whole").alias("whole_md5")),
+    f"SELECT page_id, length(whole) AS characters, md5(whole) AS whole_md5 FROM ({X_WHOLE})",
 )
 
 
@@ -119,9 +171,9 @@ register(
     f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM ({X_SIM}) WHERE label = 3 QUALIFY rank <= 5",
 )
 register(
-    "k08_near_duplicates", "query_id:i vec_id:i similarity:d is_duplicate:b", lambda t: search.near_duplicates(t.embeddings, centroids(t), 0.85),
-    f"""SELECT query_id, vec_id, similarity, similarity >= 0.85 AS is_duplicate FROM ({X_SIM})
-        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) = 1""",
+    "k08_near_duplicates", "query_id:i rank:i vec_id:i similarity:d is_duplicate:b", lambda t: search.near_duplicates(t.embeddings, centroids(t), 0.85),
+    f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank, vec_id, similarity, similarity >= 0.85 AS is_duplicate
+        FROM ({X_SIM}) QUALIFY rank <= 5""",
 )
 register(
     "k09_title_search", "vec_id:i section_title", lambda t: search.title_search(t.chunks, " label 3 — PART 1", 15),
@@ -129,7 +181,7 @@ register(
 )
 register(
     "k10_hybrid_search", "source rank:i vec_id:i section_title similarity:d",
-    lambda t: search.hybrid_search(t.chunks, "найди label 3 - part 1", dict(centroids(t))[3], 20),
+    lambda t: search.hybrid_search(t.chunks, ["найди label 3 - part 1", "label 3 - part 1"], centroids(t).filter("query_id = 3"), 20),
     f"""WITH hits AS (SELECT 'title' AS source, row_number() OVER (ORDER BY vec_id) AS rank, vec_id, section_title, 1.0 AS similarity
                       FROM chunks WHERE contains(replace(lower(section_title), '–', '-'), 'label 3 - part 1') ORDER BY vec_id LIMIT 15),
              near AS (SELECT 'semantic' AS source, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank, vec_id, section_title, similarity
