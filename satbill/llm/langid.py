@@ -172,7 +172,7 @@ def fitted(docs: DataFrame, learn) -> tuple[list[str], np.ndarray, np.ndarray]:
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(
         _counted, "doc_id long, lang string, grams array<int>, counts array<int>"
     )
-    (model,) = rows.coalesce(1).mapInArrow(
+    (model,) = rows.repartition(1).mapInArrow(
         lambda batches: _fit(idf, batches), "langs array<string>, bias array<double>, grams array<int>, weights array<double>"
     ).collect()
     weights = np.zeros((1 << BITS, len(model["langs"])), np.float32)

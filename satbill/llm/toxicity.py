@@ -123,7 +123,7 @@ def fitted(docs: DataFrame, labels: DataFrame, learn) -> tuple[float, np.ndarray
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(
         _rows_features, "doc_id long, toxic int, features array<int>"
     )
-    (model,) = rows.coalesce(1).mapInArrow(_fit, "n long, bias double, features array<int>, weights array<double>").collect()
+    (model,) = rows.repartition(1).mapInArrow(_fit, "n long, bias double, features array<int>, weights array<double>").collect()
     if not model["n"]:
         return None
     weights = np.zeros(1 << BITS, np.float32)
