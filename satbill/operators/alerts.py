@@ -17,6 +17,11 @@ def _month_before(as_of: dt.date | str, k: int, dash: bool = False) -> str:
     return month_key(month_index(add_months(as_datetime(as_of), -k)), dash)
 
 
+def alert_months(as_of: dt.date | str, months: int) -> tuple[str, str]:
+    """The report months an alert over the last ``months`` reads; open towards the future."""
+    return _month_before(as_of, months), "210012"
+
+
 def _watched(services: DataFrame, active_status: int, device_col: str) -> DataFrame:
     return services.filter(
         (F.col("type_id") == 9002) & (F.col("status") == active_status) & ~is_clone("login")

@@ -23,6 +23,40 @@ DATA_USAGE, MAILBOX, REGISTRATION = "SBD Data Usage", "SBD Mailbox Checks", "SBD
 FEE_KINDS = ["activation", "advance", "credit", "credited", "prorated"]
 
 
+Months = tuple[str, str]  # first and last month, as YYYYMM
+
+
+def period_months(period: str) -> Months:
+    """The report months that a financial period (YYYY-MM) can show: the month after it, and its own for lone advances."""
+    own = int(period[:4]) * 12 + int(period[5:7]) - 1
+    return month_key(own), month_key(own + 1)
+
+
+def _index(month: str) -> int:
+    return int(month[:4]) * 12 + int(month[4:]) - 1
+
+
+def usage_of(usage: DataFrame, months: Months | None) -> DataFrame:
+    """Usage of the months, compared in both stored encodings, so that the condition reaches the scan."""
+    if months is None:
+        return usage
+    keys = [month_key(i) for i in range(_index(months[0]), _index(months[1]) + 1)]
+    codes = [int(k) for k in keys] + [int(k[4:]) * 10000 + int(k[:4]) for k in keys]
+    return usage.filter(F.col("bill_month").isin(codes))
+
+
+def fees_of(fees: DataFrame, months: Months | None, before: int = 0) -> DataFrame:
+    """Fees invoiced in the months, and in the ``before`` months ahead of them."""
+    if months is None:
+        return fees
+    day = lambda i: F.lit(f"{i // 12:04d}-{i % 12 + 1:02d}-01").cast("timestamp")
+    return fees.filter((F.col("invoice_date") >= day(_index(months[0]) - before)) & (F.col("invoice_date") < day(_index(months[1]) + 1)))
+
+
+def rows_of(report: DataFrame, months: Months | None, month_col: str = "bill_month_key") -> DataFrame:
+    return report if months is None else report.filter(F.col(month_col).between(*months))
+
+
 def usage_overage(usage: DataFrame, plans: DataFrame) -> DataFrame:
     """Traffic, events, overage and its price per device, contract, month and plan.
 
@@ -101,14 +135,30 @@ USAGE_SUMS = [
 ]
 
 
-def consolidated(usage: DataFrame, fees: DataFrame, plans: DataFrame, plan_fallback: bool = True) -> DataFrame:
-    """Usage and fee sides of every device, contract and month, with the best known plan."""
-    return consolidate(usage_overage(usage, plans), fees, plan_fallback)
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def _as_is(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
+def consolidated(
+    usage: DataFrame, fees: DataFrame, plans: DataFrame, plan_fallback: bool = True, months: Months | None = None, keep: Keep = _as_is
+) -> DataFrame:
+    """Usage and fee sides of every device, contract and month, with the best known plan.
+
+    ``keep`` writes the overage table that the sums and both modal plans start from, so raw usage is scanned once. With
+    ``months`` only their usage and fees are read; the modal plans still count a key's whole history, from its
+    plan column alone.
+    """
+    overage = keep(usage_overage(usage_of(usage, months), plans), "overage")
+    return consolidate(overage, fees_of(fees, months), plan_fallback, None if months is None else usage)
 
 
-def consolidate(overage: DataFrame, fees: DataFrame, plan_fallback: bool = True) -> DataFrame:
+def consolidate(overage: DataFrame, fees: DataFrame, plan_fallback: bool = True, history: DataFrame | None = None) -> DataFrame:
     """``consolidated`` from an overage table, which is all it needs of the raw usage.
 
+    ``history`` is the usage that modal plans are counted over, if the overage table holds some months only.
     Both sides are aggregated to their join key before the full outer join, so no key is hot there.
     The overage rows are laid out by that key once; the regrouping and the join both use the layout.
     """
@@ -134,7 +184,8 @@ def consolidate(overage: DataFrame, fees: DataFrame, plan_fallback: bool = True)
     choices: list[Column] = [F.col("_own"), F.col("_fee")]
     if plan_fallback:
         for key in ("contract_id", "imei"):
-            modal = modal_plan(overage, key, "record_count").select(
+            counted = modal_plan(overage, key, "record_count") if history is None else modal_plan(history, key)
+            modal = counted.select(
                 F.col(key).alias(f"_k_{key}"), blank_null("plan_name").alias(f"_by_{key}")
             )
             joined = joined.join(
@@ -326,27 +377,41 @@ def advance_only_months(as_of: dt.date | str, back: int = 3) -> list[str]:
 
 
 def billing_report_advance_only(
-    usage: DataFrame, fees: DataFrame, info: DataFrame, agreements: DataFrame, as_of: dt.date | str
+    usage: DataFrame, fees: DataFrame, info: DataFrame, agreements: DataFrame, as_of: dt.date | str, lines: DataFrame | None = None
 ) -> DataFrame:
     """Contracts that paid an advance for a month and have no consolidated row in the next one.
 
-    Only a few months qualify, so every input is filtered to them before anything is shuffled;
-    the consolidated report itself is not evaluated again.
+    ``lines`` are the distinct fee lines, where they are at hand.
     """
+    rows = _advance_only_rows(usage, fees, as_of, lines)
+    blank = {
+        "activation_date": F.lit(None).cast("date"),
+        "plan_name": F.lit(None).cast("string"),
+        "fee_plan_monthly": F.lit(None).cast("string"),
+        "fee_plan_suspended": F.lit(None).cast("string"),
+        "service_id_vsat_match": F.lit(None).cast("long"),
+    }
+    zeros = ["included_kb", *USAGE_SUMS]
+    return (
+        _with_info(rows, info, agreements, trimmed=True)
+        .withColumn("branch", F.lit("advance_only"))
+        .withColumn("bill_month", show_month("bill_month_key"))
+        .withColumn("financial_period", show_month("bill_month_key"))
+        .withColumns(blank)
+        .withColumns({n: F.lit(0).cast("decimal(28,2)") for n in zeros})
+        .select(*[nz(n).alias(n) if n.startswith("fee") and n not in ("fee_plan_monthly", "fee_plan_suspended")
+                  else F.col(n) for n in REPORT_COLS])
+    )
+
+
+def _advance_only_rows(usage: DataFrame, fees: DataFrame, as_of: dt.date | str, lines: DataFrame | None) -> DataFrame:
+    """Only a few months qualify, so every input is filtered to them before anything is shuffled; the consolidated report
+    itself is not evaluated again."""
     months = advance_only_months(as_of)
     nxt = [month_key(int(m[:4]) * 12 + int(m[4:]) - 1 + 1) for m in months]
     wanted = sorted(set(months) | set(nxt))
-    if wanted:
-        low = f"{wanted[0][:4]}-{wanted[0][4:]}-01"
-        top = int(wanted[-1][:4]) * 12 + int(wanted[-1][4:])
-        high = f"{month_key(top)[:4]}-{month_key(top)[4:]}-01"
-        near = fees.filter(
-            (F.col("invoice_date") >= F.lit(low).cast("timestamp"))
-            & (F.col("invoice_date") < F.lit(high).cast("timestamp"))
-        )
-    else:
-        near = fees.filter(F.lit(False))
-    pivot = fee_pivot(near, trimmed=True)
+    near = fees_of(fees, (wanted[0], wanted[-1])) if wanted else fees.filter(F.lit(False))
+    pivot = pivot_lines(dedup_fees(near) if lines is None else lines.filter(F.col("bill_month").isin(wanted)), trimmed=True)
     paid = (
         pivot.filter(F.col("bill_month").isin(months) & (F.col("fee_advance") > 0))
         .select(
@@ -366,46 +431,88 @@ def billing_report_advance_only(
         .distinct()
     )
     following = pivot.withColumnRenamed("bill_month", "bill_month_key")
-    rows = (
+    return (
         paid.join(present, ["contract_id", "bill_month_key"], "left_anti")
         .join(following, ["contract_id", "imei", "bill_month_key"], "left")
     )
-    blank = {
-        "activation_date": F.lit(None).cast("date"),
-        "plan_name": F.lit(None).cast("string"),
-        "fee_plan_monthly": F.lit(None).cast("string"),
-        "fee_plan_suspended": F.lit(None).cast("string"),
-        "service_id_vsat_match": F.lit(None).cast("long"),
-    }
-    zeros = ["included_kb", *USAGE_SUMS]
-    return (
-        _with_info(rows, info, agreements, trimmed=True)
-        .withColumn("branch", F.lit("advance_only"))
-        .withColumn("bill_month", show_month("bill_month_key"))
-        .withColumn("financial_period", show_month("bill_month_key"))
-        .withColumns(blank)
-        .withColumns({n: F.lit(0).cast("decimal(28,2)") for n in zeros})
-        .select(*[nz(n).alias(n) if n.startswith("fee") and n not in ("fee_plan_monthly", "fee_plan_suspended")
-                  else F.col(n) for n in REPORT_COLS])
-    )
 
 
 def billing_report(
     usage: DataFrame, fees: DataFrame, plans: DataFrame, info: DataFrame, agreements: DataFrame,
-    as_of: dt.date | str, plan_fallback: bool = True,
-    keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df,
+    as_of: dt.date | str, plan_fallback: bool = True, months: Months | None = None, keep: Keep = _as_is,
 ) -> DataFrame:
     """The monthly cost report: consolidated rows, then advances that have no row of their own.
 
-    ``keep`` may write the inputs that several branches share (``snapshot``): raw usage is then
-    scanned once and everything after it starts from its far smaller monthly sums.
+    ``keep`` may write the inputs that several branches share (``snapshot``): raw usage is then scanned once and
+    everything after it starts from its far smaller monthly sums. ``months`` asks for a range of report months: usage and
+    fees of other months are not read (but for the month before, whose advances the report shows), and the rows are those
+    of the whole report in that range.
     """
-    overage = keep(usage_overage(usage, plans), "overage")
-    lines = keep(dedup_fees(fees), "fee_lines")
-    costs = keep(consolidate(overage, fees, plan_fallback), "costs")
+    overage = keep(usage_overage(usage_of(usage, months), plans), "overage")
+    near = fees_of(fees, months, before=1)
+    lines = keep(dedup_fees(near), "fee_lines")
+    costs = keep(consolidate(overage, fees_of(fees, months), plan_fallback, None if months is None else usage), "costs")
     info, agreements = keep(info, "info"), keep(agreements, "agreements")
     main = billing_report_main(costs, lines, info, agreements)
-    return main.unionByName(billing_report_advance_only(overage, fees, info, agreements, as_of))
+    return rows_of(main.unionByName(billing_report_advance_only(overage, near, info, agreements, as_of, lines)), months)
+
+
+def cost_table(
+    usage: DataFrame, fees: DataFrame, plans: DataFrame, as_of: dt.date | str, plan_fallback: bool = True, months: Months | None = None,
+    keep: Keep = _as_is,
+) -> DataFrame:
+    """The report's money per contract, device and report month, without its lookups: branch, financial_period, plan_name,
+    calculated_overage, billed_amount and fees_total, for jobs that need no more of it."""
+    overage = keep(usage_overage(usage_of(usage, months), plans), "overage")
+    near = fees_of(fees, months, before=1)
+    lines = keep(dedup_fees(near), "fee_lines")
+    costs = consolidate(overage, fees_of(fees, months), plan_fallback, None if months is None else usage)
+    return rows_of(main_costs(costs, lines).unionByName(advance_only_costs(overage, near, as_of, lines)), months)
+
+
+def customer_costs(money: DataFrame, info: DataFrame) -> DataFrame:
+    """``cost_table`` per financial period, customer name and code; folded per contract before names join."""
+    sums = ["calculated_overage", "billed_amount", "fees_total"]
+    folded = money.groupBy("branch", "contract_id", "financial_period").agg(*[F.sum(n).alias(n) for n in sums])
+
+    def named(branch: str, trimmed: bool) -> DataFrame:
+        clean = (lambda c: F.rtrim(c)) if trimmed else (lambda c: F.col(c))
+        names = latest_per_contract(info.withColumn("contract_id", clean("contract_id"))).select(
+            F.col("contract_id").alias("_contract"), "customer_name", "ext_code"
+        )
+        rows = folded.filter(F.col("branch") == branch)
+        return rows.join(names, spread_nulls(clean("contract_id"), "financial_period") == F.col("_contract"), "left")
+
+    rows = named("usage", False).unionByName(named("advance_only", True))
+    return rows.select("financial_period", "customer_name", "ext_code", *sums)
+
+
+def main_costs(costs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The money columns of ``billing_report_main``."""
+    summed = costs.groupBy("imei", "contract_id", F.col("bill_month").alias("bill_month_key")).agg(
+        F.max(F.when(blank_null("plan_name").isNotNull(), F.col("plan_name"))).alias("plan_name"),
+        F.sum("calculated_overage").alias("calculated_overage"), F.sum("billed_amount").alias("billed_amount"),
+    )
+    pivot = pivot_lines(lines, trimmed=True).select(
+        F.col("bill_month").alias("_fm"), F.col("contract_id").alias("_fc"), F.col("imei").alias("_fi"), "fees_total"
+    )
+    same = (
+        (F.col("bill_month_key") == F.col("_fm")) & (F.rtrim("contract_id") == F.col("_fc")) & F.col("imei").eqNullSafe(F.col("_fi"))
+    )
+    return summed.join(pivot, same, "left").select(
+        F.lit("usage").alias("branch"), "bill_month_key", show_month(shift_month("bill_month_key", -1)).alias("financial_period"),
+        "imei", "contract_id", "plan_name", "calculated_overage", "billed_amount", nz("fees_total").alias("fees_total"),
+    )
+
+
+def advance_only_costs(usage: DataFrame, fees: DataFrame, as_of: dt.date | str, lines: DataFrame) -> DataFrame:
+    """The money columns of ``billing_report_advance_only``."""
+    none = F.lit(0).cast("decimal(28,2)")
+    return _advance_only_rows(usage, fees, as_of, lines).select(
+        F.lit("advance_only").alias("branch"), "bill_month_key", show_month("bill_month_key").alias("financial_period"), "imei", "contract_id",
+        F.lit(None).cast("string").alias("plan_name"), none.alias("calculated_overage"), none.alias("billed_amount"),
+        nz("fees_total").alias("fees_total"),
+    )
 
 
 def main_report(report: DataFrame, **filters) -> DataFrame:

@@ -9,7 +9,7 @@ from satbill.functions.expr import (
     base_contract, device_key, invoice_month, norm_bill_month, open_after_month, plan_code, service_state, show_month,
 )
 from satbill.functions.sem import blank_null, nz, sum_when
-from satbill.operators.costs import DATA_USAGE, kept_fees
+from satbill.operators.costs import DATA_USAGE, Keep, _as_is, kept_fees
 from satbill.operators.rating import connection_price, daily_rate
 
 # Service types.
@@ -48,9 +48,9 @@ def _anchor_cols(df: DataFrame, base: Column, device: Column) -> DataFrame:
     )
 
 
-def main_services(services: DataFrame) -> DataFrame:
-    """Contract owners by service records alone: main services, else a lone suspension, else the best companion."""
-    keyed = keyed_services(services)
+def main_services(keyed: DataFrame) -> DataFrame:
+    """Contract owners by service records (``keyed_services``) alone: main services, else a lone suspension, else the best
+    companion."""
     mains = keyed.filter(F.col("type_id").isin(MAIN_TYPES))
     has_main = mains.filter(F.col("field_device").isNotNull()).select(
         "account_id", F.col("field_device").alias("device")
@@ -77,10 +77,14 @@ def main_services(services: DataFrame) -> DataFrame:
     )
 
 
-def invoiced_services(services: DataFrame, items: DataFrame) -> DataFrame:
-    """Services on invoices by period; lines fold to (service, period, account) before the join."""
-    lines = items.select("service_id", "period_id", F.col("account_id").alias("line_account_id")).distinct()
-    return lines.join(keyed_services(services), "service_id")
+def line_places(items: DataFrame) -> DataFrame:
+    """Invoice lines folded to service, period and account."""
+    return items.select("service_id", "period_id", F.col("account_id").alias("line_account_id")).distinct()
+
+
+def invoiced_services(keyed: DataFrame, places: DataFrame) -> DataFrame:
+    """Services (``keyed_services``) on invoices by period and account (``line_places``)."""
+    return places.join(keyed, "service_id")
 
 
 def covered_devices(on_invoice: DataFrame) -> DataFrame:
@@ -90,14 +94,18 @@ def covered_devices(on_invoice: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def revenue_anchors(services: DataFrame, items: DataFrame) -> DataFrame:
-    """One owning service per (contract key, device, account)."""
-    on_invoice = invoiced_services(services, items)
+def revenue_anchors(services: DataFrame, items: DataFrame, keep: Keep = _as_is) -> DataFrame:
+    """One owning service per (contract key, device, account); ``keep`` writes what is read twice."""
+    return anchors_of(keep(keyed_services(services), "keyed_services"), keep(line_places(items), "line_places"))
+
+
+def anchors_of(keyed: DataFrame, places: DataFrame) -> DataFrame:
+    on_invoice = invoiced_services(keyed, places)
     alone = (
         on_invoice.filter(F.col("type_id").isin(SIDE_TYPES) & F.col("device").isNotNull())
         .join(covered_devices(on_invoice), ["period_id", "account_id", "device"], "left_anti")
     )
-    rows = main_services(services).unionByName(_anchor_cols(alone, F.col("device"), F.col("device")))
+    rows = main_services(keyed).unionByName(_anchor_cols(alone, F.col("device"), F.col("device")))
     order = [*COMPANION_TYPES, SUSPEND_TYPE, *MAIN_TYPES]
     return (
         rows.groupBy("base_contract_id", "imei", "account_id")
@@ -122,7 +130,7 @@ def invoice_sums(items: DataFrame, invoices: DataFrame, resource_types: DataFram
         )
         .join(resource_types.select("resource_type_id", "mnemonic"), "resource_type_id", "left")
         .groupBy(
-            "service_id", "period_id",
+            "service_id", "period_id", F.col("account_id").alias("line_account_id"),
             F.col("login").alias("line_login"),
             F.coalesce("currency_id", "_inv_currency").alias("currency_id"),
             F.coalesce("acc_currency_id", "_inv_currency").alias("acc_currency_id"),
@@ -135,17 +143,20 @@ def invoice_sums(items: DataFrame, invoices: DataFrame, resource_types: DataFram
     )
 
 
-def contract_lines(services: DataFrame, items: DataFrame, invoices: DataFrame, resource_types: DataFrame) -> DataFrame:
-    """Folded invoice lines with the contract key, device and account they are reported under."""
-    keyed = keyed_services(services).drop("open_date", "customer_id")
-    rows = invoice_sums(items, invoices, resource_types).join(keyed, "service_id")
+def contract_lines(keyed: DataFrame, lines: DataFrame) -> DataFrame:
+    """Folded invoice lines (``invoice_sums``) with the contract key, device and account they are reported under.
+
+    ``lines`` hold whole periods: what covers a device in a period is read from them too.
+    """
+    rows = lines.drop("line_account_id").join(keyed.drop("open_date", "customer_id"), "service_id")
     owners = (
-        main_services(services)
+        main_services(keyed)
         .filter(F.col("imei").isNotNull())
         .groupBy("account_id", F.col("imei").alias("device"))
         .agg(F.min(base_contract("base_contract_id")).alias("_owner"))
     )
-    covered = covered_devices(invoiced_services(services, items)).withColumn("_covered", F.lit(True))
+    places = lines.select("service_id", "period_id", "line_account_id").distinct()
+    covered = covered_devices(invoiced_services(keyed, places)).withColumn("_covered", F.lit(True))
     is_sub = lambda n: F.col(n).startswith("SUB-")
     mains = (
         rows.filter(F.col("type_id").isin(MAIN_TYPES) & (F.coalesce(is_sub("line_login"), F.lit(False)) | is_sub("login")))
@@ -186,18 +197,28 @@ REVENUE_SUMS = [
 def revenue_report(
     services: DataFrame, items: DataFrame, invoices: DataFrame, resource_types: DataFrame, currencies: DataFrame,
     periods: DataFrame, info: DataFrame, plans: DataFrame, elements: DataFrame, element_types: DataFrame,
-    rates: DataFrame,
+    rates: DataFrame, period_ids: list[int] | None = None, by_base: bool = True, keep: Keep = _as_is,
 ) -> DataFrame:
     """Revenue per contract, device, account, period and currency, split into buckets.
 
-    ``plans`` is the plan of each device, contract and month: the cost report, or ``monthly_plans``. Everything is grouped by ids first; names, codes and currencies join the small grouped result.
+    ``plans`` is the plan of each device, contract and month: the cost report, ``cost_table``, or ``monthly_plans``.
+    Everything is grouped by ids first; names, codes and currencies join the small grouped result. ``keep`` writes the folded
+    lines and the keyed services, so that invoice lines and services are scanned once.
+
+    ``period_ids`` asks for some periods: lines of others are not read for sums (who owns a contract still depends on
+    the places of all lines, a narrow scan), and the rows are those of the whole report. A contract's names come from its
+    newest service, clones included; ``by_base=False`` gives a row per clone and so counts its money again, as the source does.
     """
-    anchors = revenue_anchors(services, items).withColumnsRenamed(
+    keyed = keep(keyed_services(services), "keyed_services")
+    wanted = items if period_ids is None else items.filter(F.col("period_id").isin(period_ids))
+    lines = keep(invoice_sums(wanted, invoices, resource_types), "invoice_lines")
+    places = lines.select("service_id", "period_id", "line_account_id").distinct() if period_ids is None else line_places(items)
+    anchors = anchors_of(keyed, places).withColumnsRenamed(
         {"service_id": "anchor_id", "type_id": "anchor_type", "customer_id": "anchor_customer"}
     )
     kind = F.col("type_id")
     grouped = (
-        contract_lines(services, items, invoices, resource_types)
+        contract_lines(keyed, lines)
         .drop("service_id")
         .join(anchors.filter(F.col("imei").isNotNull()), ["base_contract_id", "imei", "account_id"])
         .groupBy(
@@ -218,8 +239,9 @@ def revenue_report(
         )
     )
     contracts = info.filter(F.col("contract_id").startswith("SUB-"))
-    by_contract = _newest(contracts, "_s", F.col("contract_id").alias("_sc")).select(
-        base_contract("_sc").alias("base_contract_id"), "_s"
+    by_contract = (
+        _newest(contracts, "_s", base_contract("contract_id").alias("base_contract_id")) if by_base
+        else _newest(contracts, "_s", F.col("contract_id").alias("_sc")).select(base_contract("_sc").alias("base_contract_id"), "_s")
     )
     by_device = _newest(
         contracts.filter(F.col("imei").isNotNull()), "_i", F.col("account_id"), F.trim("imei").alias("imei")
@@ -228,7 +250,9 @@ def revenue_report(
         "period_id", F.date_format("start_date", "yyyyMM").cast("int").alias("bill_month"),
         F.date_format("start_date", "yyyy-MM").alias("period"), F.col("month").alias("period_name"),
     )
-    money_names = currencies.filter(F.col("currency_id").isin(1, UNIT_CURRENCY))
+    money_names = currencies.filter(F.col("currency_id").isin(1, UNIT_CURRENCY)).select(
+        "currency_id", F.col("name").alias("currency_name"), F.col("code").alias("currency_code")
+    )
     plans = (
         plans.filter(F.col("contract_id").isNotNull() & F.col("imei").isNotNull() & F.col("bill_month_key").isNotNull())
         .select(
@@ -238,7 +262,7 @@ def revenue_report(
         .filter(F.col("plan_code").isNotNull())
         .distinct()
     )
-    core = keyed_services(services).filter(F.col("type_id").isin([*MAIN_TYPES, SUSPEND_TYPE]))
+    core = keyed.filter(F.col("type_id").isin([*MAIN_TYPES, SUSPEND_TYPE]))
     peers = core.groupBy("account_id", F.col("device").alias("imei")).agg(
         F.lit(True).alias("_core"),
         F.max(F.col("type_id").isin(MAIN_TYPES) & F.col("field_device").isNotNull()).alias("_main"),
@@ -267,11 +291,8 @@ def revenue_report(
         .join(by_device, ["account_id", "imei"], "left")
         .join(peers, ["account_id", "imei"], "left")
         .join(months, "period_id", "left")
-        .join(money_names.select("currency_id", F.col("name").alias("currency_name")), "currency_id", "left")
-        .join(
-            money_names.select(F.col("currency_id").alias("acc_currency_id"), F.col("name").alias("acc_currency_name")),
-            "acc_currency_id", "left",
-        )
+        .join(money_names, "currency_id", "left")
+        .join(money_names.withColumnsRenamed({n: f"acc_{n}" for n in money_names.columns}), "acc_currency_id", "left")
         .join(plans, ["base_contract_id", "imei", "period"], "left")
         .join(
             connection_price(services, elements, element_types).withColumnRenamed("service_id", "anchor_id"),
@@ -293,7 +314,7 @@ def revenue_report(
             "open_date",
             either("start_date").alias("service_start_date"),
             either("stop_date").alias("service_stop_date"),
-            "currency_id", "currency_name", "acc_currency_id", "acc_currency_name",
+            "currency_id", "currency_name", "currency_code", "acc_currency_id", "acc_currency_name", "acc_currency_code",
             "period_id", "bill_month", "period", "period_name",
             "revenue_sbd_traffic",
             of_plan("SBD-1").alias("revenue_sbd_traffic_sbd1"),
@@ -378,24 +399,25 @@ def _service_contracts(services: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def cogs(report: DataFrame, services: DataFrame, charges: DataFrame, items: DataFrame, periods: DataFrame) -> DataFrame:
-    """Cost against revenue per contract, device and month.
+def cogs(
+    report: DataFrame, services: DataFrame, charges: DataFrame, items: DataFrame, periods: DataFrame, keep: Keep = _as_is
+) -> DataFrame:
+    """Cost against revenue per contract, device and month, from the cost report or the narrower ``cost_table``.
 
     Costs meet the revenue of their own month. Every month with either side has a row, and a
     service with neither has one row without a month.
     """
     svc = _service_contracts(services)
     months = periods.select("period_id", F.date_format("start_date", "yyyyMM").alias("month"))
-    revenue = _revenue_side(charges, items, services).join(months, "period_id", "left")
+    revenue = keep(_revenue_side(charges, items, services).join(months, "period_id", "left"), "revenue_side")
     costs = report.select(
-        "contract_id", "imei", F.col("bill_month_key").alias("month"), "calculated_overage", "billed_amount", "fees_total",
-        "fee_advance", "fee_advance_previous", "plan_name",
+        "contract_id", "imei", F.col("bill_month_key").alias("month"), "calculated_overage", "billed_amount", "fees_total", "plan_name",
     )
     # Two sources can report the same contract, device and month; their money adds up.
-    costs = costs.groupBy("contract_id", "imei", "month").agg(
+    costs = keep(costs.groupBy("contract_id", "imei", "month").agg(
         *[F.sum(n).alias(n) for n in ("calculated_overage", "billed_amount", "fees_total")],
         F.max("plan_name").alias("plan_name"),
-    )
+    ), "month_costs")
     keys = ["contract_id", "imei", "month"]
     known = svc.select("contract_id", "imei")
     spine = (

@@ -136,19 +136,18 @@ def hybrid_search(
     hits = hits.withColumn("rank", F.row_number().over(Window.orderBy(id_col)))
     near = vector_topk(df, queries, k, id_col, vec_col).select(id_col, "similarity", "rank")
     near = near.join(df.select(id_col, title_col), id_col)
-    seen = hits.select(F.col(title_col).alias("seen_title")).distinct()
-    fresh = near.join(seen, F.col(title_col).eqNullSafe(F.col("seen_title")), "left_anti")
-    once = Window.partitionBy(title_col).orderBy("rank")
-    some_hit = chosen.select(F.col("best").isNotNull().alias("some_hit"))
-    fresh = fresh.withColumn("nth", F.row_number().over(once)).join(some_hit)
-    # without title hits, and under no title, every near row stays
-    fresh = fresh.filter((F.col("nth") == 1) | ~F.col("some_hit") | F.col(title_col).isNull())
     columns = ["source", "rank", id_col, title_col, "similarity"]
-    return (
-        hits.withColumns({"source": F.lit("title"), "similarity": F.lit(1.0)}).select(*columns)
-        .unionByName(fresh.withColumn("source", F.lit("semantic")).select(*columns))
-        .orderBy(F.when(F.col("source") == "title", 0).otherwise(1), "rank").limit(k)
+    both = hits.withColumns({"source": F.lit("title"), "similarity": F.lit(1.0)}).select(*columns).unionByName(
+        near.withColumn("source", F.lit("semantic")).select(*columns)
     )
+    # from here on there are k and ``title_limit`` rows at most
+    is_hit = F.col("source") == "title"
+    both = both.withColumn("title_hit", F.max(is_hit).over(Window.partitionBy(title_col)))
+    both = both.withColumn("nth", F.row_number().over(Window.partitionBy(title_col, "source").orderBy("rank")))
+    both = both.withColumn("some_hit", F.max(is_hit).over(Window.partitionBy()))
+    # without title hits every near row stays, and so does every row without a title
+    fresh = ~F.col("some_hit") | F.col(title_col).isNull() | (~F.col("title_hit") & (F.col("nth") == 1))
+    return both.filter(is_hit | fresh).select(*columns).orderBy(F.when(is_hit, 0).otherwise(1), "rank").limit(k)
 
 
 def hit_rate(runs: DataFrame) -> DataFrame:

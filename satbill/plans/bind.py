@@ -349,7 +349,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self._made: dict[str, DataFrame] = {}
+        self._made: dict[str | tuple, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -364,13 +364,14 @@ class Tables:
         return self._made[name]
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table that several steps of one query read, once, and go on from there."""
-        return self.once(name, lambda _: df)
+        """Write a table that several steps of one operator read, and go on from there."""
+        return snapshot(df, name)
 
-    def once(self, name: str, make: Callable[[Tables], DataFrame]) -> DataFrame:
-        if name not in self._made:
-            self._made[name] = snapshot(make(self), name)
-        return self._made[name]
+    def once(self, key: tuple, make: Callable[[Tables], DataFrame]) -> DataFrame:
+        """A table that several operators of one query read, written once; ``key`` names it and all its arguments."""
+        if key not in self._made:
+            self._made[key] = snapshot(make(self), str(key[0]))
+        return self._made[key]
 
     def sql(self, text: str) -> DataFrame:
         full = with_tables(text, dialect="spark")

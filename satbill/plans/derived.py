@@ -192,7 +192,8 @@ DERIVED: dict[str, str] = {
                AND EXISTS (FROM x_main m WHERE m.account_id = k.account_id AND m.imei = k.device))""",
     "x_info_contract": """
         SELECT regexp_replace(contract_id, '-clone-.*', '') AS base, * FROM x_info WHERE contract_id LIKE 'SUB-%'
-        QUALIFY row_number() OVER (PARTITION BY contract_id ORDER BY start_date DESC NULLS LAST, stop_date DESC NULLS LAST, service_id DESC) = 1""",
+        QUALIFY row_number() OVER (PARTITION BY regexp_replace(contract_id, '-clone-.*', '')
+                                   ORDER BY start_date DESC NULLS LAST, stop_date DESC NULLS LAST, service_id DESC) = 1""",
     "x_info_device": """
         SELECT * FROM x_info WHERE contract_id LIKE 'SUB-%' AND imei IS NOT NULL QUALIFY row_number() OVER (PARTITION BY account_id, trim(imei)
                ORDER BY start_date DESC NULLS LAST, stop_date DESC NULLS LAST, service_id DESC) = 1""",
@@ -225,7 +226,7 @@ DERIVED: dict[str, str] = {
                      coalesce(c.order_number, d.order_number) AS order_number, coalesce(c.service_id, d.service_id) AS info_service_id,
                      coalesce(c.tariff_id, d.tariff_id) AS tariff_id, coalesce(c.is_suspended, d.is_suspended) AS is_suspended,
                      coalesce(c.start_date, d.start_date) AS service_start_date, coalesce(c.stop_date, d.stop_date) AS service_stop_date,
-                     n1.name AS currency_name, n2.name AS acc_currency_name, strftime(p.start_date, '%Y%m') AS bill_month,
+                     n1.name AS currency_name, n2.name AS acc_currency_name, n1.code AS currency_code, n2.code AS acc_currency_code, strftime(p.start_date, '%Y%m') AS bill_month,
                      strftime(p.start_date, '%Y-%m') AS period, p.month AS period_name, r.plan_name, t.connection_price AS tariff_connection_price,
                      CASE WHEN date_trunc('month', g.open_date) = date_trunc('month', p.start_date)
                           THEN t.connection_price * CASE WHEN g.acc_currency_id = 4 THEN dr.rate ELSE 1 END END AS revenue_connection,

@@ -18,24 +18,31 @@ def agreements(t: Tables) -> DataFrame:
 
 
 def consolidated(t: Tables) -> DataFrame:
-    return costs.consolidated(t.usage, t.fees, t.plans)
+    return costs.consolidated(t.usage, t.fees, t.plans, keep=t.keep)
 
 
-def report(t: Tables) -> DataFrame:
-    return costs.billing_report(t.usage, t.fees, t.plans, info(t), agreements(t), AS_OF, keep=t.keep)
+def report(t: Tables, months: costs.Months | None = None, as_of: str = AS_OF, plan_fallback: bool = True) -> DataFrame:
+    return costs.billing_report(
+        t.usage, t.fees, t.plans, info(t), agreements(t), as_of, plan_fallback=plan_fallback, months=months, keep=t.keep
+    )
 
 
-def kept_report(t: Tables) -> DataFrame:
-    return t.once("report", report)
+def money(t: Tables, months: costs.Months | None = None) -> DataFrame:
+    """The report's money without its lookups, written once."""
+    return t.once(("money", months), lambda t: costs.cost_table(t.usage, t.fees, t.plans, AS_OF, months=months, keep=t.keep))
+
+
+def kept_report(t: Tables, months: costs.Months | None = None, as_of: str = AS_OF, plan_fallback: bool = True) -> DataFrame:
+    return t.once(("report", months, as_of, plan_fallback), lambda t: report(t, months, as_of, plan_fallback))
 
 
 def kept_info(t: Tables) -> DataFrame:
-    return t.once("info", info)
+    return t.once(("info", AS_OF), info)
 
 
 def kept_costs(t: Tables) -> DataFrame:
-    """The consolidated rows, from an overage table that is written once as well."""
-    return t.once("costs", lambda t: costs.consolidate(t.once("overage", lambda t: costs.usage_overage(t.usage, t.plans)), t.fees))
+    """The consolidated rows, from an overage table that is written as well."""
+    return t.once(("costs",), consolidated)
 
 
 register(
@@ -114,6 +121,10 @@ register(
     f"""SELECT * FROM ({X_MAIN}) WHERE plan_name = 'SBD Tiered 1250 10K' AND contract_id LIKE '%SUB-1%'
         AND upper(party) LIKE '%CUSTOMER%' AND ext_code LIKE '%C%'""",
 )
+register(
+    "e11_main_report_month", MAIN, lambda t: costs.main_report(report(t, costs.period_months("2018-05")), period="2018-05"),
+    f"SELECT * FROM ({X_MAIN}) WHERE financial_period = '2018-05'",
+)
 register(
     "e12_report_totals",
     "row_count:i total_overage:d total_advance:d total_advance_previous:d overage_sbd1:d overage_sbd10:d overage_sbd1_sbd10:d",

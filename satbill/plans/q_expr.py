@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from satbill.functions import expr
-from satbill.operators import dims
+from satbill.operators import costs, dims
 from satbill.plans.catalog import register
 from satbill.plans.q_costs import report
 
@@ -88,7 +88,7 @@ register(
 )
 register(
     "b18_apply_filters", "financial_period contract_id imei plan_name ext_code calculated_overage:d",
-    lambda t: expr.apply_filters(report(t), period="2018-05", plan="SBD Tiered 1250 1K", contract="SUB-", customer=" org ", code="C"),
+    lambda t: expr.apply_filters(report(t, costs.period_months("2018-05")), period="2018-05", plan="SBD Tiered 1250 1K", contract="SUB-", customer=" org ", code="C"),
     """SELECT * FROM x_report WHERE financial_period = '2018-05' AND plan_name = 'SBD Tiered 1250 1K' AND contract_id LIKE '%SUB-%'
          AND upper(coalesce(organization_name, customer_name, '')) LIKE '%ORG%' AND ext_code LIKE '%C%'""",
 )

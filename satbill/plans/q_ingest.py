@@ -68,6 +68,12 @@ register(
     lambda t: files.read_fees(t.spark, fee_files(t))[1].agg(F.sum("skipped").alias("skipped")),
     "SELECT count(*) AS skipped FROM fees WHERE upper(trim(service)) = 'BROADBAND'",
 )
+register(
+    "a06_file_records", "files_without_header:i records:i",
+    lambda t: files.file_records(files.raw_lines(t.spark, usage_files(t)), files.USAGE_MUST).agg(
+        F.count(F.when(~F.col("has_header"), 1)).alias("files_without_header"), F.sum("records_in_file").alias("records")),
+    "SELECT 0 AS files_without_header, count(*) AS records FROM usage",
+)
 # The even files come a second time, under names in capitals and with other amounts.
 
 
@@ -198,7 +204,7 @@ register(
 )
 register(
     "a16_export_accounting", "ext_code customer_name agreement_number imei plan_name bill_month billed_amount:d calculated_overage:d fees_total:d",
-    lambda t: reports.export_accounting(report(t), "202106"),
+    lambda t: reports.export_accounting(report(t, ("202106", "202106")), "202106"),
     "SELECT * REPLACE (bill_month_key AS bill_month) FROM x_report WHERE bill_month_key = '202106' AND ext_code IS NOT NULL",
 )
 register(

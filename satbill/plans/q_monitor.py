@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from satbill.plans.bind import Tables
 from satbill.plans.catalog import register
 from satbill.plans.q_ingest import scratch, usage_files
+from satbill.sources.loads import read_log
 from satbill.streaming import ingest, monitor
 
 
@@ -24,6 +26,23 @@ register(
     """SELECT contract_id, imei, usage_type, usage_bytes, total_amount, nullif(plan_name, '') AS plan_name,
               CASE WHEN bill_month >= 200000 THEN bill_month ELSE bill_month % 10000 * 100 + bill_month // 10000 END AS bill_month FROM usage""",
 )
+
+
+def stream_log(t: Tables) -> DataFrame:
+    """The log of the same stream over good files and a file without headings."""
+    table, log, checkpoint, folder = (scratch(t, n) for n in ("stream-table", "stream-log", "stream-check", "stream-files"))
+    lines = t.spark.read.text(usage_files(t))
+    lines.write.mode("append").text(folder)
+    t.usage.select(F.concat_ws(";", "contract_id", "imei")).write.mode("append").text(folder)
+    ingest.stream_ingest(t.spark, folder, table, log, checkpoint).awaitTermination()
+    return read_log(t.spark, log).groupBy("load_status").agg(F.sum("records_loaded").alias("records"), F.max("error_message").alias("error"))
+
+
+register(
+    "j01_stream_log", "load_status records:i error", stream_log,
+    """SELECT 'SUCCESS' AS load_status, count(*) AS records, NULL AS error FROM usage
+       UNION ALL SELECT 'FAILED', 0, 'no line carries the expected headings' FROM (SELECT 1 FROM usage LIMIT 1)""",
+)
 register(
     "j02_net_metrics",
     "event_id:i net_id:i ts:t stations_enabled:i stations_total:i stations_online:i outroute_cn_db:d inroute_cn_db:d network_tx_kbit_s:d",

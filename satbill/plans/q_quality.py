@@ -28,7 +28,7 @@ register(
 register(
     "h02_alert_discrepancy",
     "imei contract_id customer_name ext_code bill_month plan_name total_usage_kb:d overage_kb:d calculated_overage:d billed_amount:d difference:d issue",
-    lambda t: alerts.alert_discrepancy(report(t), AS_OF, active_status=10),
+    lambda t: alerts.alert_discrepancy(report(t, alerts.alert_months(AS_OF, 3)), AS_OF, active_status=10),
     """SELECT *, abs(billed_amount - calculated_overage) AS difference,
               if(calculated_overage > billed_amount, 'UNDERBILLED', 'OVERBILLED') AS issue
        FROM x_report WHERE service_status = 10 AND abs(billed_amount - calculated_overage) > 5 AND bill_month >= '2021-05'""",
@@ -37,7 +37,7 @@ register(
     "h03_alert_high_overage",
     "imei contract_id customer_name ext_code agreement_number bill_month plan_name included_kb:d total_usage_kb:d overage_kb:d "
     "calculated_overage:d overage_percent:d",
-    lambda t: alerts.alert_high_overage(report(t), AS_OF, limit=10, active_status=10),
+    lambda t: alerts.alert_high_overage(report(t, alerts.alert_months(AS_OF, 1)), AS_OF, limit=10, active_status=10),
     """SELECT *, round(overage_kb / nullif(included_kb, 0) * 100, 0) AS overage_percent
        FROM x_report WHERE service_status = 10 AND calculated_overage > 10 AND bill_month >= '2021-07'""",
 )
@@ -55,13 +55,13 @@ X_OVER = "(SELECT * FROM x_report WHERE calculated_overage > 0 AND bill_month >=
 # Average of cents rounded half up in whole numbers; floating point would round ties either way.
 X_AVERAGE = "(2 * CAST(sum(calculated_overage) * 100 AS BIGINT) + count(*)) // (2 * count(*)) / 100.0"
 register(
-    "h05_alert_repeat_overage", REPEAT, lambda t: alerts.alert_repeat_overage(kept_report(t), AS_OF),
+    "h05_alert_repeat_overage", REPEAT, lambda t: alerts.alert_repeat_overage(kept_report(t, alerts.alert_months(AS_OF, 6)), AS_OF),
     f"""SELECT imei, contract_id, customer_name, ext_code, plan_name, n AS months_with_overage, sum(calculated_overage) AS total_overage,
                {X_AVERAGE} AS avg_overage
         FROM (SELECT *, count(*) OVER (PARTITION BY imei) AS n FROM {X_OVER}) WHERE n >= 3 GROUP BY ALL""",
 )
 register(
-    "h05_alert_consecutive_overage", REPEAT, lambda t: alerts.alert_repeat_overage(kept_report(t), AS_OF, consecutive=True, at_least=2),
+    "h05_alert_consecutive_overage", REPEAT, lambda t: alerts.alert_repeat_overage(kept_report(t, alerts.alert_months(AS_OF, 6)), AS_OF, consecutive=True, at_least=2),
     f"""WITH m AS (SELECT DISTINCT imei, CAST(bill_month_key[1:4] AS INT) * 12 + CAST(bill_month_key[5:6] AS INT) AS i FROM {X_OVER} WHERE imei IS NOT NULL),
              runs AS (SELECT imei, count(*) AS n FROM (SELECT imei, i - row_number() OVER (PARTITION BY imei ORDER BY i) AS g FROM m) GROUP BY imei, g),
              best AS (SELECT imei, max(n) AS n FROM runs GROUP BY imei HAVING max(n) >= 2)

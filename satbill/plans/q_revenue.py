@@ -3,33 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from satbill.operators import costs, profit, rating, revenue
 from satbill.plans.bind import Tables
 from satbill.plans.catalog import register
-from satbill.plans.q_costs import info, kept_costs, kept_info, kept_report, report
+from satbill.plans.q_costs import info, kept_info, money
 
 
-def revenue_rows(t: Tables) -> DataFrame:
+def revenue_rows(t: Tables, period_ids: list[int] | None = None) -> DataFrame:
+    months = None if period_ids is None else tuple(f"{(p - 1) // 12:04d}{(p - 1) % 12 + 1:02d}" for p in (min(period_ids), max(period_ids)))
     return revenue.revenue_report(
-        t.services, t.invoice_items, t.invoices, t.resource_types, t.currencies, t.periods, kept_info(t), costs.monthly_plans(kept_costs(t)),
-        t.tariff_elements, t.element_types, t.currency_rates,
+        t.services, t.invoice_items, t.invoices, t.resource_types, t.currencies, t.periods, kept_info(t), money(t, months),
+        t.tariff_elements, t.element_types, t.currency_rates, period_ids=period_ids, keep=t.keep,
     )
 
 
 def profit_rows(t: Tables) -> DataFrame:
-    return profit.profit_by_period(kept_report(t), revenue_rows(t), rating.period_rate(t.invoice_items, t.periods))
+    spent = costs.customer_costs(money(t), kept_info(t))
+    return profit.profit_by_period(spent, revenue_rows(t), rating.period_rate(t.invoice_items, t.periods))
 
 
 register(
     "f01_revenue_anchors", "base_contract_id imei account_id:i service_id:i type_id:i customer_id:i open_date:t",
-    lambda t: revenue.revenue_anchors(t.services, t.invoice_items),
+    lambda t: revenue.revenue_anchors(t.services, t.invoice_items, keep=t.keep),
     "SELECT base AS base_contract_id, imei, account_id, service_id, type_id, customer_id, open_date FROM x_anchors",
 )
 REVENUE = (
     "service_id:i contract_id imei sub_contract_id customer_name organization_name person_name ext_code account_id:i customer_id:i "
     "agreement_number order_number info_service_id:i tariff_id:i is_suspended open_date:t service_start_date:t service_stop_date:t "
-    "currency_id:i currency_name acc_currency_id:i acc_currency_name period_id:i bill_month:i period period_name revenue_sbd_traffic:d "
+    "currency_id:i currency_name currency_code acc_currency_id:i acc_currency_name acc_currency_code period_id:i bill_month:i period period_name revenue_sbd_traffic:d "
     "revenue_sbd_traffic_sbd1:d revenue_sbd_traffic_sbd10:d revenue_sbd_abon:d revenue_sbd_total:d revenue_suspend_abon:d "
     "revenue_monitoring_abon:d revenue_monitoring_block_abon:d revenue_msg_abon:d revenue_total:d tariff_connection_price:d "
     "revenue_connection:d revenue_total_acc_currency:d invoice_items_count:i anomaly_note"
@@ -39,7 +42,7 @@ register(
     "f03_cogs",
     "contract_id imei month period_id:i service_status:i state plan_name total_cost:d revenue_charges:d revenue_invoices:d charges_count:i "
     "invoiced_count:i test_count:i has_charges:b has_invoices:b has_cost:b issue cost_pct:d margin_pct:d",
-    lambda t: revenue.cogs(report(t), t.services, t.charges, t.invoice_items, t.periods),
+    lambda t: revenue.cogs(money(t), t.services, t.charges, t.invoice_items, t.periods, keep=t.keep),
     """
     WITH cost AS (SELECT contract_id, imei, bill_month_key AS month, sum(calculated_overage + billed_amount + fees_total) AS cost,
                          max(plan_name) AS plan_name FROM x_report GROUP BY 1, 2, 3),
@@ -133,6 +136,13 @@ register(
     "f11_revenue_display", REVENUE,
     lambda t: revenue.revenue_display(revenue_rows(t), t.services, t.invoice_items, t.periods), X_DISPLAY,
 )
+MAY_2018 = 2018 * 12 + 5  # the period's id
+register(
+    "f11_revenue_display_month", REVENUE,
+    lambda t: revenue.revenue_display(
+        revenue_rows(t, [MAY_2018]), t.services, t.invoice_items.filter(F.col("period_id") == MAY_2018), t.periods),
+    f"SELECT * FROM ({X_DISPLAY}) WHERE period = '2018-05'",
+)
 TOTALS = ["revenue_sbd_traffic", "revenue_sbd_traffic_sbd1", "revenue_sbd_traffic_sbd10", "revenue_sbd_abon", "revenue_suspend_abon",
           "revenue_monitoring_abon", "revenue_monitoring_block_abon", "revenue_msg_abon", "revenue_total"]
 register(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from satbill.operators import services as svc
 from satbill.plans.bind import AS_OF, Tables
 from satbill.plans.catalog import register
-from satbill.plans.q_costs import kept_info, report
+from satbill.plans.q_costs import kept_info, money
 from satbill.plans.q_revenue import revenue_rows
 
 
@@ -168,7 +168,7 @@ register(
 )
 register("g14_period_list", "period", lambda t: svc.period_list(t.periods),
          "SELECT DISTINCT strftime(start_date, '%Y-%m') AS period FROM periods")
-register("g14_plan_list", "plan_name", lambda t: svc.plan_list(report(t)),
+register("g14_plan_list", "plan_name", lambda t: svc.plan_list(money(t)),
          "SELECT DISTINCT plan_name FROM x_report WHERE plan_name IS NOT NULL")
 register("g14_revenue_period_list", "period", lambda t: svc.revenue_period_list(revenue_rows(t)),
          "SELECT DISTINCT period FROM x_revenue WHERE period IS NOT NULL")

@@ -66,6 +66,29 @@ def raw_lines(
     return df.select(F.col("value"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("source_file"))
 
 
+USAGE_MUST = ["Contract ID", "Usage Type", "Bill Month"]
+FEE_MUST = ["Invoice Date", "Contract ID", "Amount"]
+
+
+def is_header(must_have: list[str]) -> Column:
+    """Whether a line (``value``) carries the feed's own headings. The first, cheap test spares data lines the squeezing."""
+    found = F.upper("value").contains(must_have[0].split(" ")[0].upper())
+    for name in must_have:
+        found = found & _norm_col(F.decode(F.col("value").cast("binary"), "ISO-8859-1")).contains(_norm(name))
+    return found
+
+
+def file_records(lines: DataFrame, must_have: list[str]) -> DataFrame:
+    """Per delivered file (source_file): whether it has a header, and records_in_file, its data lines. Empty files without a
+    single line are not seen, as no line comes from them."""
+    filled = F.length(F.trim("value")) > 0
+    header = is_header(must_have)
+    return lines.groupBy("source_file").agg(
+        F.coalesce(F.max(header), F.lit(False)).alias("has_header"),
+        F.count(F.when(filled & ~header, 1)).alias("records_in_file"),
+    )
+
+
 def split_lines(lines: DataFrame, headings: list[str], must_have: list[str]) -> DataFrame:
     """One row per data line: source_file and a text column per heading (``c0`` on), blanks as NULL.
 
@@ -73,12 +96,7 @@ def split_lines(lines: DataFrame, headings: list[str], must_have: list[str]) ->
     A header is the line that carries the feed's own headings.
     """
     as_latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    squeezed = _norm_col(as_latin)
-    # The first, cheap test spares data lines the squeezing.
-    is_header = F.upper("value").contains(must_have[0].split(" ")[0].upper())
-    for name in must_have:
-        is_header = is_header & squeezed.contains(_norm(name))
-    marked = lines.withColumn("_header", is_header)
+    marked = lines.withColumn("_header", is_header(must_have))
     per_file = marked.groupBy("file_path").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("_utf8"),
         # A file has one header, so the set is as good as a value, and it needs no sort of the lines.
@@ -121,7 +139,7 @@ def _typed(cells: DataFrame, headings: list[str], numbers: list[str]) -> tuple[D
 def usage_rows(lines: DataFrame, strict_month: bool = False) -> DataFrame:
     """Typed usage rows from raw lines."""
     numbers = ["Total Rows", "Usage", "Total Amount", "Bill Month", "Actual Usage", "Call/Session Count", "SP Account No"]
-    cells, at = _typed(split_lines(lines, USAGE_HEADINGS, ["Contract ID", "Usage Type", "Bill Month"]), USAGE_HEADINGS, numbers)
+    cells, at = _typed(split_lines(lines, USAGE_HEADINGS, USAGE_MUST), USAGE_HEADINGS, numbers)
     text = lambda h: F.trim(at[h])
     whole = lambda h: at[h].cast("long")
     money = lambda h: at[h].cast("decimal(18,2)")
@@ -139,7 +157,7 @@ def usage_rows(lines: DataFrame, strict_month: bool = False) -> DataFrame:
 def fee_rows(lines: DataFrame) -> DataFrame:
     """Typed fee rows from raw lines, the left-out line of business included. Texts keep their blanks."""
     numbers = ["Company Number", "Settling Period", "Prorated Days"]
-    cells, at = _typed(split_lines(lines, FEE_HEADINGS, ["Invoice Date", "Contract ID", "Amount"]), FEE_HEADINGS, numbers)
+    cells, at = _typed(split_lines(lines, FEE_HEADINGS, FEE_MUST), FEE_HEADINGS, numbers)
     whole = lambda h: at[h].cast("long")
     return cells.select(
         any_date(at["Invoice Date"]).cast("timestamp").alias("invoice_date"), at["Company Name"].alias("company_name"),

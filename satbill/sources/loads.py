@@ -70,6 +70,26 @@ def log_entries(
     )
 
 
+def file_log_entries(
+    files: DataFrame, loaded: DataFrame, table_name: str, started: dt.datetime, finished: dt.datetime
+) -> DataFrame:
+    """A log row for every delivered file (``file_records``), loaded or not.
+
+    FAILED without a header, PARTIAL where fewer rows were taken than the file has data lines, else SUCCESS. ``loaded``
+    has a row per line taken, those that are left out on purpose included.
+    """
+    counts = loaded.groupBy("source_file").agg(F.count(F.lit(1)).alias("_n"))
+    status = F.when(~F.col("has_header"), F.lit("FAILED")).when(nz("_n") < F.col("records_in_file"), F.lit("PARTIAL")).otherwise(F.lit("SUCCESS"))
+    error = F.when(~F.col("has_header"), F.lit("no line carries the expected headings")).when(
+        nz("_n") < F.col("records_in_file"), F.format_string("%d of %d records taken", nz("_n"), F.col("records_in_file"))
+    )
+    return files.join(counts, "source_file", "left").select(
+        F.lit(table_name).alias("table_name"), F.col("source_file").alias("file_name"), nz("_n").cast("long").alias("records_loaded"),
+        status.alias("load_status"), F.lit(started).cast("timestamp").alias("started"), F.lit(finished).cast("timestamp").alias("finished"),
+        F.lit((finished - started).total_seconds()).alias("seconds"), error.alias("error_message"),
+    )
+
+
 def log_load(entries: DataFrame, path: str, batch: str | int) -> None:
     """Append log rows; the batch's own partition is rewritten, so a repeated batch logs once."""
     (

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_written: list[str] = []
 
 
 def snapshot_root(spark: SparkSession) -> str:
@@ -18,6 +21,7 @@ def snapshot_root(spark: SparkSession) -> str:
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError(f"set {SETTING} to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="satbill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set(SETTING, folder)
     return folder
 
@@ -30,4 +34,14 @@ def snapshot(df: DataFrame, name: str = "part") -> DataFrame:
     spark = df.sparkSession
     path = f"{snapshot_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_snapshots(spark: SparkSession) -> int:
+    """Delete the tables this process has written here. Call it when no result that reads them is needed any more."""
+    removed = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        removed += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return removed

@@ -8,30 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from satbill.sources.files import fee_rows, raw_lines, usage_rows
-from satbill.sources.loads import log_entries, log_load, write_replacing
+from satbill.sources.files import FEE_MUST, USAGE_MUST, fee_rows, file_records, raw_lines, usage_rows
+from satbill.sources.loads import file_log_entries, log_load, write_replacing
 from satbill.sources.snapshot import snapshot
 
-PARSERS = {
-    "usage": usage_rows,
-    "fees": lambda lines: fee_rows(lines).filter(
-        ~F.coalesce(F.upper(F.trim("service")) == "BROADBAND", F.lit(False))
-    ),
-}
+PARSERS = {"usage": (usage_rows, USAGE_MUST), "fees": (fee_rows, FEE_MUST)}
 
 
 def load_batch(lines: DataFrame, table_path: str, log_path: str, batch: str | int, kind: str = "usage") -> None:
-    """Store one batch of lines and log its files.
+    """Store one batch of lines and log each of its files, those that could not be read included.
 
-    The table keeps one partition per file and the log one per batch, both rewritten whole:
+    Lines of the left-out line of business count as taken, but are not stored. The table keeps one partition per file and the log one per batch, both rewritten whole:
     running a batch twice leaves the same result as running it once.
     """
     started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    rows = PARSERS[kind](lines).withColumn("load_date", F.lit(started).cast("timestamp"))
-    kept = snapshot(rows, f"ingest-{kind}")
-    write_replacing(kept, table_path)
+    parse, must_have = PARSERS[kind]
+    kept = snapshot(parse(lines).withColumn("load_date", F.lit(started).cast("timestamp")), f"ingest-{kind}")
+    stored = kept if kind == "usage" else kept.filter(~F.coalesce(F.upper(F.trim("service")) == "BROADBAND", F.lit(False)))
+    write_replacing(stored, table_path)
     finished = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    log_load(log_entries(kept, kind, started, finished), log_path, batch)
+    log_load(file_log_entries(file_records(lines, must_have), kept, kind, started, finished), log_path, batch)
 
 
 def stream_ingest(

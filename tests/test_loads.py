@@ -78,6 +78,21 @@ def test_stream_twice_is_once(spark, folder, tmp_path):
     assert {r.file_name: r.is_loaded for r in status.collect()} == {"A.csv": True, "b.csv": False, "c.csv": False}
 
 
+def test_every_delivered_file_is_logged(spark, folder, tmp_path):
+    table, log = str(tmp_path / "t"), str(tmp_path / "l")
+    put(folder, "good.csv", ";".join(USAGE_HEAD) + "\nSUB-1;D1;X;1;92025;P\n\nSUB-2;D1;X;1;92025;P\n")
+    put(folder, "odd.csv", "Contract;Type\nSUB-1;D1\nSUB-1;D2\n")
+    ingest.stream_ingest(spark, folder, table, log, str(tmp_path / "c")).awaitTermination()
+    got = {r.file_name: (r.load_status, r.records_loaded, r.error_message) for r in loads.read_log(spark, log).collect()}
+    assert got == {"good.csv": ("SUCCESS", 2, None), "odd.csv": ("FAILED", 0, "no line carries the expected headings")}
+    files = spark.createDataFrame([("p.csv", True, 3)], "source_file string, has_header boolean, records_in_file long")
+    rows = spark.createDataFrame([("p.csv",), ("p.csv",)], "source_file string")
+    import datetime as dt
+
+    entry = loads.file_log_entries(files, rows, "usage", dt.datetime(2025, 1, 1), dt.datetime(2025, 1, 1)).first()
+    assert (entry.load_status, entry.records_loaded, entry.error_message) == ("PARTIAL", 2, "2 of 3 records taken")
+
+
 def test_monitor_stream(spark, tmp_path):
     src, body = tmp_path / "json", '{"net_id": 5, "ts": "2025-01-01T00:00:00Z", "stations_enabled": "1 / 3", "controllers": [{"name": "AM6 E04 01", "tx_kbit_s": 1.5}, {"name": "x"}]}'
     src.mkdir()
