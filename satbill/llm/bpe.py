@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from satbill.llm.batches import small_batches
+
 NONE = np.iinfo(np.int32).max
 WIDE = 512
 CELLS = 1 << 18
@@ -331,6 +333,7 @@ def encoded(docs: DataFrame, path: str, pattern: str = PATTERN, keep: tuple[str,
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*(batch.column(f"k{i}") for i in range(len(keep))), lists], [*keep, "ids"])
 
+    small_batches(docs.sparkSession)
     fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
     chosen = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs[text].alias("text"))
     return chosen.mapInArrow(run, T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from satbill.llm.batches import small_batches
+
 BITS, ORDERS = 16, 3
 MAX_ROWS = 8_192  # documents the model is fitted on, those of the lowest hashed doc_id; a fifth of them calibrates
 SCALE = 20.0
@@ -130,7 +132,7 @@ def _fit(idf: np.ndarray, batches):
         columns = batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist()
         lists = ((x.values.to_numpy() for x in batch.column(c)) for c in ("grams", "counts"))
         for key, lang, grams, counts in zip(*columns, *lists, strict=True):
-            rows.append((xxhash.xxh64_intdigest(str(key), 1), lang, grams.astype(np.int64), SCALE * counts / counts.sum() * idf[grams]))
+            rows.append((xxhash.xxh64_intdigest(str(key), 1), lang, np.array(grams, np.int32), (SCALE * counts / counts.sum() * idf[grams]).astype(np.float32)))
     rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))  # one order, however the rows arrived
     langs = sorted({r[1] for r in rows})
     number = {lang: i for i, lang in enumerate(langs)}
@@ -165,6 +167,7 @@ def fitted(docs: DataFrame, learn) -> tuple[list[str], np.ndarray, np.ndarray]:
     Document frequencies count all of those; the weights are fitted on ``MAX_ROWS`` of them. Null texts, texts without
     letters, and null ids teach nothing. What reaches the driver has at most 2**BITS entries per language.
     """
+    small_batches(docs.sparkSession)
     told = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & learn(F.col("doc_id")))
     idf = inverse_frequencies(told)
     sample = told.select(F.col("doc_id").alias("told")).distinct().orderBy(F.xxhash64(F.col("told").cast("string")), "told").limit(MAX_ROWS)
@@ -186,6 +189,7 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray])
     A text that is null or has no letter, and every text where nothing was learned, is ``und`` with score 0. Ties go to the
     language first by code point. Repeated rows and null ids are predicted like others; further columns are left out.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -3,8 +3,8 @@
 Two fingerprints that differ in at most four of six blocks of bits agree in the other two. So every fingerprint goes to
 the fifteen shards named by two of its blocks' values, and every link lies within a shard. The fingerprints of a shard form BK-trees of
 bounded size; a shard with several trees sends each tree to all blocks of its queries. A search follows the edges whose
-distance is within the radius of the query's distance. What leaves a shard is a spanning forest of the links found, not
-all pairs. Components come from alternating large and small stars over written tables.
+distance is within the radius of the query's distance. What leaves a shard is a star for each group its links
+connect, not all pairs. Components come from alternating large and small stars over written tables.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from satbill.llm.batches import small_batches
 from satbill.sources.snapshot import snapshot
 
 RADIUS = 4
@@ -55,6 +56,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = pa.array(np.array(own, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
@@ -92,7 +94,7 @@ class BKTree:
 
 
 def _forest(nodes: list[int], queries: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """Links that connect what the tree of ``nodes`` links: among themselves, or with ``queries`` of another block."""
+    """Links that connect what the tree of ``nodes`` links, among themselves or with ``queries`` of another block, as stars."""
     tree, own = BKTree(), nodes if queries is None else nodes + queries
     parent = list(range(len(own)))
 
@@ -102,13 +104,10 @@ def _forest(nodes: list[int], queries: list[int] | None, radius: int) -> list[tu
             i = parent[i]
         return i
 
-    links = []
-
     def join(i, j):
         a, b = root(i), root(j)
         if a != b:
             parent[max(a, b)] = min(a, b)
-            links.append((own[i], own[j]))
 
     for i, value in enumerate(nodes):
         if queries is None:
@@ -118,7 +117,7 @@ def _forest(nodes: list[int], queries: list[int] | None, radius: int) -> list[tu
     for i, value in enumerate(queries or []):
         for j in tree.within(value, radius):
             join(len(nodes) + i, j)
-    return links
+    return [(value, own[root(i)]) for i, value in enumerate(own) if root(i) != i]
 
 
 def _search(batches):
@@ -171,25 +170,30 @@ def links(classes: DataFrame) -> DataFrame:
     return blocks.sortWithinPartitions("shard", "tree", "block", "role", "fp").mapInArrow(_search, "u long, v long").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node but the roots has one edge, and that to a root."""
+    ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(
+        edges.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("in"))
+    )
+    odd = ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 OR (out = 1 AND in = 1)")
+    return not odd.agg(F.count("*")).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of ``edges`` (u, v), roots left out; a root is the smallest node reachable.
 
     Alternates large and small stars: every node hands its larger neighbours, then its smaller ones, to the smallest. Each
     star is an aggregate and a join of written tables, so a hub's rows can be split between tasks. The loop ends when the
-    edges stay as they are; the rounds grow with the logarithm of the longest chain.
+    edges are stars; the rounds grow with the logarithm of the longest chain.
     """
     edges = snapshot(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    while state[0]:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = snapshot(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "edges-large")
         edges = snapshot(both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         lowest = snapshot(edges.groupBy("u").agg(F.min("v").alias("m")), "edges-small")
         moved = edges.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = snapshot(moved.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        before, state = state, edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == before:
-            break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from satbill.llm.batches import small_batches
 from satbill.sources.snapshot import snapshot
 
 WINDOW, MINI = 50, 8
@@ -177,6 +178,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Windows are judged on the input. A null text has no words, a text under 50 words no window. Rows without a doc_id
     neither lose words nor take them; rows that share a doc_id don't take each other's. Columns but doc_id and text play no part.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     # the hash tells apart different texts under one doc_id
     source = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from satbill.llm.batches import small_batches
 from satbill.sources.snapshot import snapshot_root
 
 SHARD_TOKENS = 1 << 20  # a shard is closed beyond so many ids; a longer document is a shard of its own
@@ -149,6 +150,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int | None = 2) -> No
         if keys:
             yield shard()
 
+    small_batches(docs.sparkSession)
     tie = F.xxhash64("text")
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tie.alias("tie"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from satbill.llm.batches import small_batches
+
 BITS = 20
 MAX_ROWS = 16_384  # labelled rows the model is fitted on, those of the lowest hashed doc_id
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 5.0, 0.0, 3
@@ -97,7 +99,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.n
 
 def _fit(batches):
     rows = [
-        (key, np.asarray(own, np.int64), y)
+        (key, np.array(own, np.int32), y)
         for batch in batches
         for key, y, own in zip(batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), (x.values.to_numpy() for x in batch.column("features")), strict=True)
     ]
@@ -116,6 +118,7 @@ def fitted(docs: DataFrame, labels: DataFrame, learn) -> tuple[float, np.ndarray
     A document labelled several times counts as toxic if one label says so; null labels and null ids teach nothing. None
     if no row teaches. The model has 2**BITS weights (4 MB) at most.
     """
+    small_batches(docs.sparkSession)
     told = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learn(F.col("doc_id")))
     told = told.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     told = told.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(MAX_ROWS)
@@ -137,6 +140,7 @@ def scored(docs: DataFrame, model: tuple[float, np.ndarray] | None, keep: tuple[
     A text without words, or null, gets the model's bias alone; without a model every score is 0. Repeated rows and null
     ids are scored like others, and further columns are left out.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
