@@ -140,7 +140,7 @@ def _fit(idf: np.ndarray, batches):
     back = data[::5] if len(data) >= 50 else []
     train = [r for i, r in enumerate(data) if i % 5] if back else data
     w, b = ftrl(train, len(langs)) if langs else (np.zeros((1 << BITS, 0)), np.zeros(0))
-    logits = np.array([v @ w[g] + b for g, v, _ in back]).reshape(-1, len(langs))
+    logits = np.array([v @ w[g] + b for g, v, _ in back]).reshape(len(back), len(langs))
     t = temperature(logits, np.array([y for _, _, y in back], np.int64))
     used = np.flatnonzero(np.abs(w).sum(axis=1)) if langs else np.zeros(0, np.int64)
     table = w[used] * idf[used, None] * SCALE / t
