@@ -98,4 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.ORACLE_SQL,
+    "op3_topk": topk.ORACLE_SQL,
+    "op5_substring": substring.ORACLE_SQL,
+}

@@ -218,3 +218,16 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     cut = texts.join(hits, key, "left").where(F.col("hits").isNotNull() | F.exists("spans", lambda s: ~s["open"]))
     cut = cut.mapInArrow(_cut, T.StructType([*base.fields]).add("n_removed", "long").add("kept", "binary"))
     return graph.select(*key, "n_words", "words_sha"), cut
+
+
+ORACLE_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(l[i:i + 49], ' ')) AS h
+            FROM (SELECT doc_id, l, unnest(range(1, len(l) - 48)) AS i FROM words)),
+firsts AS (SELECT h, min(doc_id) AS low FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN firsts USING (h) WHERE doc_id > low),
+single AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS p, unnest(l) AS word FROM words),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM single s ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(len(l) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""

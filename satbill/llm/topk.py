@@ -122,3 +122,15 @@ def search(vectors: DataFrame, is_query, k: int) -> DataFrame:
     queries = snapshot(packed(wanted.repartition(max(1, -(-wanted.count() // BLOCK))), BLOCK), "topk-queries")
     pairs = meet(queries, shards, queries.count(), shards.count(), ["ids", "cells"])
     return best(pairs.mapInArrow(scored, "query_id long, vec_id long, score long"), k, lowest=False)
+
+
+ORACLE_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, max(CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT)) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
