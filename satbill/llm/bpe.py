@@ -242,6 +242,9 @@ class _Pieces:
         lengths = np.array([len(t) for _, t in texts], np.int64)
         hashes, order = np.unique(self.hashes(codes, np.cumsum(lengths) - lengths, lengths), return_index=True)
         self.first = hashes, np.arange(len(order)), np.ones(len(order), np.int64), np.array([i for i, _ in texts], np.int32)[order]
+        self.reset()
+
+    def reset(self) -> None:
         self.keys, self.begin, self.count, self.ids = self.first
 
     @staticmethod
@@ -267,14 +270,10 @@ class _Pieces:
         new = self.keys[at] != keys
         if new.any():
             if len(self.keys) + int(new.sum()) > REMEMBERED:
-                self.keys, self.begin, self.count, self.ids = self.first
+                self.reset()
                 at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
                 new = self.keys[at] != keys
-            size = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF).astype(np.int64)
-            ends = np.cumsum(size)
-            some = first[new]
-            begin = ends[starts[some]] - size[starts[some]]
-            ids, count = self.words.encode(text, begin, ends[starts[some] + lengths[some] - 1] - begin)
+            ids, count = self.encode_new(codes, text, starts[first[new]], lengths[first[new]])
             order = np.argsort(all_keys := np.concatenate([self.keys, keys[new]]), kind="stable")
             self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(count) - count])[order]
             self.count = np.concatenate([self.count, count])[order]
@@ -284,6 +283,13 @@ class _Pieces:
         return self.ids[_ragged(self.begin[at], self.count[at])], self.count[at]
 
 
+    def encode_new(self, codes, text, starts, lengths):
+        size = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF).astype(np.int64)
+        ends = np.cumsum(size)
+        begin = ends[starts] - size[starts]
+        return self.words.encode(text, begin, ends[starts + lengths - 1] - begin)
+
+
 def encode_texts(texts: list[str | None], pieces: _Pieces, pattern: str = PATTERN) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the texts, one after another, and how many each has."""
     full = [t for t in texts if t]

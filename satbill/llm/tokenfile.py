@@ -9,10 +9,10 @@ that a document's boundary takes about two bits and the low bits. ``select`` fin
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from satbill.llm.batches import small_batches
+from satbill.llm.bpe import _kinds, _Pieces, _ragged
 from satbill.sources.snapshot import snapshot_root
 
 SHARD_TOKENS = 1 << 20  # a shard is closed beyond so many ids; a longer document is a shard of its own
 SAMPLE = 256
 FEW = 100_000  # shards whose starts (16 bytes each) are sent to every task; those of more are joined by a shuffle
-CACHED = 300_000
 
 
 class EliasFano:
@@ -88,25 +88,91 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class _Encoder:
-    """Ids of whole texts. The tokenizer's splitting never joins characters over a space or line feed, so the parts between
-    them are encoded once while they are remembered."""
+#: What the fine splitting relies on, fixed values: the normalizer and the splitting of the vocabulary file.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+PLAIN = 0x250  # characters below lower to one character each, but for one, and never compose
+BLANK, LETTER, DIGIT, MARK, APOSTROPHE, GLUE = range(6)
+
+
+@lru_cache(maxsize=1)
+def _plain() -> tuple[np.ndarray, np.ndarray]:
+    """Kind and lower case of the characters below ``PLAIN``."""
+    kinds, lower = np.full(PLAIN, GLUE, np.uint8), np.arange(PLAIN, dtype=np.uint32)
+    for c in range(PLAIN):
+        kind = _kinds()[c]
+        kinds[c] = {0: GLUE, 1: LETTER, 2: DIGIT}.get(int(kind), MARK if c < 128 else GLUE)
+        lower[c] = ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c
+    kinds[[32, 10]], kinds[39] = BLANK, APOSTROPHE
+    return kinds, lower
+
+
+class _Encoder(_Pieces):
+    """Ids of whole texts by the library, which sees each piece once while it is remembered.
+
+    The vocabulary's splitting never joins characters over a blank or line feed, nor, in texts of plain characters, a
+    letter to a mark behind it, a digit to anything, or a mark other than an apostrophe to the letter or digit behind it. Texts that
+    hold an added token, and files that split otherwise, go to the library whole.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer, self.cache = _tokenizer(path), {}
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        parts = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = set(chain.from_iterable(parts)).difference(self.cache)
-        if len(self.cache) + len(new) > CACHED:
-            self.cache.clear()
-            new = set(chain.from_iterable(parts))
-        new = list(new)
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            coded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.cache.update(zip(some, (e.ids for e in coded), strict=True))
-        return [list(chain.from_iterable(map(self.cache.__getitem__, p))) for p in parts]
+        self.tokenizer = _tokenizer(path)
+        said = json.loads(self.tokenizer.to_str())
+        splits = [s.get("pattern", {}).get("Regex") for s in (said["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.known = said["normalizer"] == NORMALIZER and splits[:1] == [SPLIT]
+        self.added = [t["content"] for t in said["added_tokens"]]
+        nothing = np.zeros(0, np.int64)
+        self.first = np.array([0], np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64), nothing.astype(np.int32)
+        self.reset()
+
+    def library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        counts, ids = [], []
+        for at in range(0, len(texts), 2_000):
+            for e in self.tokenizer.encode_batch_fast(texts[at : at + 2_000], add_special_tokens=False):
+                counts.append(len(e.ids))
+                ids += e.ids
+        return np.array(ids, np.int32), np.array(counts, np.int64)
+
+    def encode_new(self, codes, text, starts, lengths):
+        whole = codes.tobytes().decode("utf-32-le")
+        return self.library([whole[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)])
+
+    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, one after another, and how many each has."""
+        own = np.array([self.known and not any(a in (t or "") for a in self.added) for t in texts], bool)
+        split = [t for t, o in zip(texts, own, strict=True) if o]
+        ids, n = self.split(split)
+        whole_ids, whole_n = self.library([t or "" for t, o in zip(texts, own, strict=True) if not o])
+        counts = np.zeros(len(texts), np.int64)
+        counts[own], counts[~own] = n, whole_n
+        out, begin = np.empty(int(counts.sum()), np.int32), np.cumsum(counts) - counts
+        out[_ragged(begin[own], n)], out[_ragged(begin[~own], whole_n)] = ids, whole_ids
+        return out, counts
+
+    def split(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(t or "") for t in texts], np.int64)
+        codes = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le"), np.uint32)
+        if not len(codes):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        odd = (codes >= PLAIN) | (codes == 0x130)
+        plain = np.bincount(owner[odd], minlength=len(texts))[owner] == 0
+        kinds, lower = _plain()
+        within = np.minimum(codes, PLAIN - 1)
+        kind = np.where(odd, GLUE, kinds[within])
+        codes = np.where(plain, lower[within], codes).astype(np.uint32)
+        a, b = kind[:-1], kind[1:]
+        cut = ((a == LETTER) & (b >= DIGIT) & (b <= APOSTROPHE)) | ((a == DIGIT) & (b >= LETTER) & (b <= APOSTROPHE))
+        cut |= ((a == MARK) & ((b == LETTER) | (b == DIGIT))) | ((a == APOSTROPHE) & (b == DIGIT))
+        cut = (cut & plain[1:]) | (a == BLANK) | (b == BLANK) | (owner[1:] != owner[:-1])
+        starts = np.concatenate([[0], np.flatnonzero(cut) + 1])
+        lengths = np.diff(np.append(starts, len(codes)))
+        filled = kind[starts] != BLANK
+        starts, lengths = starts[filled], lengths[filled]
+        kept = _ragged(starts, lengths)  # the blanks go
+        ids, n = self.encode(codes[kept], None, np.cumsum(lengths) - lengths, lengths)
+        return ids, np.bincount(owner[starts], n, len(texts)).astype(np.int64)
 
 
 SHARD = "part int, seq int, n_tokens long, doc_ids array<long>, ends binary, width int, ids binary"
@@ -136,17 +202,19 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int | None = 2) -> No
             )
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                for key, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
-                    if end_id is not None:
-                        ids.append(end_id)
-                    if keys and ends[-1] + len(ids) > SHARD_TOKENS:
+            for at in range(0, whole.num_rows, 250):
+                batch = whole.slice(at, 250)
+                ids, counts = encoder.texts(batch.column("text").to_pylist())
+                flat, cuts = ids.astype(f"<u{width}").tobytes(), np.concatenate([[0], np.cumsum(counts)]) * width
+                closing = b"" if end_id is None else np.array([end_id], f"<u{width}").tobytes()
+                for i, key in enumerate(batch.column("doc_id").to_pylist()):
+                    blob = flat[cuts[i] : cuts[i + 1]] + closing
+                    if keys and ends[-1] + len(blob) // width > SHARD_TOKENS:
                         yield shard()
                         keys, blobs, ends, seq = [], [], [0], seq + 1
                     keys.append(key)
-                    blobs.append(np.array(ids, f"<u{width}").tobytes())
-                    ends.append(ends[-1] + len(ids))
+                    blobs.append(blob)
+                    ends.append(ends[-1] + len(blob) // width)
         if keys:
             yield shard()
 

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 from satbill.llm import tokenfile
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+ENCODER = tokenfile._Encoder(PATH), Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=200, deadline=None)
@@ -29,8 +30,18 @@ def test_elias_fano_is_small():
     assert len(tokenfile.EliasFano.of(values).to_bytes()) * 8 / len(values) < 2 + np.log2(300) + 0.1
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from("aBcst 'rvelmD\n\té1!<|>İ́&"), st.characters(exclude_categories=["Cs"])), max_size=40), min_size=1, max_size=6))
+def test_pieces_give_what_whole_texts_give(texts):
+    encoder, library = ENCODER
+    assert encoder.known
+    ids, counts = encoder.texts(texts)
+    got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def plain(rows):
-    library, start, out = Tokenizer.from_file(PATH), 0, []
+    library, start, out = ENCODER[1], 0, []
     for doc, text in rows:
         ids = np.array(library.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
         out.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
