@@ -47,7 +47,7 @@ def _kth(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def block_best(q_ids, q, v_ids, v, k: int):
-    """(query id, vector id, score) of each query's k best in the shard; the shard's ids differ from each other."""
+    """(query id, vector id, score) of each query row's k best in the shard; the shard's ids differ from each other."""
     levels = [n for n in LEVELS if n <= v.shape[1]]  # none for vectors without components: all survive, at 0
     own = [(statistics(q, n), statistics(v, n)) for n in levels]
     scale = np.linalg.norm(q, axis=1).max(initial=0.0) * np.linalg.norm(v, axis=1).max(initial=0.0)
@@ -73,18 +73,19 @@ def block_best(q_ids, q, v_ids, v, k: int):
             if not len(columns):
                 break
         row, column = np.nonzero(alive)
-        for first in range(0, len(row), 1 << 16):  # in portions, each cut to its k best per query
+        for first in range(0, len(row), 1 << 16):  # in portions, each cut to its k best per query row
             r, c = row[first : first + (1 << 16)], columns[column[first : first + (1 << 16)]]
-            out.append(_first_k(names[r], v_ids[c], exact(qs[r], v[c]), k))
+            r, found, products = _first_k(r, v_ids[c], exact(qs[r], v[c]), k)
+            out.append((names[r], found, products))
     return out
 
 
-def _first_k(names, ids, scores, k):
-    order = np.lexsort((ids, ~scores, names))  # ~x falls as x rises and never overflows
-    names, ids, scores = names[order], ids[order], scores[order]
-    new = np.concatenate([[True], names[1:] != names[:-1]]) if len(names) else np.zeros(0, bool)
-    place = np.arange(len(names)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(names) else np.zeros(0, int)
-    return names[place < k], ids[place < k], scores[place < k]
+def _first_k(rows, ids, scores, k):
+    order = np.lexsort((ids, ~scores, rows))  # ~x falls as x rises and never overflows
+    rows, ids, scores = rows[order], ids[order], scores[order]
+    new = np.concatenate([[True], rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, bool)
+    place = np.arange(len(rows)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(rows) else np.zeros(0, int)
+    return rows[place < k], ids[place < k], scores[place < k]
 
 
 def _without_repeats(ids: np.ndarray, cells: np.ndarray):

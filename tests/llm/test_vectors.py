@@ -116,3 +116,10 @@ def test_hnsw_of_many_equal_vectors(spark):
     for q in (0, 100, 200, 300):
         own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
         assert own == [(i + 1, v, 0.0) for i, v in enumerate([v for v in range(12) if v != q][:10])]
+
+
+def test_topk_of_repeated_query_rows_in_one_shard(spark):
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(some(60, 8, 5))] + [(1000, [0.5] * 8, 0)] * 150
+    rows += [(1050, v.tolist(), 0) for v in some(6, 8, 6)]
+    got = topk.search(spark.createDataFrame(rows, SCHEMA).coalesce(1), lambda key: key % 50 == 0, 5).collect()
+    assert {tuple(r) for r in got} == plain(rows, 50, 5, whole, -1, False) and len(got) == len(set(got))
