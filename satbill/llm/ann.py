@@ -151,6 +151,7 @@ def index(vectors: DataFrame) -> DataFrame:
             node = np.empty(len(ids), np.int64)
             node[order] = np.cumsum(new) - 1
             x = cells[order][new]
+            node, ids = np.unique(np.stack([node, ids]), axis=1)  # a vec_id once per node
             layers, order = build(x)
             place = np.empty(len(x), np.int64)
             place[order] = np.arange(len(x))
@@ -163,6 +164,35 @@ def index(vectors: DataFrame) -> DataFrame:
     return snapshot(sound(vectors, nonzero=True).mapInArrow(run, INDEX), "hnsw-index")
 
 
+def _nearest_ids(x, queries, names, found, ids, first, k: int):
+    """(query row, vec_id, distance) of each query row's k nearest vec_ids but its own on the nodes ``found``.
+
+    ``ids`` are those of the nodes one after another, each node's differing and ascending from place ``first``.
+    """
+    owner, place = np.nonzero(found >= 0)
+    nodes = found[owner, place]
+    score = np.sqrt(((x[nodes] - queries[owner]) ** 2).sum(axis=1))
+    many = np.minimum(first[nodes + 1] - first[nodes], k + 1)  # one of them may be the query's own
+    rows = np.repeat(np.arange(len(nodes)), many)
+    nth = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
+    vec, owner, score = ids[first[nodes[rows]] + nth], owner[rows], score[rows]
+    other = vec != names[owner]
+    vec, owner, score = vec[other], owner[other], score[other]
+    sort = np.lexsort((score, vec, owner))
+    vec, owner, score = vec[sort], owner[sort], score[sort]
+    new = np.concatenate([[True], (vec[1:] != vec[:-1]) | (owner[1:] != owner[:-1])])[: len(vec)]  # a vec_id's least distance
+    vec, owner, score = vec[new], owner[new], score[new]
+    sort = np.lexsort((vec, score, owner))
+    vec, owner, score = vec[sort], owner[sort], score[sort]
+    _, begin, count = np.unique(owner, return_index=True, return_counts=True)
+    kept = np.arange(len(owner)) - np.repeat(begin, count) < k
+    return owner[kept], vec[kept], score[kept]
+
+
+def _found(names, ids, scores):
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
+
+
 def search(shards: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by Euclidean distance, in double precision on the given vectors.
 
@@ -182,23 +212,14 @@ def search(shards: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> D
                 for at in range(0, len(q), 256):
                     some, names = q[at : at + 256], q_ids[at : at + 256]
                     found = walk(x, layers, some, max(beam, 2 * k))
-                    owner, place = np.nonzero(found >= 0)
-                    nodes = found[owner, place]
-                    score = np.sqrt(((x[nodes] - some[owner]) ** 2).sum(axis=1))
-                    many = np.minimum(first[nodes + 1] - first[nodes], k + 1)  # one of them may be the query's own
-                    rows = np.repeat(np.arange(len(nodes)), many)
-                    nth = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
-                    vec, owner, score = ids[order[first[nodes[rows]] + nth]], owner[rows], score[rows]
-                    other = vec != names[owner]
-                    vec, owner, score = vec[other], owner[other], score[other]
-                    sort = np.lexsort((vec, score, owner))
-                    vec, owner, score = vec[sort], owner[sort], score[sort]
-                    _, begin, count = np.unique(owner, return_index=True, return_counts=True)
-                    nth = np.arange(len(owner)) - np.repeat(begin, count)
-                    kept = nth < 2 * k  # a vec_id may come twice
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(names[owner[kept]]), pa.array(vec[kept]), pa.array(score[kept])], ["query_id", "vec_id", "score"]
-                    )
+                    owner, vec, score = _nearest_ids(x, some, names, found, ids[order], first, k)
+                    yield _found(names[owner], vec, score)
+                    # A beam may hold the nodes of few vec_ids: such queries look at all nodes.
+                    short = np.flatnonzero((np.bincount(owner, minlength=len(some)) < k) & (len(x) > (found >= 0).sum(axis=1)))
+                    for few in np.split(short, range(16, len(short), 16)):
+                        every = np.broadcast_to(np.arange(len(x)), (len(few), len(x)))
+                        owner, vec, score = _nearest_ids(x, some[few], names[few], every, ids[order], first, k)
+                        yield _found(names[few][owner], vec, score)
 
     wanted = sound(queries, nonzero=True)
     wanted = snapshot(packed(wanted.repartition(max(1, -(-wanted.count() // BLOCK))), BLOCK), "hnsw-queries")

@@ -123,3 +123,22 @@ def test_topk_of_repeated_query_rows_in_one_shard(spark):
     rows += [(1050, v.tolist(), 0) for v in some(6, 8, 6)]
     got = topk.search(spark.createDataFrame(rows, SCHEMA).coalesce(1), lambda key: key % 50 == 0, 5).collect()
     assert {tuple(r) for r in got} == plain(rows, 50, 5, whole, -1, False) and len(got) == len(set(got))
+
+
+def test_hnsw_of_repeated_vec_ids(spark):
+    x = some(300, 8, 7)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] * 3  # a table appended thrice
+    rows += [(1000, [0.5] * 8, 0)] * 30 + [(1001, [0.5] * 8, 0), (1002, [0.5] * 8, 0)]
+    rows += [(2000, [5.0 + i / 1000] * 8, 0) for i in range(400)] + [(2001 + i, [9.0 + i] * 8, 0) for i in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    queries = spark.createDataFrame([*rows[:300:100], rows[900], rows[932]], SCHEMA)
+    got = {(r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in ann.search(ann.index(df), queries, 10).collect()}
+    good, want = list(dict(((i, tuple(v)), np.array(v, np.float32).astype(float)) for i, v, _ in rows).items()), set()
+    for q_id, v, _ in [*rows[:300:100], rows[900], rows[932]]:
+        q, near = np.array(v, np.float32).astype(float), {}
+        for (i, _), c in good:
+            if i != q_id:
+                near[i] = min(near.get(i, np.inf), distance(q, c))
+        order = sorted(near.items(), key=lambda item: (item[1], item[0]))[:10]
+        want |= {(q_id, rank, i, round(d, 6)) for rank, (i, d) in enumerate(order, 1)}
+    assert got == want
