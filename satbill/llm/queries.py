@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from satbill.llm import ann, audit, bpe, chat, langid, mixing, simhash, substring, tokenfile, topk, toxicity
+from satbill.llm import ann, audit, bpe, chat, collocations, langid, mixing, simhash, substring, tokenfile, topk, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -89,6 +89,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audited(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_mixing": op2_mixing,
@@ -101,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_toxicity": op10_toxicity,
     "op11_filter_audit": op11_filter_audit,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -108,4 +113,5 @@ ORACLES: dict[str, str] = {
     "op3_topk": topk.ORACLE_SQL,
     "op5_substring": substring.ORACLE_SQL,
     "op11_filter_audit": audit.ORACLE_SQL,
+    "op13_collocations": collocations.ORACLE_SQL,
 }
