@@ -26,15 +26,21 @@ def snapshot_root(spark: SparkSession) -> str:
     return folder
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder to be written; ``remove_snapshots`` deletes it."""
+    path = f"{snapshot_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def snapshot(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` once as Parquet and read it back.
 
     Later steps prune its columns and see its true size, which a recomputed subplan cannot offer.
     """
     spark = df.sparkSession
-    path = f"{snapshot_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
