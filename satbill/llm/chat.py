@@ -7,13 +7,15 @@ before it to the state after it, and a conversation is the product of its turns'
 
 As that product can be taken in parts, no conversation has to fit a task. Turns are sorted by range, cut into pieces of
 ``PIECE`` turns at most, and each piece is folded to one matrix. A path over the pieces' matrices names the states between
-them; then every piece finds its own turns' path between its two states.
+them; then every piece finds its own turns' path between its two states. Of ways of one cost the one with fewer relabels
+wins, then the one whose states have the least sum of hashes of the turns: so one way is the best, wherever pieces are cut.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +27,10 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = {"system": SYSTEM, "user": USER, "assistant": ASSISTANT}
 NAMES = {v: k for k, v in ROLES.items()}
 MERGE, INSERT, RELABEL = 1, 2, 3  # costs
-FAR = 1 << 40
 PIECE = 1_024
+#: A number holds cost, relabels and the sum of hashes; those of a piece fit 64 bits, those of conversations are wide ones.
+HASH, RELABELS, WIDE = 36, 11, 60
+FAR, FAR_WIDE = 1 << 60, 1 << 240
 #: From state to state: the empty turns that have to stand between, or none at all. Missing pairs are not legal.
 BETWEEN = {
     (START, SYSTEM): (), (START, USER): (), (START, ASSISTANT): (USER,), (SYSTEM, USER): (), (SYSTEM, ASSISTANT): (USER,),
@@ -52,27 +56,51 @@ def step(role: str | None) -> list[list[tuple[int, str]]]:
 
 
 STEPS = {role: step(role) for role in (*ROLES, None)}
-COSTS = {role: np.array([[c for c, _ in line] for line in table]) for role, table in STEPS.items()}
 
 
-def fold(roles: list[str | None]) -> np.ndarray:
-    """The matrix of a run of turns: (min, +) product of their matrices."""
+def number(cost: int, relabels: int, wide: bool) -> int:
+    if cost >= FAR:
+        return FAR_WIDE if wide else FAR
+    return ((cost << WIDE) + relabels) << WIDE if wide else ((cost << RELABELS) + relabels) << HASH
+
+
+def widened(x: int) -> int:
+    return FAR_WIDE if x >= FAR else number(x >> HASH + RELABELS, x >> HASH & (1 << RELABELS) - 1, True) + (x & (1 << HASH) - 1)
+
+
+def _table(role: str | None, wide: bool) -> list[list[int]]:
+    return [[number(c, int(b != ROLES.get(role)), wide) for b, (c, _) in enumerate(line)] for line in STEPS[role]]
+
+
+COSTS = {role: np.array(_table(role, False)) for role in STEPS}
+WIDE_COSTS = {role: _table(role, True) for role in STEPS}
+
+
+def weights(turn: dict) -> list[int]:
+    """A hash of the turn for each state after it; ``nth`` tells equal turns apart."""
+    key = f"{turn['turn']}|{turn['role']}|{turn['nth']}|{turn['text']}".encode()
+    return [int(x) >> 6 for x in np.frombuffer(xxhash.xxh3_128_digest(key), "<u4")]
+
+
+def fold(turns: list[dict]) -> np.ndarray:
+    """The matrix of a run of turns (``PIECE`` at most): (min, +) product of their matrices."""
     whole = np.where(np.eye(4, dtype=bool), 0, FAR)
-    for role in roles:
-        whole = np.minimum((whole[:, :, None] + COSTS[role if role in ROLES else None][None, :, :]).min(axis=1), FAR)
+    for turn in turns:
+        own = COSTS[turn["role"] if turn["role"] in ROLES else None] + np.array(weights(turn))
+        whole = np.minimum((whole[:, :, None] + own[None, :, :]).min(axis=1), FAR)
     return whole
 
 
-def path(matrices: list[np.ndarray], entry: int, end_costs: list[int]) -> list[int]:
-    """The states after each matrix on the cheapest way from ``entry``; of equal ways the one through smaller states, judged
-    from the end."""
-    ways = [[0 if s == entry else FAR for s in range(4)]]
-    for m in matrices:
-        ways.append([min(ways[-1][a] + int(m[a][b]) for a in range(4)) for b in range(4)])
+def path(matrices: list[list[list[int]]], entry: int, end_costs: list[int], hashes: list[list[int]] | None = None) -> list[int]:
+    """The states after each matrix on the cheapest way from ``entry``; ``hashes`` are added by the state after the matrix."""
+    ways = [[0 if s == entry else FAR_WIDE for s in range(4)]]
+    for i, m in enumerate(matrices):
+        more = hashes[i] if hashes else (0, 0, 0, 0)
+        ways.append([min(ways[-1][a] + m[a][b] for a in range(4)) + more[b] for b in range(4)])
     state = min(range(4), key=lambda s: ways[-1][s] + end_costs[s])
     states = [state]
     for i in range(len(matrices) - 1, 0, -1):
-        state = min(range(4), key=lambda s: ways[i][s] + int(matrices[i][s][state]))
+        state = min(range(4), key=lambda s: ways[i][s] + matrices[i][s][state])
         states.append(state)
     return states[::-1] if matrices else []
 
@@ -80,12 +108,12 @@ def path(matrices: list[np.ndarray], entry: int, end_costs: list[int]) -> list[i
 def _pieces(batches):
     """Runs of turns of one conversation, in the sorted order of the task."""
     part = TaskContext.get().partitionId()
-    conv, chunk, held = object(), -1, []
+    conv, chunk, held, last, nth = object(), -1, [], None, 0
 
     def row():
-        cost = fold([t["role"] for t in held]).ravel().tolist()
+        cost = fold(held).ravel().tolist()
         values = [conv, part, chunk, held, cost]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.struct([("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.struct([("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("nth", pa.int64())])), pa.list_(pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["conv_id", "part", "chunk", "turns", "cost"])
 
     rows: list[pa.RecordBatch] = []
@@ -95,7 +123,8 @@ def _pieces(batches):
                 rows.append(row())
                 held = []
             chunk, conv = chunk + 1 if not held else chunk, key
-            held.append(dict(zip(("turn", "role", "text"), turn, strict=True)))
+            nth, last = nth + 1 if last == (key, *turn) else 0, (key, *turn)
+            held.append(dict(zip(("turn", "role", "text", "nth"), (*turn, nth), strict=True)))
         if rows:
             yield pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
             rows = []
@@ -109,8 +138,8 @@ def _states(batches):
     out: list[tuple] = []
 
     def close():
-        ends = [INSERT * len(LAST[s]) for s in range(4)]
-        states = path([np.array(c).reshape(4, 4) for _, _, c, _ in held], START, ends)
+        ends = [number(INSERT * len(LAST[s]), 0, True) for s in range(4)]
+        states = path([[[widened(x) for x in c[a : a + 4]] for a in (0, 4, 8, 12)] for _, _, c, _ in held], START, ends)
         place = 0
         for i, (part, chunk, _, n) in enumerate(held):
             out.append((conv, part, chunk, states[i - 1] if i else START, states[i], place, i == len(held) - 1))
@@ -149,8 +178,9 @@ def _render(batches):
     for batch in batches:
         for piece in batch.to_pylist():
             turns, state = piece["turns"], piece["entry"]
-            ends = [0 if s == piece["exit"] else FAR for s in range(4)]
-            states = path([COSTS[t["role"] if t["role"] in ROLES else None] for t in turns], state, ends)
+            ends = [0 if s == piece["exit"] else FAR_WIDE for s in range(4)]
+            costs = [WIDE_COSTS[t["role"] if t["role"] in ROLES else None] for t in turns]
+            states = path(costs, state, ends, [weights(t) for t in turns])
             rows = []
             for i, (t, after) in enumerate(zip(turns, states, strict=True)):
                 kind = STEPS[t["role"] if t["role"] in ROLES else None][state][after][1]
@@ -175,14 +205,14 @@ def repaired(turns: DataFrame) -> DataFrame:
 
     ``rendered`` pieces in order of ``place`` give the repaired conversation as text; ``inserted`` lists the empty turns
     among them. Turns follow each other by turn (null first), then role and text, so repeated rows stand side by side and
-    merge. Null and unknown roles are relabelled, null texts are empty, rows without a conv_id are one conversation. A conversation
+    merge; the result does not depend on how Spark deals the rows. Null and unknown roles are relabelled, null texts are empty, rows without a conv_id are one conversation. A conversation
     may end with the user's turn. An empty table gives no rows; further columns are left out.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    rows = rows.withColumn("tie", F.xxhash64("role", "text"))
+    rows = rows.withColumn("head", F.substring("text", 1, 32))  # ranges by the head agree with the order of whole texts
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = rows.repartitionByRange(n, "conv_id", "turn", "tie").sortWithinPartitions("conv_id", "turn", "role", "text")
-    turn = T.StructType().add("turn", "long").add("role", "string").add("text", "string")
+    sorted_ = rows.repartitionByRange(n, "conv_id", "turn", "role", "head").sortWithinPartitions("conv_id", "turn", "role", "text")
+    turn = T.StructType().add("turn", "long").add("role", "string").add("text", "string").add("nth", "long")
     schema = T.StructType().add("conv_id", "long").add("part", "integer").add("chunk", "integer")
     schema = schema.add("turns", T.ArrayType(turn)).add("cost", T.ArrayType(T.LongType()))
     pieces = snapshot(sorted_.select("conv_id", "turn", "role", "text").mapInArrow(_pieces, schema), "chat-pieces")

@@ -87,8 +87,10 @@ def test_long_conversation_in_pieces(spark, monkeypatch):
     rows = [(7, t, r, "x") for t, r in enumerate(roles)] + [(8, 0, "user", "y")]
     got = conversations(chat.repaired(spark.createDataFrame(rows, SCHEMA)))
     check(got[7])
-    whole = chat.fold(roles)[chat.START]
-    assert cost(got[7]) == min(whole[s] + 2 * len(chat.LAST[s]) for s in range(4))
+    ways = [0 if s == chat.START else chat.FAR for s in range(4)]
+    for role in roles:
+        ways = [min(ways[a] + chat.STEPS[role][a][b][0] for a in range(4)) for b in range(4)]
+    assert cost(got[7]) == min(ways[s] + 2 * len(chat.LAST[s]) for s in range(4))
 
 
 def test_nulls_repeats_and_empty(spark):
@@ -98,3 +100,16 @@ def test_nulls_repeats_and_empty(spark):
     assert check(got[2]) == [("system", ""), ("user", "")]
     check(got[None])
     assert chat.repaired(spark.createDataFrame(rows, SCHEMA).limit(0)).count() == 0
+
+
+def test_ties_do_not_depend_on_the_shuffle_width(spark):
+    rnd = random.Random(4)
+    rows = [(1, t // 40, rnd.choice(["user", "assistant", "system", None]), rnd.choice(["", "a" * 40, "a" * 40 + "b", "é", None])) for t in range(4000)]
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 3, 8):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen.append(sorted((r.place, r.turn, r.role or "", r.new_role, r.action, r.inserted, r.rendered) for r in chat.repaired(spark.createDataFrame(rows, SCHEMA)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 4000
