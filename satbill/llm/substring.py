@@ -204,7 +204,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         shared.join(owners, ["da", "db"]).where("doc_id > owner OR branching")
         .select(*key, "first", "windows", (F.col("doc_id") == F.col("owner")).alias("open")), "repeats-spans",
     )
-    by_doc = spans.groupBy(*key).agg(F.collect_list(F.struct("first", "windows", "open")).alias("spans"))  # within one document
+    by_doc = spans.groupBy(*key).agg(F.collect_set(F.struct("first", "windows", "open")).alias("spans"))  # of one text, however often it stands
     texts = snapshot(source.join(by_doc, key).dropDuplicates(key), "repeats-texts")
 
     opened = texts.where(F.exists("spans", lambda s: s["open"])).mapInArrow(

@@ -60,6 +60,23 @@ def test_hot_passage_and_repeats(spark, docs, prose):
     assert found(docs(rows).limit(0)) == []
 
 
+def test_spans_do_not_grow_with_equal_rows(spark, docs, prose, monkeypatch):
+    text, sizes = prose(1, 300), []
+    seen = substring.snapshot
+
+    def watched(df, name="part"):
+        df = seen(df, name)
+        if name == "repeats-texts":
+            sizes.append(df.agg(F.max(F.size("spans"))).first()[0])
+        return df
+
+    monkeypatch.setattr(substring, "snapshot", watched)
+    for copies in (1, 600):
+        rows = [(1, text, None, None, None)] + [(2, f"{prose(2, 20)} {text}", None, None, None)] * copies
+        assert found(docs(rows)) == plain([(r[0], r[1]) for r in rows])
+    assert sizes[0] == sizes[1] > 0
+
+
 def test_long_text(spark, docs, prose):
     long = prose(1, 350_000, vocabulary=50_000)
     rows = [(1, "x " + long, None, None, None), (2, long, None, None, None), (3, "short " + long[:3000], None, None, None)]
