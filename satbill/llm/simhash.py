@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from satbill.llm.batches import small_batches
 from satbill.sources.snapshot import snapshot
@@ -47,18 +48,19 @@ def fingerprint(text: bytes | None, words: int = 4) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every whole text; a null text has no words."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and fp, the fingerprint as a signed long, of every whole text; a null text has no words."""
 
     def run(batches):
         for batch in batches:
             own = [fingerprint(t) for t in batch.column("text").to_pylist()]
             fps = pa.array(np.array(own, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f"k{i}") for i in range(len(keep))), fps], [*keep, "fp"])
 
     small_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    kinds = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep]).add("fp", "long")
+    chosen = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").cast("binary").alias("text"))
+    return chosen.mapInArrow(run, kinds)
 
 
 class BKTree:
@@ -197,23 +199,27 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, fp, fingerprint (16 hex digits) and component_id.
+def grouped(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): the columns ``keep`` with doc_id among them, fp, component_id, and root, which names the group.
 
-    component_id is the smallest doc_id that can be reached over links, null where no row reached has an id. Texts without
-    words share fingerprint zero. Repeated rows are rows of one class; an empty table gives no rows; further columns of
-    ``docs`` are left out.
+    A group's root is one of its fingerprints, so groups whose rows have no ids are groups too.
     """
-    rows = snapshot(fingerprints(docs), "simhash-rows")
+    rows = snapshot(fingerprints(docs, keep), "simhash-rows")
     classes = snapshot(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
     linked = components(links(classes.select("fp")))
     linked = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
     linked = snapshot(linked.join(classes, F.col("node") == F.col("fp")).select("fp", "root", "first"), "simhash-linked")
     smallest = snapshot(linked.groupBy("root").agg(F.min("first").alias("component")), "simhash-roots")
-    member = linked.join(smallest, "root").select("fp", "component")
-    named = snapshot(
-        classes.join(member, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id")), "simhash-named"
-    )
-    return rows.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp"
-    )
+    member = linked.join(smallest, "root").select("fp", "component", "root")
+    named = classes.join(member, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return rows.join(snapshot(named, "simhash-named"), "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, fp, fingerprint (16 hex digits) and component_id.
+
+    component_id is the smallest doc_id that can be reached over links, null where no row reached has an id. Texts without
+    words share fingerprint zero. Repeated rows are rows of one class; an empty table gives no rows; further columns of
+    ``docs`` are left out.
+    """
+    return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")

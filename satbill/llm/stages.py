@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from satbill.llm import bpe, mixing, similar, substring, toxicity
+from satbill.llm import bpe, mixing, simhash, substring, toxicity
+from satbill.sources.snapshot import snapshot
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 REJECT = 0.3
@@ -26,18 +27,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group one row: the smallest doc_id, none last, then the text by its hash, then the first by its columns.
+    """Of each SimHash group one row: the smallest doc_id, none last, then the text by its hash, then the first by its columns.
 
-    A group is what pairs with 0.8 of their five-word shingles in common connect. A doc_id on texts of several groups may
-    stay once in each.
+    Groups are the near-duplicate operator's: words in shingles of four, fingerprints linked at four bits. Every row counts by its
+    own text, also where texts share a doc_id. Rows are told apart by a 128-bit hash of doc_id and text.
     """
-    docs = docs.select(*COLUMNS).withColumn("digest", F.xxhash64("text"))
-    member = docs.select("doc_id", "digest").join(similar.groups(docs), "digest")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")).alias("first")
-    kept = member.groupBy("component").agg(first).select(F.col("first.doc_id").alias("kept"), F.col("first.digest").alias("digest"))
-    rows = docs.join(kept, "digest").where(F.col("doc_id").eqNullSafe(F.col("kept")))
-    again = Window.partitionBy("digest").orderBy("lang", "source", "n_chars")  # a digest is kept in one group, for one doc_id
-    return rows.withColumn("nth", F.row_number().over(again)).where("nth = 1").select(*COLUMNS)
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit("")))
+    docs = docs.select(*COLUMNS).withColumn("row_key", F.unhex(F.md5(named)))
+    member = simhash.grouped(docs, ("doc_id", "row_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")).alias("first")
+    kept = snapshot(member.groupBy("root").agg(first).select("first.row_key"), "near-kept")
+    again = Window.partitionBy("row_key").orderBy("lang", "source", "n_chars")
+    rows = docs.join(kept, "row_key").withColumn("nth", F.row_number().over(again))  # equal rows only
+    return rows.where("nth = 1").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
