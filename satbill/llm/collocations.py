@@ -43,8 +43,8 @@ class Sizes:
     ranked: int = 1 << 17  # words, and pairs, that have an id everywhere
     bits: int = 26  # a bitmap has 2**bits bits (8 MB)
     tile: int = 10  # a tile has 2**tile ids a side
-    buffer: int = 2_000_000  # words counted at once, and the document that passes it
-    local: int = 1 << 19  # words beyond the ranked ones that a task remembers at once
+    buffer: int = 600_000  # words counted at once, and the document that passes it
+    local: int = 1 << 17  # words beyond the ranked ones that a task remembers at once
 
 
 SIZES = Sizes()
@@ -72,7 +72,7 @@ def _count_words(sizes: Sizes, batches):
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             held.setdefault(lang, Counter()).update(words_of(text))
-        if sum(map(len, held.values())) > sizes.local:
+        if sum(map(len, held.values())) > 2 * sizes.local:
             yield from flush()
     yield from flush()
 
@@ -215,16 +215,12 @@ def _runs(batches, words: _Words) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-def _join(words: _Words, *columns: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Languages and space-joined phrases of columns of word ids."""
-    table = pa.array(words.words, pa.binary())
-    langs = pa.array(words.langs, pa.string()).take(pa.array(columns[0]))
-    return langs, pc.binary_join_element_wise(*(table.take(pa.array(c)) for c in columns), b" ")
-
-
-def _emit(langs, phrases, counts, size: int = 100_000) -> Iterator[pa.RecordBatch]:
+def _emit(words: _Words, columns: list[np.ndarray], counts: np.ndarray, size: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Rows of languages, space-joined phrases and counts from columns of word ids; texts are made a part at a time."""
+    table, langs = pa.array(words.words, pa.binary()), pa.array(words.langs, pa.string())
     for at in range(0, len(counts), size):
-        yield _rows(langs.slice(at, size), phrases.slice(at, size), counts[at : at + size])
+        ids = [pa.array(c[at : at + size]) for c in columns]
+        yield _rows(langs.take(ids[0]), pc.binary_join_element_wise(*map(table.take, ids), b" "), counts[at : at + size])
 
 
 def _count_pairs(shared, batches):
@@ -233,7 +229,7 @@ def _count_pairs(shared, batches):
         a, b = run[:-1], run[1:]
         kept = (a >= 0) & (b >= 0)
         a, b, n = tile_counts(a[kept], b[kept], words.sizes.tile)
-        yield from _emit(*_join(words, a, b), n)
+        yield from _emit(words, [a, b], n)
 
 
 def _count_triples(shared, batches):
@@ -253,7 +249,7 @@ def _count_triples(shared, batches):
         ids[hit], ids[~hit] = order[spot[hit]] if len(order) else 0, len(order) + back
         pair, word, n = tile_counts(ids, run[at + 2], words.sizes.tile)
         back_keys = np.concatenate([known_keys, own])[pair]
-        yield from _emit(*_join(words, back_keys >> SIDE, back_keys & ((1 << SIDE) - 1), word), n)
+        yield from _emit(words, [back_keys >> SIDE, back_keys & ((1 << SIDE) - 1), word], n)
 
 
 def _pair_keys(ranked: list[tuple[str, bytes]], pairs: list[tuple[str, bytes]]) -> np.ndarray:
