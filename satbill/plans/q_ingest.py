@@ -21,15 +21,15 @@ def scratch(t: Tables, name: str) -> str:
     return f"{snapshot_root(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def usage_files(t: Tables) -> str:
-    """The bound usage as delimited files with supplier headings."""
-    path = scratch(t, "usage-files")
+def usage_files(t: Tables, path: str | None = None) -> str:
+    """The bound usage as delimited files with supplier headings, in a new folder or beside what ``path`` holds."""
+    path = path or scratch(t, "usage-files")
     cols = {
         "Contract ID": "contract_id", "IMEI": "imei", "Service": "service", "Usage Type": "usage_type", "Usage": "usage_bytes",
         "Usage Unit": "usage_unit", "Total Amount": "total_amount", "Bill Month": "bill_month", "Plan Name": "plan_name",
         "Actual Usage": "actual_usage", "Call/Session Count": "call_session_count",
     }
-    t.usage.select(*[F.col(c).cast("string").alias(h) for h, c in cols.items()]).write.option("header", True).option("sep", ";").csv(path)
+    t.usage.select(*[F.col(c).cast("string").alias(h) for h, c in cols.items()]).write.mode("append").option("header", True).option("sep", ";").csv(path)
     return path
 
 

@@ -31,8 +31,7 @@ register(
 def stream_log(t: Tables) -> DataFrame:
     """The log of the same stream over good files and a file without headings."""
     table, log, checkpoint, folder = (scratch(t, n) for n in ("stream-table", "stream-log", "stream-check", "stream-files"))
-    lines = t.spark.read.text(usage_files(t))
-    lines.write.mode("append").text(folder)
+    usage_files(t, folder)
     t.usage.select(F.concat_ws(";", "contract_id", "imei")).write.mode("append").text(folder)
     ingest.stream_ingest(t.spark, folder, table, log, checkpoint).awaitTermination()
     return read_log(t.spark, log).groupBy("load_status").agg(F.sum("records_loaded").alias("records"), F.max("error_message").alias("error"))
