@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from satbill.functions.sem import c
+from satbill.sources.snapshot import snapshot
+
+# Functions sent to executors travel whole, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLANKS = " \t\n\r\f\x0b"
 
@@ -17,26 +29,55 @@ def strip(col: Column | str) -> Column:
 
 # --- replacement by a mapping table -------------------------------------------------------
 
-INDEX_TEXT = "(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}"  # the shape of a mapping key
+KEY_CHARS = 1 << 20  # characters of keys in one automaton; the keys of a larger mapping are split by hash
+
+
+def _found_keys(df: DataFrame, id_col: str, col: str, keys: DataFrame, prefix: str) -> DataFrame:
+    """(id_col, old_text): the keys that each text contains behind ``prefix``, by one Aho-Corasick automaton of all ``keys``."""
+    words = [r.old_text for r in keys.collect()]  # about KEY_CHARS characters
+    shared = df.sparkSession.sparkContext.broadcast(words)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
 
-def contained_keys(df: DataFrame, id_col: str, col: str, mapping: DataFrame, prefix: str = "", shape: str = INDEX_TEXT) -> DataFrame:
-    """Adds ``matches``: the mapping entries whose key the text contains, in index order.
+        automaton = ahocorasick.Automaton()
+        for number, word in enumerate(shared.value):
+            automaton.add_word(prefix + word, number)
+        automaton.make_automaton()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                hits = [sorted({n for _, n in automaton.iter(text)}) for text in batch.column("text").to_pylist()]
+                rows = np.repeat(np.arange(batch.num_rows), [len(h) for h in hits])
+                found = [shared.value[n] for h in hits for n in h]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), pa.array(found, pa.string())], [id_col, "old_text"])
 
-    Texts give up the keys they hold by the keys' shape, overlapping ones too, and an equi join finds the entries, so the
-    mapping is a table of any size. ``id_col`` is unique; a row's matches are bounded by its own text.
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("old_text", T.StringType())])
+    texts = df.select(F.col(id_col).alias("id"), F.col(col).alias("text")).filter(F.col("text").isNotNull())
+    return texts.mapInArrow(run, schema) if words else df.sparkSession.createDataFrame([], schema)
+
+
+def contained_keys(df: DataFrame, id_col: str, col: str, mapping: DataFrame, prefix: str = "", key_chars: int = KEY_CHARS) -> DataFrame:
+    """Adds ``matches``: the mapping entries whose key the text contains behind ``prefix``, in index order.
+
+    Keys have any form and may overlap or hold one another. The size of all keys is measured first: up to ``key_chars``
+    characters are one automaton that every task gets; more are split by their hash, and the texts pass each part's automaton in turn, whose
+    finds are written. Keys that are null or empty match nothing, null texts have none. ``id_col`` is unique; a row's matches are bounded by its own text.
     """
-    quoted = "".join(f"\\{ch}" if not ch.isalnum() and ch != " " else ch for ch in prefix)
-    keys = F.array_distinct(F.regexp_extract_all(F.col(col), F.lit(f"(?={quoted}({shape}))"), F.lit(1)))
+    keys = mapping.filter(F.length("old_text") > 0).select("old_text").distinct()
+    size = keys.agg(F.sum(F.length("old_text"))).first()[0] or 0
+    parts = max(1, -(-size // key_chars))
+    if parts == 1:
+        held = _found_keys(df, id_col, col, keys, prefix)
+    else:
+        part = F.pmod(F.xxhash64("old_text"), F.lit(parts))
+        held = reduce(DataFrame.unionByName, [snapshot(_found_keys(df, id_col, col, keys.filter(part == i), prefix), "keys-found") for i in range(parts)])
     entry = F.struct("working_index", "spare_index", "old_text", "new_text")
-    found = (
-        df.select(id_col, F.explode(keys).alias("old_text")).join(mapping, "old_text")
-        .groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("matches"))
-    )
+    found = held.join(mapping, "old_text").groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("matches"))
     return df.join(found, id_col)
 
 
-def replace_by_map(df: DataFrame, id_col: str, col: str, mapping: DataFrame, prefix: str = "", shape: str = INDEX_TEXT) -> DataFrame:
+def replace_by_map(df: DataFrame, id_col: str, col: str, mapping: DataFrame, prefix: str = "", key_chars: int = KEY_CHARS) -> DataFrame:
     """Rows that contain any key, with all keys replaced in index order and the list of changes."""
 
     def put(text: Column, m: Column) -> Column:
@@ -44,7 +85,7 @@ def replace_by_map(df: DataFrame, id_col: str, col: str, mapping: DataFrame, pre
 
     change = lambda m: F.concat(m["working_index"].cast("string"), F.lit("->"), m["spare_index"].cast("string"))
     return (
-        contained_keys(df, id_col, col, mapping, prefix, shape)
+        contained_keys(df, id_col, col, mapping, prefix, key_chars)
         .withColumn("new_value", F.aggregate("matches", F.col(col), put))
         .withColumn("changes", F.array_join(F.transform("matches", change), ", "))
         .drop("matches")

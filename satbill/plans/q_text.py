@@ -38,6 +38,36 @@ register(
             FROM services_ext e JOIN index_map m ON contains(e.value, 'mac ' || m.old_text) GROUP BY 1) m USING (services_ext_id)
        WHERE e.dict_id = 14009 AND e.date_end IS NULL""",
 )
+
+
+def passage_keys(t: Tables) -> DataFrame:
+    """A mapping of keys of mixed form: of every benchmark passage its first 24 and 9 characters and 12 in between, which overlap."""
+    text, item = F.col("text"), F.col("item_id")
+    forms = F.array(*[
+        F.struct((item * 3 + i).alias("working_index"), (item + 1000).alias("spare_index"), F.substring(text, at, n).alias("old_text"),
+                 F.concat(F.lit(f"<{i}:"), item.cast("string"), F.lit(">")).alias("new_text"))
+        for i, (at, n) in enumerate([(1, 24), (1, 9), (5, 12)])
+    ])
+    return t.benchmark.select(F.explode(forms).alias("m")).select("m.*").filter(F.length("old_text") > 0)
+
+
+X_PASSAGE_KEYS = """
+    WITH m AS (SELECT item_id * 3 + i AS w, item_id + 1000 AS s, CASE i WHEN 0 THEN text[1:24] WHEN 1 THEN text[1:9] ELSE text[5:16] END AS o,
+                      '<' || i || ':' || item_id || '>' AS n FROM benchmark, range(0, 3) r(i)),
+    held AS (SELECT d.doc_id, d.text, m.* FROM documents d JOIN m ON m.o <> '' AND contains(d.text, m.o))"""
+register(
+    "d09_contains_any_keys", "doc_id:i working_index:i",
+    lambda t: text.contained_keys(t.documents.select("doc_id", "text"), "doc_id", "text", passage_keys(t))
+    .select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.working_index"),
+    f"{X_PASSAGE_KEYS} SELECT doc_id, w AS working_index FROM held",
+)
+register(
+    "k01_replace_any_keys", "doc_id:i new_md5 changes",
+    lambda t: text.replace_by_map(t.documents.select("doc_id", "text"), "doc_id", "text", passage_keys(t)).withColumn("new_md5", F.md5("new_value")),
+    f"""{X_PASSAGE_KEYS}
+       SELECT doc_id, md5(list_reduce(list(o || chr(1) || n ORDER BY w, s, o, n), lambda a, x: replace(a, split_part(x, chr(1), 1), split_part(x, chr(1), 2)), any_value(text))) AS new_md5,
+              string_agg(w || '->' || s, ', ' ORDER BY w, s, o, n) AS changes FROM held GROUP BY doc_id""",
+)
 register(
     "k02_index_changes", "interface working_index:i spare_index:i working_text spare_text",
     lambda t: text.index_changes(t.index_lines.filter(F.col("side") == "a"), t.index_lines.filter(F.col("side") == "b")),
