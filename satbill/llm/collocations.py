@@ -120,9 +120,19 @@ def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def top(phrases: DataFrame, ranked: int) -> list[tuple[str, bytes]]:
-    """The ``ranked`` most frequent (language, phrase)s, most frequent first."""
-    rows = phrases.orderBy(F.desc("n"), "lang", "phrase").limit(ranked).select("lang", "phrase").collect()
-    return [(r.lang, r.phrase.encode()) for r in rows]
+    """At most ``ranked`` (language, phrase)s, those of the highest counts, most frequent first.
+
+    Counts of counts, by sixteenths of a power of two, say where to cut, so no more rows than that leave the tasks.
+    """
+    leveled = phrases.withColumn("level", F.floor(F.log2("n") * 16))
+    cut, n = None, 0
+    for row in sorted(leveled.groupBy("level").count().collect(), reverse=True):
+        n += row["count"]
+        if n > ranked:
+            break
+        cut = row["level"]
+    rows = leveled.where(F.col("level") >= cut).select("n", "lang", "phrase").collect() if cut is not None else []
+    return [(r.lang, r.phrase.encode()) for r in sorted(rows, key=lambda r: (-r.n, r.lang, r.phrase))]
 
 
 class _Words:
