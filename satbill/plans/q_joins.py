@@ -90,6 +90,16 @@ register(
          ON s.start_date < p.start_date + INTERVAL 1 MONTH AND least(coalesce(s.close_date, TIMESTAMP '2021-08-15'), TIMESTAMP '2021-08-15') >= p.start_date
         WHERE s.start_date <= least(coalesce(s.close_date, TIMESTAMP '2021-08-15'), TIMESTAMP '2021-08-15')""",
 )
+register(
+    "d11_days_open_ended", "service_id:i days:i first:D last:D",
+    lambda t: joins.days_in_service(
+        t.services.withColumn("close_date", F.when(F.col("service_id") % 3 != 0, F.col("close_date"))),
+        t.invoices.select(F.to_date("invoice_date").alias("day")).distinct(), "day")
+    .groupBy("service_id").agg(F.count("*").alias("days"), F.min("day").alias("first"), F.max("day").alias("last")),
+    """SELECT s.service_id, count(*) AS days, min(day) AS first, max(day) AS last
+       FROM services s JOIN (SELECT DISTINCT CAST(invoice_date AS DATE) AS day FROM invoices) d
+         ON day >= CAST(s.start_date AS DATE) AND (s.close_date IS NULL OR s.service_id % 3 = 0 OR day <= CAST(s.close_date AS DATE)) GROUP BY 1""",
+)
 register(
     "d12_in_subquery", "zone_id:i description", lambda t: t.zones.join(t.tariff_elements, "zone_id", "left_semi"),
     "SELECT * FROM zones WHERE zone_id IN (SELECT zone_id FROM tariff_elements)",
