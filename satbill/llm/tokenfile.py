@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import json
 import struct
-import uuid
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from satbill.llm.batches import small_batches
 from satbill.llm.bpe import _kinds, _Pieces, _ragged
-from satbill.sources.snapshot import snapshot_root
+from satbill.sources.snapshot import new_folder
 
 SHARD_TOKENS = 1 << 20  # a shard is closed beyond so many ids; a longer document is a shard of its own
 SAMPLE = 256
@@ -34,7 +34,7 @@ class EliasFano:
 
     def __init__(self, n: int, bits: int, low: bytes, high: bytes):
         self.n, self.bits, self.low, self.high = n, bits, low, high
-        self._ones = None
+        self._samples: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -56,27 +56,39 @@ class EliasFano:
         at = struct.calcsize("<QBQ")
         return cls(n, bits, blob[at : at + size], blob[at + size :])
 
+    def _sampled(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For every ``SAMPLE``-th one the byte that holds it, and how many ones stand before that byte. Bytes are read in runs."""
+        places, befores, passed = [], [], 0
+        for at in range(0, len(high), 1 << 16):
+            count = passed + np.cumsum(np.bitwise_count(high[at : at + (1 << 16)]), dtype=np.int64)
+            wanted = np.arange(-(-passed // SAMPLE) * SAMPLE, int(count[-1]), SAMPLE)
+            inside = np.searchsorted(count, wanted, side="right")
+            places.append((at + inside).astype(np.uint32))
+            befores.append(np.where(inside > 0, count[inside - 1], passed).astype(np.uint32))
+            passed = int(count[-1])
+        empty = np.zeros(0, np.uint32)
+        return np.concatenate([empty, *places]), np.concatenate([empty, *befores])
+
     def select(self, i: np.ndarray) -> np.ndarray:
         """The values at the places ``i``."""
         i = np.asarray(i, np.int64)
-        if self._ones is None:
-            high = np.frombuffer(self.high, np.uint8)
-            count = np.cumsum(np.unpackbits(high[:, None], axis=1).sum(axis=1, dtype=np.int64)) if len(high) else np.zeros(0, np.int64)
-            # the byte that holds every SAMPLE-th one, and how many ones the bytes up to it hold
-            self._samples = np.searchsorted(count, np.arange(0, self.n, SAMPLE), side="right")
-            self._high, self._ones = high, count
+        high = np.frombuffer(self.high, np.uint8)
+        if self._samples is None:
+            self._samples = self._sampled(high)
         low = np.zeros(len(i), np.int64)
         bits = np.frombuffer(self.low, np.uint8)
         for b in range(self.bits):
             at = i * self.bits + b
             low |= ((bits[at >> 3] >> (at & 7)) & 1).astype(np.int64) << b
-        byte = self._samples[i // SAMPLE]  # walk on from the sample until the byte holds the one
-        todo = np.flatnonzero(self._ones[byte] <= i)
+        byte, before = (x[i // SAMPLE].astype(np.int64) for x in self._samples)  # walk on from the sample until the byte holds the one
+        own = np.bitwise_count(high[byte]).astype(np.int64) if len(i) else byte
+        todo = np.flatnonzero(before + own <= i)
         while len(todo):
+            before[todo] += own[todo]
             byte[todo] += 1
-            todo = todo[self._ones[byte[todo]] <= i[todo]]
-        before = np.where(byte > 0, self._ones[byte - 1], 0)
-        inside = np.unpackbits(self._high[byte][:, None], axis=1, bitorder="little")
+            own[todo] = np.bitwise_count(high[byte[todo]])
+            todo = todo[before[todo] + own[todo] <= i[todo]]
+        inside = np.unpackbits(high[byte][:, None], axis=1, bitorder="little")
         nth = np.argmax(np.cumsum(inside, axis=1) > (i - before)[:, None], axis=1)
         return ((byte * 8 + nth - i) << self.bits) | low
 
@@ -127,12 +139,13 @@ class _Encoder(_Pieces):
         self.reset()
 
     def library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        counts, ids = [], []
+        parts, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for at in range(0, len(texts), 2_000):
-            for e in self.tokenizer.encode_batch_fast(texts[at : at + 2_000], add_special_tokens=False):
-                counts.append(len(e.ids))
-                ids += e.ids
-        return np.array(ids, np.int32), np.array(counts, np.int64)
+            own = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at : at + 2_000], add_special_tokens=False)]
+            n = np.fromiter(map(len, own), np.int64, len(own))
+            counts.append(n)
+            parts.append(np.fromiter(chain.from_iterable(own), np.int32, int(n.sum())))
+        return np.concatenate(parts), np.concatenate(counts)
 
     def encode_new(self, codes, text, starts, lengths):
         whole = codes.tobytes().decode("utf-32-le")
@@ -175,6 +188,12 @@ class _Encoder(_Pieces):
         return ids, np.bincount(owner[starts], n, len(texts)).astype(np.int64)
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> _Encoder:
+    """One for all tasks of a worker process, which so remembers the pieces of earlier tasks."""
+    return _Encoder(path)
+
+
 SHARD = "part int, seq int, n_tokens long, doc_ids array<long>, ends binary, width int, ids binary"
 
 
@@ -186,7 +205,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int | None = 2) -> No
     where the vocabulary allows it.
     """
     def run(batches):
-        encoder = _Encoder(path)
+        encoder = _encoder(path)
         width = 2 if max(encoder.tokenizer.get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4
         part, seq = TaskContext.get().partitionId(), 0
         keys: list[int | None] = []
@@ -260,8 +279,8 @@ def documents(shards: DataFrame) -> DataFrame:
 
 
 def written(docs: DataFrame, path: str, end_id: int | None = 2) -> DataFrame:
-    """Writes the files to a new folder under ``spark.checkpoint.dir`` and reads the documents back from them."""
+    """Writes the files to a new folder under ``spark.checkpoint.dir``, which ``remove_snapshots`` deletes, and reads the documents back from them."""
     spark = docs.sparkSession
-    folder = f"{snapshot_root(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "token-files")
     write(docs, folder, path, end_id)
     return documents(read(spark, folder))
