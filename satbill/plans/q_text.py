@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satbill.operators import search, text
+from satbill.operators import pairs, search, text
 from satbill.plans.bind import Tables
 from satbill.plans.catalog import register
 
@@ -205,6 +205,31 @@ register(
     f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank, vec_id, similarity, similarity >= 0.85 AS is_duplicate
         FROM ({X_SIM}) QUALIFY rank <= 5""",
 )
+
+
+def near_vectors(t: Tables) -> DataFrame:
+    """Every vector, every vector with its last sixteenth turned round, which is near it or not quite, and a copy of every seventh."""
+    turned = F.expr("concat(slice(embedding, 1, size(embedding) - size(embedding) div 16), "
+                    "transform(slice(embedding, size(embedding) - size(embedding) div 16 + 1, size(embedding) div 16), x -> -x))")
+    own = t.embeddings.select((F.col("vec_id") * 10).alias("vec_id"), "embedding")
+    turns = t.embeddings.select((F.col("vec_id") * 10 + 1).alias("vec_id"), turned.alias("embedding"))
+    return own.unionByName(turns).unionByName(own.filter(F.col("vec_id") % 70 == 0).withColumn("vec_id", F.col("vec_id") + 2))
+
+
+X_NEAR = """
+    WITH turned AS (SELECT vec_id, embedding AS e, len(embedding) - len(embedding) // 16 AS n FROM embeddings),
+         v AS (SELECT vec_id * 10 AS id, CAST(e AS DOUBLE[]) AS e FROM turned
+               UNION ALL SELECT vec_id * 10 + 1, CAST(e[1:n] || list_transform(e[n + 1:], lambda x: -x) AS DOUBLE[]) FROM turned
+               UNION ALL SELECT vec_id * 10 + 2, CAST(e AS DOUBLE[]) FROM turned WHERE vec_id % 7 = 0),
+         c AS (SELECT e, min(id) AS id FROM v WHERE list_max(list_transform(e, lambda x: abs(x))) > 0 GROUP BY e),
+         p AS (SELECT a.id AS id_a, b.id AS id_b, list_cosine_similarity(a.e, b.e) AS similarity FROM c a JOIN c b ON a.id < b.id
+               WHERE list_cosine_similarity(a.e, b.e) >= 0.85)"""
+register("k08_near_pairs", "id_a:i id_b:i similarity:d", lambda t: pairs.near_pairs(near_vectors(t), 0.85), f"{X_NEAR} SELECT * FROM p")
+register(
+    "k08_near_links", "vec_id:i class_id:i links:i", lambda t: pairs.near_links(near_vectors(t), pairs.near_pairs(near_vectors(t), 0.85)),
+    f"""{X_NEAR}, ends AS (SELECT id_a AS id FROM p UNION ALL SELECT id_b FROM p)
+        SELECT v.id AS vec_id, c.id AS class_id, (SELECT count(*) FROM ends WHERE ends.id = c.id) AS links FROM v JOIN c USING (e)""",
+)
 register(
     "k09_title_search", "vec_id:i section_title", lambda t: search.title_search(t.chunks, " label 3 — PART 1", 15),
     "SELECT vec_id, section_title FROM chunks WHERE contains(replace(lower(section_title), '–', '-'), 'label 3 - part 1') ORDER BY vec_id LIMIT 15",
