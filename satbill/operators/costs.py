@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ FEE_KINDS = ["activation", "advance", "credit", "credited", "prorated"]
 
 
 Months = tuple[str, str]  # first and last month, as YYYYMM
+MonthSet = frozenset  # single months, None for rows without one
 
 
 def period_months(period: str) -> Months:
@@ -36,25 +38,53 @@ def _index(month: str) -> int:
     return int(month[:4]) * 12 + int(month[4:]) - 1
 
 
-def usage_of(usage: DataFrame, months: Months | None) -> DataFrame:
+def usage_code(key: str) -> list[int]:
+    """The two stored numbers that ``norm_bill_month`` reads as this key."""
+    return [int(key), int(key[4:]) * 10000 + int(key[:4])]
+
+
+def month_runs(months: MonthSet) -> list[Months]:
+    """The calendar months of a set as ranges without gaps."""
+    runs: list[list[int]] = []
+    for i in sorted(_index(m) for m in months if m is not None and len(m) == 6 and m.isdigit() and 1 <= int(m[4:]) <= 12):
+        if runs and runs[-1][1] == i - 1:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    return [(month_key(first), month_key(last)) for first, last in runs]
+
+
+def usage_of(usage: DataFrame, months: Months | MonthSet | None) -> DataFrame:
     """Usage of the months, compared in both stored encodings, so that the condition reaches the scan."""
     if months is None:
         return usage
+    if isinstance(months, frozenset):
+        codes = F.col("bill_month").isin(sorted({n for m in months if m is not None for n in usage_code(m)}))
+        return usage.filter(codes | F.col("bill_month").isNull() if None in months else codes)
     keys = [month_key(i) for i in range(_index(months[0]), _index(months[1]) + 1)]
     codes = [int(k) for k in keys] + [int(k[4:]) * 10000 + int(k[:4]) for k in keys]
     return usage.filter(F.col("bill_month").isin(codes))
 
 
-def fees_of(fees: DataFrame, months: Months | None, before: int = 0) -> DataFrame:
+def fees_of(fees: DataFrame, months: Months | MonthSet | None, before: int = 0) -> DataFrame:
     """Fees invoiced in the months, and in the ``before`` months ahead of them."""
     if months is None:
         return fees
     day = lambda i: F.lit(f"{i // 12:04d}-{i % 12 + 1:02d}-01").cast("timestamp")
-    return fees.filter((F.col("invoice_date") >= day(_index(months[0]) - before)) & (F.col("invoice_date") < day(_index(months[1]) + 1)))
+    within = lambda run: (F.col("invoice_date") >= day(_index(run[0]) - before)) & (F.col("invoice_date") < day(_index(run[1]) + 1))
+    if isinstance(months, frozenset):
+        undated = F.col("invoice_date").isNull() if None in months else F.lit(False)
+        return fees.filter(reduce(Column.__or__, [within(run) for run in month_runs(months)], undated))
+    return fees.filter(within(months))
 
 
-def rows_of(report: DataFrame, months: Months | None, month_col: str = "bill_month_key") -> DataFrame:
-    return report if months is None else report.filter(F.col(month_col).between(*months))
+def rows_of(report: DataFrame, months: Months | MonthSet | None, month_col: str = "bill_month_key") -> DataFrame:
+    if months is None:
+        return report
+    if isinstance(months, frozenset):
+        named = F.col(month_col).isin(sorted(m for m in months if m is not None))
+        return report.filter(named | F.col(month_col).isNull() if None in months else named)
+    return report.filter(F.col(month_col).between(*months))
 
 
 def usage_overage(usage: DataFrame, plans: DataFrame) -> DataFrame:
@@ -439,12 +469,12 @@ def _advance_only_rows(usage: DataFrame, fees: DataFrame, as_of: dt.date | str,
 
 def billing_report(
     usage: DataFrame, fees: DataFrame, plans: DataFrame, info: DataFrame, agreements: DataFrame,
-    as_of: dt.date | str, plan_fallback: bool = True, months: Months | None = None, keep: Keep = _as_is,
+    as_of: dt.date | str, plan_fallback: bool = True, months: Months | MonthSet | None = None, keep: Keep = _as_is,
 ) -> DataFrame:
     """The monthly cost report: consolidated rows, then advances that have no row of their own.
 
     ``keep`` may write the inputs that several branches share (``snapshot``): raw usage is then scanned once and
-    everything after it starts from its far smaller monthly sums. ``months`` asks for a range of report months: usage and
+    everything after it starts from its far smaller monthly sums. ``months`` asks for a range or a set of report months: usage and
     fees of other months are not read (but for the month before, whose advances the report shows), and the rows are those
     of the whole report in that range.
     """

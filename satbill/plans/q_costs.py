@@ -104,6 +104,32 @@ register("e09_report_advance_only", REPORT,
          lambda t: costs.billing_report_advance_only(t.usage, t.fees, info(t), agreements(t), AS_OF), "SELECT * FROM x_report_advance")
 register("e10_billing_report", REPORT, report, "SELECT * FROM x_report")
 
+
+def upkept(t: Tables) -> DataFrame:
+    """The report after three deliveries: all but the newest usage, one month of it in a wrong form; the newest; the month as it is.
+
+    Usage files are named by month here, as each of the bound files holds all months.
+    """
+    root, log = new_folder(t.spark, "kept-report"), new_folder(t.spark, "load-log")
+    usage = t.usage.withColumn("source_file", F.concat(F.lit("usage."), F.coalesce(norm_bill_month("bill_month"), F.lit("none")), F.lit(".csv")))
+    # the three newest months and the wrong one come from the data
+    new = [r.source_file for r in usage.select("source_file").distinct().orderBy(F.col("source_file").desc()).limit(4).collect()]
+    wrong, newest = new[-1:], new[:-1]
+    old = usage.filter(~F.col("source_file").isin(newest))
+    bad = old.withColumns({n: F.when(F.col("source_file").isin(wrong), F.lit(v).cast(usage.schema[n].dataType)).otherwise(F.col(n))
+                           for n, v in (("bill_month", 199501), ("plan_name", "No plan"))})
+    full = info(t), agreements(t)
+    for batch, rows, came in ((1, bad, old), (2, bad.unionByName(usage.filter(F.col("source_file").isin(newest))), usage.filter(F.col("source_file").isin(newest))),
+                              (3, usage, usage.filter(F.col("source_file").isin(wrong)))):
+        stamp = dt.datetime(2025, 12, batch)
+        entries = loads.log_entries(came, "usage", stamp, stamp)
+        loads.log_load(entries.unionByName(loads.log_entries(t.fees, "fees", stamp, stamp)) if batch == 1 else entries, log, batch)
+        upkeep.maintain_report(root, rows, t.fees, t.plans, *full, loads.read_log(t.spark, log), AS_OF)
+    return upkeep.read_report(t.spark, root)
+
+
+register("e10_report_upkeep", REPORT, upkept, "SELECT * FROM x_report")
+
 MAIN = (
     "financial_period bill_month imei contract_id party ext_code service_id:i agreement_number activation_date plan_name "
     "fee_plan_monthly fee_plan_suspended traffic_kb:d mailbox_events:d registration_events:d overage_kb:d calculated_overage:d "
