@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from satbill.operators import costs, dims
+from satbill.functions.expr import norm_bill_month
+from satbill.operators import costs, dims, upkeep
 from satbill.plans.bind import AS_OF, Tables
 from satbill.plans.catalog import register
+from satbill.sources import loads
+from satbill.sources.snapshot import new_folder
 
 
 def info(t: Tables) -> DataFrame:
