@@ -447,6 +447,31 @@ def cogs(
     )
 
 
+def cogs_all_months(report: DataFrame, services: DataFrame, charges: DataFrame, items: DataFrame, keep: Keep = _as_is) -> DataFrame:
+    """The other reading: every cost row of a contract and device against every revenue period of the contract, summed per contract and device.
+
+    The product is never built. A side's rows appear in it once per row of the other side (once, if that has none), so its
+    sums and counts are one side's sums and counts times the other's count: one row per contract and device, or per
+    contract, meets in the joins, however many months and periods there are.
+    """
+    cost = nz("calculated_overage") + nz("billed_amount") + nz("fees_total")
+    spent = report.groupBy("contract_id", "imei").agg(F.count(F.lit(1)).alias("cost_rows"), F.sum(cost).alias("_cost"))
+    earned = keep(_revenue_side(charges, items, services), "revenue_side").groupBy("contract_id").agg(
+        F.count(F.lit(1)).alias("revenue_rows"), F.sum(nz("revenue_charges")).alias("_charges"), F.sum(nz("revenue_invoices")).alias("_invoices"),
+        F.count(F.when(F.col("_charged"), 1)).alias("_charged"), F.count(F.when(nz("test_count") > 0, 1)).alias("_tested"),
+    )
+    costs, periods = nz("cost_rows"), nz("revenue_rows")
+    by_cost, by_revenue = (F.greatest(F.lit(1), n).cast("decimal(10,0)") for n in (costs, periods))
+    total = lambda name, times: (nz(name).cast("decimal(27,2)") * times).cast("decimal(38,2)")
+    return _service_contracts(services).join(spent, ["contract_id", "imei"], "left").join(earned, "contract_id", "left").select(
+        "contract_id", "imei", "service_status", "state", costs.alias("cost_rows"), periods.alias("revenue_rows"),
+        (by_cost * by_revenue).cast("long").alias("paired_rows"),
+        total("_cost", by_revenue).alias("total_cost"), total("_charges", by_cost).alias("revenue_charges"), total("_invoices", by_cost).alias("revenue_invoices"),
+        F.when(costs == 0, nz("_charged")).otherwise(0).alias("revenue_no_cost"), F.when(periods == 0, costs).otherwise(0).alias("cost_no_revenue"),
+        (nz("_tested") * by_cost).cast("long").alias("with_test_items"),
+    )
+
+
 def source_costs(fees: DataFrame, usage: DataFrame) -> DataFrame:
     """Fee and usage cost per contract and month, side by side."""
     line = F.upper(F.trim("description"))

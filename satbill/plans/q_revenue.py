@@ -62,6 +62,22 @@ register(
            CASE WHEN revenue_charges > 0 AND total_cost > 0 THEN round((revenue_charges - total_cost) / revenue_charges * 100, 2) END AS margin_pct
     FROM rows""",
 )
+register(
+    "f03_cogs_all_months",
+    "contract_id imei service_status:i state cost_rows:i revenue_rows:i paired_rows:i total_cost:d revenue_charges:d revenue_invoices:d "
+    "revenue_no_cost:i cost_no_revenue:i with_test_items:i",
+    lambda t: revenue.cogs_all_months(money(t), t.services, t.charges, t.invoice_items, keep=t.keep),
+    """
+    WITH cost AS (SELECT row_number() OVER () AS c, contract_id, imei, calculated_overage + billed_amount + fees_total AS cost FROM x_report),
+         rev AS (SELECT row_number() OVER () AS r, * FROM x_both),
+         pairs AS (SELECT s.*, c.c, c.cost, r.* EXCLUDE (contract_id) FROM x_svc s
+                   LEFT JOIN cost c ON c.contract_id = s.contract_id AND c.imei = s.imei LEFT JOIN rev r ON r.contract_id = s.contract_id)
+    SELECT contract_id, imei, service_status, state, count(DISTINCT c) AS cost_rows, count(DISTINCT r) AS revenue_rows, count(*) AS paired_rows,
+           coalesce(sum(cost), 0) AS total_cost, coalesce(sum(revenue_charges), 0) AS revenue_charges, coalesce(sum(revenue_invoices), 0) AS revenue_invoices,
+           count(*) FILTER (has_charges AND c IS NULL) AS revenue_no_cost, count(*) FILTER (c IS NOT NULL AND r IS NULL) AS cost_no_revenue,
+           count(*) FILTER (test_count > 0) AS with_test_items
+    FROM pairs GROUP BY 1, 2, 3, 4""",
+)
 register(
     "f03_cogs_by_source",
     "contract_id imei state period_id:i month revenue_charges:d revenue_invoices:d test_count:i cost_fees:d cost_usage:d total_cost:d "

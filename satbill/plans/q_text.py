@@ -74,33 +74,34 @@ register(
     """SELECT interface, working_index, spare_index, old_text AS working_text, new_text AS spare_text FROM index_map
        WHERE working_index % 5 <> 0 AND working_index <> spare_index""",
 )
-DAMAGE = "Спутниковая связь: абонентская плата за терминал"
+PHRASE = "Спутниковая связь: абонентская плата за терминал"
+LATIN_LETTERS, CYRILLIC = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ" * 2
 
 
 def damaged_documents(t: Tables) -> DataFrame:
-    """Documents, with Cyrillic wording around the id damaged in the three known ways on some."""
-    numbered = lambda text: F.concat(F.lit(text + " "), F.col("doc_id").cast("string"))
-    utf8 = numbered(DAMAGE.encode("utf-8").decode("cp1251"))
-    dos = numbered(DAMAGE.encode("cp866").decode("cp1251"))
-    latin = numbered(DAMAGE.encode("cp1251").decode("latin-1"))
-    line = numbered(DAMAGE)
+    """Documents; four in ten are spelled in Cyrillic letters behind a phrase, three of those read in a wrong code page from end to end."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x20]+", " "), "[^A-Za-z ]", "ж")
+    spelled = F.concat(F.lit(PHRASE + " "), F.col("doc_id").cast("string"), F.lit(" "), F.translate(plain, LATIN_LETTERS, CYRILLIC))
+    utf8 = F.translate(F.decode(F.encode(spelled, "UTF-8"), "ISO-8859-1"), text.LATIN, text.WINDOWS)
+    dos, latin = F.translate(spelled, text.DOS, text.WINDOWS), F.translate(spelled, text.WINDOWS, text.LATIN)
     kind = F.col("doc_id") % 10
     return t.documents.select(
-        "doc_id", "lang",
-        F.when(kind == 0, utf8).when(kind == 1, dos).when(kind == 2, latin).when(kind == 3, line).otherwise(F.col("text")).alias("note"),
+        "doc_id", "lang", F.when(kind == 0, utf8).when(kind == 1, dos).when(kind == 2, latin).when(kind == 3, spelled).otherwise(F.col("text")).alias("note"),
     )
 
 
+X_SPELLED = rf"""'{PHRASE} ' || doc_id || ' ' || translate(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x20]+', ' ', 'g'), '[^A-Za-z ]', 'ж', 'g'),
+    '{LATIN_LETTERS}', '{CYRILLIC}')"""
 register(
     "k03_text_repairs", "doc_id:i field new_value how",
     lambda t: text.text_repairs(damaged_documents(t), "doc_id", ["note"]).withColumnRenamed("column", "field"),
-    f"""SELECT doc_id, 'note' AS field, '{DAMAGE} ' || doc_id AS new_value,
+    f"""SELECT doc_id, 'note' AS field, {X_SPELLED} AS new_value,
                CASE doc_id % 10 WHEN 0 THEN 'cp1251->utf8' WHEN 1 THEN 'cp1251->cp866' ELSE 'latin1->cp1251' END AS how
         FROM documents WHERE doc_id % 10 < 3""",
 )
 register(
     "k03_repair_text", "doc_id:i lang note", lambda t: text.repair_text(damaged_documents(t), ["note"]),
-    f"SELECT doc_id, lang, CASE WHEN doc_id % 10 < 4 THEN '{DAMAGE} ' || doc_id ELSE text END AS note FROM documents",
+    f"SELECT doc_id, lang, CASE WHEN doc_id % 10 < 4 THEN {X_SPELLED} ELSE text END AS note FROM documents",
 )
 X_SECTIONS = r"""
     WITH html AS (SELECT page_id, regexp_replace(HTML, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', '', 'g') AS html FROM pages),
