@@ -19,6 +19,8 @@ from satbill.sources.snapshot import snapshot
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_ROWS, BLOCK_BYTES = 2048, 16 << 20  # a block's vectors; scores of two blocks take 32 MB at most
+PARTY_BLOCKS, PARTY_BYTES = 256, 32 << 20  # neighbouring blocks that a task holds while others pass by them
+PASSING = 64  # blocks that pass by one copy of a party
 PIVOTS, PIVOT_BYTES = 1024, 8 << 20  # pivots travel with every task
 SLACK = 1e-9  # rounding of distances never loses a pair
 CHECKED = 1 << 16  # pairs scored exactly at once
@@ -89,10 +91,11 @@ def _blocks(homes: DataFrame, pivots: dict[int, np.ndarray], reach: float, kind:
 
     A vector x at home with pivot p lies (x.p - x.q) / |p - q| before the plane between p and q, which no partner beyond
     that plane can undercut. ``seen`` says for such a cell q how far from q the block's vectors are that pass this test.
-    The order runs over distance and id, so that a cell of any size spreads over tasks.
+    The order runs over distance and id, so that a cell of any size spreads over tasks. Blocks that follow each other are
+    a party, named by its first block.
     """
 
-    def close(rows: list) -> pa.RecordBatch:
+    def close(rows: list, party: list) -> pa.RecordBatch:
         dim, cell = rows[0][0], rows[0][1]
         matrix = np.frombuffer(b"".join(row[4] for row in rows), np.float64).reshape(-1, dim)
         seen: list[tuple[int, float, float]] = []
@@ -104,29 +107,33 @@ def _blocks(homes: DataFrame, pivots: dict[int, np.ndarray], reach: float, kind:
                 far = _chord(near[passes[:, i], i])
                 seen.append((cell + 1 + i, float(far.min()), float(far.max())))
         cells, lows, highs = (list(column) for column in zip(*seen)) if seen else ([], [], [])
-        id_type = pa.array([row[3] for row in rows])
+        if party[0] != dim or party[2] == PARTY_BLOCKS or party[3] + matrix.nbytes > PARTY_BYTES:
+            party[:] = [dim, rows[0][3], 0, 0]
+        party[2:] = [party[2] + 1, party[3] + matrix.nbytes]
+        ids = pa.array([row[3] for row in rows])
         return pa.RecordBatch.from_arrays(
-            [pa.array([dim], pa.int32()), pa.array([cell], pa.int32()), id_type.slice(0, 1), pa.array([rows[0][2]]), pa.array([rows[-1][2]]),
-             pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), id_type), pa.array([matrix.tobytes()], pa.binary()),
+            [pa.array([dim], pa.int32()), pa.array([cell], pa.int32()), ids.slice(0, 1), pa.array([party[1]], ids.type), pa.array([rows[0][2]]), pa.array([rows[-1][2]]),
+             pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), ids), pa.array([matrix.tobytes()], pa.binary()),
              pa.array([cells], pa.list_(pa.int32())), pa.array([lows], pa.list_(pa.float64())), pa.array([highs], pa.list_(pa.float64()))],
-            ["dim", "cell", "block", "low", "high", "ids", "units", "seen_cell", "seen_low", "seen_high"],
+            ["dim", "cell", "block", "party", "low", "high", "ids", "units", "seen_cell", "seen_low", "seen_high"],
         )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
+        party: list = [None, None, 0, 0]  # dimension, name, blocks, bytes
         for batch in batches:
             for row in zip(*[batch.column(c).to_pylist() for c in ("dim", "cell", "far", "id", "unit")]):
                 full = held and len(held) >= max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * row[0])))
                 if held and (full or held[0][:2] != row[:2]):
-                    yield close(held)
+                    yield close(held, party)
                     held = []
                 held.append(row)
         if held:
-            yield close(held)
+            yield close(held, party)
 
     order = ["dim", "cell", "far", "id"]
     return homes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
-        pack, f"dim int, cell int, block {kind}, low double, high double, ids array<{kind}>, units binary, "
+        pack, f"dim int, cell int, block {kind}, party {kind}, low double, high double, ids array<{kind}>, units binary, "
         "seen_cell array<int>, seen_low array<double>, seen_high array<double>",
     )
 
@@ -143,6 +150,23 @@ def block_pairs(blocks: DataFrame, reach: float) -> DataFrame:
     return pairs.select("dim", "a", "b")
 
 
+def _meetings(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Blocks laid out for scoring by (party, part): first the party's own, then those that pass by, with the blocks they are to meet.
+
+    A block travels once for each party it meets something of, not once for each pair; a party is copied for every ``PASSING`` visitors.
+    """
+    visits = pairs.join(blocks.select(F.col("block").alias("b"), "party"), "b").groupBy("party", F.col("a").alias("block")).agg(F.collect_list("b").alias("wanted"))
+    copies = visits.groupBy("party").agg(F.ceil(F.count(F.lit(1)) / PASSING).cast("int").alias("copies"))
+    cells = ["dim", "block", "ids", "units"]
+    passing = visits.join(copies, "party").withColumn("part", F.pmod(F.xxhash64("block"), F.col("copies")).cast("int")).join(blocks.select(*cells), "block")
+    own = blocks.select("party", *cells).join(copies, "party").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    columns = ["party", "part", "visits", "wanted", *cells]
+    both = own.withColumns({"visits": F.lit(False), "wanted": F.lit(None).cast(visits.schema["wanted"].dataType)}).select(*columns).unionByName(
+        passing.withColumn("visits", F.lit(True)).select(*columns)
+    )
+    return both.repartition("party", "part").sortWithinPartitions("party", "part", "visits", "block")
+
+
 def near_pairs(df: DataFrame, threshold: float = 0.85, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """All pairs of different vectors with a cosine of ``threshold`` or more: id_a < id_b and similarity.
 
@@ -157,29 +181,34 @@ def near_pairs(df: DataFrame, threshold: float = 0.85, id_col: str = "vec_id", v
     vectors = snapshot(_distinct(df, id_col, vec_col), "pair-vectors")
     pivots = _pivots(vectors)
     blocks = snapshot(_blocks(_homes(vectors, pivots, kind), pivots, reach, kind), "pair-blocks")
-    pairs = snapshot(block_pairs(blocks, reach), "block-pairs")
-    side = lambda name: blocks.select(F.col("block").alias(name), F.col("ids").alias(f"{name}_ids"), F.col("units").alias(f"{name}_units"))
+    pairs = snapshot(block_pairs(blocks, reach).select("a", "b"), "block-pairs")
+
+    def compare(name, ids, one: np.ndarray, other, names, two: np.ndarray) -> Iterator[pa.RecordBatch]:
+        near = one @ two.T >= threshold - SLACK
+        left, right = np.nonzero(np.triu(near, 1) if name == other else near)
+        for at in range(0, len(left), CHECKED):
+            i, j = left[at:at + CHECKED], right[at:at + CHECKED]
+            # a sum of its own per pair, whatever block the two stand in
+            exact = np.concatenate([(one[i[k:k + 1024]] * two[j[k:k + 1024]]).sum(axis=1) for k in range(0, len(i), 1024)])
+            sure = exact >= threshold
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i[sure])), names.take(pa.array(j[sure])), pa.array(exact[sure])], ["x", "y", "similarity"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
         for batch in batches:
             for n in range(batch.num_rows):
-                dim = batch.column("dim")[n].as_py()
-                one, two = (np.frombuffer(batch.column(c)[n].as_buffer(), np.float64).reshape(-1, dim) for c in ("a_units", "b_units"))
-                same = batch.column("a")[n] == batch.column("b")[n]
-                near = one @ two.T >= threshold - SLACK
-                left, right = np.nonzero(np.triu(near, 1) if same else near)
-                names = batch.column("a_ids")[n].values, batch.column("b_ids")[n].values
-                for at in range(0, len(left), CHECKED):
-                    i, j = left[at:at + CHECKED], right[at:at + CHECKED]
-                    # a sum of its own per pair, whatever block the two stand in
-                    exact = np.concatenate([(one[i[k:k + 1024]] * two[j[k:k + 1024]]).sum(axis=1) for k in range(0, len(i), 1024)])
-                    sure = exact >= threshold
-                    yield pa.RecordBatch.from_arrays(
-                        [names[0].take(pa.array(i[sure])), names[1].take(pa.array(j[sure])), pa.array(exact[sure])], ["x", "y", "similarity"]
-                    )
-
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    found = joined.mapInArrow(score, f"x {kind}, y {kind}, similarity double")
+                at = {c: batch.column(c)[n] for c in batch.schema.names}
+                here = at["party"].as_py(), at["part"].as_py()
+                if here != key:
+                    key, held = here, {}
+                name, matrix = at["block"].as_py(), np.frombuffer(at["units"].as_buffer(), np.float64).reshape(-1, at["dim"].as_py())
+                if at["visits"].as_py():
+                    for other in at["wanted"].as_py():
+                        yield from compare(name, at["ids"].values, matrix, other, *held[other])
+                else:  # copied, or the whole batch would stay
+                    held[name] = pa.array(at["ids"].as_py(), at["ids"].type.value_type), matrix.copy()
+
+    found = _meetings(blocks, pairs).mapInArrow(score, f"x {kind}, y {kind}, similarity double")
     return found.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
 
 
