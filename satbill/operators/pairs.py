@@ -167,6 +167,46 @@ def _meetings(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.repartition("party", "part").sortWithinPartitions("party", "part", "visits", "block")
 
 
+def _met(df: DataFrame, threshold: float, id_col: str, vec_col: str) -> DataFrame:
+    """The blocks that can hold near pairs, laid out for scoring."""
+    kind = df.schema[id_col].dataType.simpleString()
+    reach = math.sqrt(max(0.0, 2.0 - 2.0 * threshold))
+    vectors = snapshot(_distinct(df, id_col, vec_col), "pair-vectors")
+    pivots = _pivots(vectors)
+    blocks = snapshot(_blocks(_homes(vectors, pivots, kind), pivots, reach, kind), "pair-blocks")
+    return _meetings(blocks, snapshot(block_pairs(blocks, reach).select("a", "b"), "block-pairs"))
+
+
+def _near(one: np.ndarray, two: np.ndarray, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places and cosines of two blocks' near pairs, a bounded number at once; a block meets itself above the diagonal."""
+    near = one @ two.T >= threshold - SLACK
+    left, right = np.nonzero(np.triu(near, 1) if same else near)
+    for at in range(0, len(left), CHECKED):
+        i, j = left[at:at + CHECKED], right[at:at + CHECKED]
+        # a sum of its own per pair, whatever block the two stand in
+        exact = np.concatenate([(one[i[k:k + 1024]] * two[j[k:k + 1024]]).sum(axis=1) for k in range(0, len(i), 1024)])
+        sure = exact >= threshold
+        yield i[sure], j[sure], exact[sure]
+
+
+def _parties(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Visitor by visitor, the party it passes by: name, ids, vectors and wanted blocks, and the party by name. Ends with None, and the last party."""
+    key, held = None, {}
+    for batch in batches:
+        for n in range(batch.num_rows):
+            at = {c: batch.column(c)[n] for c in batch.schema.names}
+            here = at["party"].as_py(), at["part"].as_py()
+            if here != key:
+                yield None, held
+                key, held = here, {}
+            name, matrix = at["block"].as_py(), np.frombuffer(at["units"].as_buffer(), np.float64).reshape(-1, at["dim"].as_py())
+            if at["visits"].as_py():
+                yield (name, at["ids"].values, matrix, at["wanted"].as_py()), held
+            else:  # copied, or the whole batch would stay
+                held[name] = pa.array(at["ids"].as_py(), at["ids"].type.value_type), matrix.copy()
+    yield None, held
+
+
 def near_pairs(df: DataFrame, threshold: float = 0.85, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """All pairs of different vectors with a cosine of ``threshold`` or more: id_a < id_b and similarity.
 
@@ -177,44 +217,49 @@ def near_pairs(df: DataFrame, threshold: float = 0.85, id_col: str = "vec_id", v
     null or non-finite components take no part.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    reach = math.sqrt(max(0.0, 2.0 - 2.0 * threshold))
-    vectors = snapshot(_distinct(df, id_col, vec_col), "pair-vectors")
-    pivots = _pivots(vectors)
-    blocks = snapshot(_blocks(_homes(vectors, pivots, kind), pivots, reach, kind), "pair-blocks")
-    pairs = snapshot(block_pairs(blocks, reach).select("a", "b"), "block-pairs")
-
-    def compare(name, ids, one: np.ndarray, other, names, two: np.ndarray) -> Iterator[pa.RecordBatch]:
-        near = one @ two.T >= threshold - SLACK
-        left, right = np.nonzero(np.triu(near, 1) if name == other else near)
-        for at in range(0, len(left), CHECKED):
-            i, j = left[at:at + CHECKED], right[at:at + CHECKED]
-            # a sum of its own per pair, whatever block the two stand in
-            exact = np.concatenate([(one[i[k:k + 1024]] * two[j[k:k + 1024]]).sum(axis=1) for k in range(0, len(i), 1024)])
-            sure = exact >= threshold
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i[sure])), names.take(pa.array(j[sure])), pa.array(exact[sure])], ["x", "y", "similarity"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, {}
-        for batch in batches:
-            for n in range(batch.num_rows):
-                at = {c: batch.column(c)[n] for c in batch.schema.names}
-                here = at["party"].as_py(), at["part"].as_py()
-                if here != key:
-                    key, held = here, {}
-                name, matrix = at["block"].as_py(), np.frombuffer(at["units"].as_buffer(), np.float64).reshape(-1, at["dim"].as_py())
-                if at["visits"].as_py():
-                    for other in at["wanted"].as_py():
-                        yield from compare(name, at["ids"].values, matrix, other, *held[other])
-                else:  # copied, or the whole batch would stay
-                    held[name] = pa.array(at["ids"].as_py(), at["ids"].type.value_type), matrix.copy()
-
-    found = _meetings(blocks, pairs).mapInArrow(score, f"x {kind}, y {kind}, similarity double")
+        for visitor, held in _parties(batches):
+            if visitor is not None:
+                name, ids, matrix, wanted = visitor
+                for other in wanted:
+                    names, vectors = held[other]
+                    for i, j, cosine in _near(matrix, vectors, name == other, threshold):
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(i)), names.take(pa.array(j)), pa.array(cosine)], ["x", "y", "similarity"])
+
+    found = _met(df, threshold, id_col, vec_col).mapInArrow(score, f"x {kind}, y {kind}, similarity double")
     return found.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "similarity")
 
 
-def near_links(df: DataFrame, pairs: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Every sound row with its class and the number of different vectors near it (``pairs``: from ``near_pairs``)."""
-    ends = pairs.select(F.explode(F.array("id_a", "id_b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
-    return vector_classes(df, id_col, vec_col).join(ends, "class_id", "left").select(
-        id_col, "class_id", F.coalesce("links", F.lit(0).cast("long")).alias("links")
-    )
+def near_links(df: DataFrame, threshold: float = 0.85, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Every row that ``near_pairs`` regards, with its class and the number of different vectors near it.
+
+    Links are counted where blocks meet, so that groups of near copies make no pairs: a block's counts leave a task once
+    per party it passes by, and a party's once per copy.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+
+        def counted(ids: pa.Array, numbers: np.ndarray) -> pa.RecordBatch:
+            some = np.flatnonzero(numbers)
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(some)), pa.array(numbers[some])], ["class_id", "links"])
+
+        for visitor, held in _parties(batches):
+            if visitor is None:
+                yield from (counted(held[name][0], numbers) for name, numbers in sums.items())
+                sums = {}
+                continue
+            name, ids, matrix, wanted = visitor
+            own = np.zeros(len(matrix), np.int64)
+            for other in wanted:
+                vectors = held[other][1]
+                theirs = sums.setdefault(other, np.zeros(len(vectors), np.int64))
+                for i, j, _ in _near(matrix, vectors, name == other, threshold):
+                    own += np.bincount(i, minlength=len(own))
+                    theirs += np.bincount(j, minlength=len(theirs))
+            yield counted(ids, own)
+
+    links = _met(df, threshold, id_col, vec_col).mapInArrow(score, f"class_id {kind}, links long").groupBy("class_id").agg(F.sum("links").alias("links"))
+    return vector_classes(df, id_col, vec_col).join(links, "class_id", "left").select(id_col, "class_id", F.coalesce("links", F.lit(0).cast("long")).alias("links"))

@@ -227,7 +227,7 @@ X_NEAR = """
                WHERE list_cosine_similarity(a.e, b.e) >= 0.85)"""
 register("k08_near_pairs", "id_a:i id_b:i similarity:d", lambda t: pairs.near_pairs(near_vectors(t), 0.85), f"{X_NEAR} SELECT * FROM p")
 register(
-    "k08_near_links", "vec_id:i class_id:i links:i", lambda t: pairs.near_links(near_vectors(t), pairs.near_pairs(near_vectors(t), 0.85)),
+    "k08_near_links", "vec_id:i class_id:i links:i", lambda t: pairs.near_links(near_vectors(t), 0.85),
     f"""{X_NEAR}, ends AS (SELECT id_a AS id FROM p UNION ALL SELECT id_b FROM p)
         SELECT v.id AS vec_id, c.id AS class_id, (SELECT count(*) FROM ends WHERE ends.id = c.id) AS links FROM v JOIN c USING (e)""",
 )

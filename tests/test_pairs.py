@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -47,6 +48,9 @@ def test_pairs_equal_brute_force(spark, monkeypatch, threshold):
     assert len(got) == len(set(got))
     if threshold < 1.0:  # at 1 the last digit decides
         assert set(got) == brute(rows, threshold)
+        links = {r.class_id: r.links for r in pairs.near_links(table(spark, rows), threshold).collect()}
+        ends = Counter(i for pair in got for i in pair)
+        assert {i: n for i, n in links.items() if n} == ends
     else:
         assert set(got) <= brute(rows, 1 - 1e-9)
 
@@ -56,7 +60,7 @@ def test_most_equal_rows_and_links(spark):
     df = table(spark, rows)
     found = pairs.near_pairs(df)
     assert [(r.id_a, r.id_b) for r in found.collect()] == [(0, 5000)]
-    got = {r.vec_id: (r.class_id, r.links) for r in pairs.near_links(df, found).collect()}
+    got = {r.vec_id: (r.class_id, r.links) for r in pairs.near_links(df).collect()}
     assert len(got) == 2002 and all(got[i] == (0, 1) for i in range(2000)) and got[5000] == (5000, 1) and got[5001] == (5001, 0)
 
 
