@@ -9,7 +9,7 @@ from satbill.plans.bind import Tables
 from satbill.plans.catalog import register
 from satbill.plans.q_ingest import scratch, usage_files
 from satbill.sources.loads import read_log
-from satbill.streaming import ingest, monitor
+from satbill.streaming import deliveries, ingest, monitor
 
 
 def streamed(t: Tables) -> DataFrame:
@@ -59,3 +59,36 @@ register(
        FROM (SELECT event_id, body, unnest(CAST(json_extract(body, '$.controllers') AS JSON[])) AS x FROM snapshots)
        WHERE contains(lower(json_extract_string(x, '$.name')), 'am6 e0')""",
 )
+
+
+def delivered(t: Tables) -> tuple[str, str]:
+    """Two deliveries of all usage, a file per month as it is written: the second one has other amounts in odd months.
+
+    The stream stops after each and is started anew. Paths of the table and of the decisions.
+    """
+    table, log, actions, checkpoint, folder = (scratch(t, n) for n in ("del-table", "del-log", "del-actions", "del-check", "del-files"))
+    heads = {
+        "Contract ID": "contract_id", "IMEI": "imei", "Usage Type": "usage_type", "Usage": "usage_bytes", "Total Amount": "total_amount", "Bill Month": "bill_month",
+    }
+    more = F.when(F.col("bill_month") % 2 == 1, 1).otherwise(0)
+    for nth, amount in (("1", F.col("total_amount")), ("2", F.col("total_amount") + more)):
+        usage = t.usage.withColumn("total_amount", amount.cast("decimal(18,2)")).withColumn("slice", F.col("bill_month"))
+        files = usage.select(*[F.col(c).cast("string").alias(h) for h, c in heads.items()], "slice").repartition(8, "slice")
+        files.write.partitionBy("slice").option("header", True).option("sep", ";").csv(f"{folder}/day={nth}")
+        deliveries.stream_deliveries(
+            t.spark, folder, table, log, actions, checkpoint, naming=lambda path: F.regexp_extract(path, "slice=([^/]+)", 1)
+        ).awaitTermination()
+    return table, actions
+
+
+register(
+    "j01_stream_deliveries", "source_file contract_id imei usage_type total_amount:d", lambda t: t.spark.read.parquet(delivered(t)[0]),
+    """SELECT CAST(bill_month AS VARCHAR) AS source_file, contract_id, imei, usage_type,
+              total_amount + CASE WHEN bill_month % 2 = 1 THEN 1 ELSE 0 END AS total_amount FROM usage""",
+)
+register(
+    "j01_delivery_actions", "name action", lambda t: deliveries.read_actions(t.spark, delivered(t)[1]),
+    """WITH m AS (SELECT DISTINCT bill_month FROM usage)
+       SELECT CAST(bill_month AS VARCHAR) AS name, 'NEW' AS action FROM m
+       UNION ALL SELECT CAST(bill_month AS VARCHAR), CASE WHEN bill_month % 2 = 1 THEN 'CHANGED' ELSE 'UNCHANGED' END FROM m""",
+)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from satbill.functions.expr import base_contract, fee_flags, norm_bill_month, show_month
-from satbill.operators import alerts, costs, quality
-from satbill.plans.bind import AS_OF
+from satbill.operators import alerts, compare, costs, quality
+from satbill.plans.bind import AS_OF, Tables
 from satbill.plans.catalog import register
 from satbill.plans.q_costs import consolidated, kept_report, report
 from satbill.plans.q_revenue import revenue_rows
@@ -239,3 +239,18 @@ register(
         SELECT a = 0 AND b = 0 AS same, a AS only_left, b AS only_right
         FROM (SELECT (SELECT count(*) FROM (FROM l EXCEPT FROM r)) AS a, (SELECT count(*) FROM (FROM r EXCEPT FROM l)) AS b)""",
 )
+
+
+def usage_months(t: Tables):
+    return t.usage.select("contract_id", norm_bill_month("bill_month").alias("month"))
+
+
+register(
+    "h19_differing_rows", "contract_id month in_left:i in_right:i",
+    lambda t: compare.differing_rows(usage_months(t), t.fees.select("contract_id", F.date_format("invoice_date", "yyyyMM").alias("month"))),
+    f"""WITH l AS (SELECT contract_id, {X_MONTH} AS month, count(*) AS n FROM usage GROUP BY ALL),
+             r AS (SELECT contract_id, strftime(invoice_date, '%Y%m') AS month, count(*) AS n FROM fees GROUP BY ALL)
+        SELECT coalesce(l.contract_id, r.contract_id) AS contract_id, coalesce(l.month, r.month) AS month, coalesce(l.n, 0) AS in_left, coalesce(r.n, 0) AS in_right
+        FROM l FULL JOIN r ON l.contract_id IS NOT DISTINCT FROM r.contract_id AND l.month IS NOT DISTINCT FROM r.month
+        WHERE coalesce(l.n, 0) <> coalesce(r.n, 0)""",
+)

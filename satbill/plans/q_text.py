@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from satbill.operators import pairs, search, text
+from satbill.operators import pairs, search, text, titles
 from satbill.plans.bind import Tables
 from satbill.plans.catalog import register
 
@@ -235,6 +235,23 @@ register(
     "k09_title_search", "vec_id:i section_title", lambda t: search.title_search(t.chunks, " label 3 — PART 1", 15),
     "SELECT vec_id, section_title FROM chunks WHERE contains(replace(lower(section_title), '–', '-'), 'label 3 - part 1') ORDER BY vec_id LIMIT 15",
 )
+
+
+def title_questions(t: Tables):
+    """A question per label and part of the titles, their short beginnings too, each in all rows' titles."""
+    asked = t.chunks.select(F.concat(F.lit(" LABEL "), "label", F.lit(" — Part "), (F.col("vec_id") % 40).cast("string")).alias("text"))
+    asked = asked.unionByName(asked.select(F.substring("text", 1, 8).alias("text"))).distinct().select(F.col("text").alias("question_id"), "text")
+    return titles.title_questions(titles.title_index(t.chunks), asked)
+
+
+register(
+    "k09_title_questions", "question_id rank:i id:i title", title_questions,
+    """WITH a AS (SELECT DISTINCT ' LABEL ' || label || ' — Part ' || (vec_id % 40) AS text FROM chunks),
+             q AS (SELECT text FROM a UNION SELECT text[1:8] FROM a)
+       SELECT q.text AS question_id, row_number() OVER (PARTITION BY q.text ORDER BY vec_id) AS rank, vec_id AS id, section_title AS title
+       FROM q JOIN chunks ON contains(replace(lower(section_title), '–', '-'), replace(trim(lower(q.text)), '—', '-'))
+       QUALIFY row_number() OVER (PARTITION BY q.text ORDER BY vec_id) <= 15""",
+)
 register(
     "k10_hybrid_search", "source rank:i vec_id:i section_title similarity:d",
     lambda t: search.hybrid_search(t.chunks, ["найди label 3 - part 1", "label 3 - part 1"], centroids(t).filter("query_id = 3"), 20),
