@@ -137,3 +137,40 @@ def test_agreement_falls_back_by_device_only_without_a_contract(make, info):
     usage, fees, plans = make([use("SUB-9", "D9", 202509), use("SUB-1", "D9", 202509)])
     got = {r.contract_id: (r.service_id, r.agreement_number) for r in costs.billing_report(usage, fees, plans, *info, "2025-12-15").collect()}
     assert got == {"SUB-9": (None, "AG-70"), "SUB-1": (1, "AG-70")}
+
+
+def test_months_in_one_pass_equal_the_consolidated_rows(make, info):
+    """Missing keys, months without a fee or a plan, and contracts spelled with blanks: rows stacked by key say what the joins say."""
+    usage, fees, plans = make(
+        [use("S-1", "D-1", 202509), use("S-1", "D-1", 202509, plan="B"), use("S-1", "D-1", 92025, plan=" "), use("S-1", None, 202509, plan=None),
+         use(None, "D-1", 202509, plan=None), use(None, None, 202509, plan=""), use("S-2 ", "D-2", 202509, plan=None), use("S-2", "D-2", 202510)],
+        [fee(1, "S-1", "D-1", "2025-09-05", "Advance Charge", "5.00", plan="Z"), fee(2, "S-2", "D-2", "2025-09-05", "Advance Charge", "7.00"),
+         fee(3, None, "D-1", "2025-09-06", "Credit", "2.00", plan="C"), fee(4, "S-3", "D-3", "2025-09-06", "Credit", "3.00"),
+         fee(5, "S-2 ", "D-2", "2025-08-06", "Advance Charge", "4.00")],
+    )
+    names = ["imei", "contract_id", "bill_month_key", "plan_name", "fee_plan_monthly", "included_kb", "calculated_overage", "fee_advance",
+             "fee_advance_previous", "fees_total", "service_id"]
+    rows = lambda df: sorted(tuple(str(v) if v is None or isinstance(v, str) else float(v) for v in r) for r in df.select(*names).collect())
+    overage, lines = costs.usage_overage(usage, plans), costs.dedup_fees(fees)
+    for fallback in (True, False):
+        stacked = costs.planned_rows(overage, fees, lines, fallback, costs._modal_plans(overage, None), costs._as_is, *info)
+        joined = costs.billing_report_main(costs.consolidate(overage, fees, fallback), lines, *info)
+        assert rows(stacked) == rows(joined)
+    advances = {(r.contract_id, r.bill_month_key): (float(r.fee_advance), float(r.fee_advance_previous)) for r in joined.filter("imei = 'D-2'").collect()}
+    assert advances[("S-2 ", "202509")] == (7.0, 4.0) or advances[("S-2", "202509")] == (7.0, 4.0)
+    assert advances[("S-2", "202510")] == (0.0, 7.0)
+
+
+def test_usage_and_fees_are_stacked(make, info):
+    """They were joined, and the wide rows moved again for every lookup."""
+    usage, fees, plans = make([use("S-1", "D-1", 202509)], [fee(1, "S-1", "D-1", "2025-09-05", "Advance Charge", "5.00")])
+    report = costs.billing_report(usage, fees, plans, *info, "2025-12-15")
+    plan = report._jdf.queryExecution().sparkPlan().toString()
+    assert "FullOuter" not in plan
+
+
+def test_modal_plans_at_hand_are_not_counted_again(make, info):
+    usage, fees, plans = make([use("S-1", "D-1", 202509, plan="")])
+    modal = {k: usage.sparkSession.createDataFrame([(v, "Named")], f"{k} string, plan_name string") for k, v in (("contract_id", "S-1"), ("imei", "D-1"))}
+    report = costs.billing_report(usage, fees, plans, *info, "2025-12-15", modal=modal)
+    assert [r.plan_name for r in report.collect()] == ["Named"]
