@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from satbill.functions.sem import nz
+from satbill.operators.costs import Keep, _as_is
 
 FAN = 1024  # children of a node of the hash tree
 
@@ -35,21 +36,22 @@ def differing_nodes(a: DataFrame, b: DataFrame, level: int) -> DataFrame:
     return ours.join(theirs, "_node", "full_outer").filter(~equal).select("_node")
 
 
-def differing_rows(a: DataFrame, b: DataFrame, levels: int = 2) -> DataFrame:
+def differing_rows(a: DataFrame, b: DataFrame, levels: int = 2, keep: Keep = _as_is) -> DataFrame:
     """Rows that occur more often in one result than in the other, once each: the columns of ``a`` as text, in_left, in_right.
 
     Columns pair up by place and compare as text; NULL equals NULL and nothing else. Buckets of rows are compared by counts and two
     sums of 64-bit hashes; each level reads only rows under nodes that differed on the one before, so equal tables shuffle
     nothing but a row per task and node, and at the end only rows of differing buckets meet. Nodes are at most
-    ``FAN ** levels`` rows of one number (two levels: a million, 8 MB), which is what may be broadcast.
+    ``FAN ** levels`` rows of one number (two levels: a million, 8 MB), which is what may be broadcast. Every level reads both
+    sides again: ``keep`` (``snapshot``) writes the hashed rows, and the nodes of each level, so that neither is worked out anew.
     """
     if len(a.columns) != len(b.columns):
         raise ValueError("both results need the same number of columns")
     if levels not in (1, 2):
         raise ValueError("one or two levels")
-    names, ours, theirs = a.columns, _rows(a), _rows(b)
+    names, ours, theirs = a.columns, keep(_rows(a), "left_rows"), keep(_rows(b), "right_rows")
     for level in range(1, levels + 1):
-        nodes = F.broadcast(differing_nodes(ours, theirs, level))
+        nodes = F.broadcast(keep(differing_nodes(ours, theirs, level), "nodes"))
         under = lambda rows: rows.withColumn("_node", _node(level)).join(nodes, "_node", "left_semi").drop("_node")  # noqa: B023,E731
         ours, theirs = under(ours), under(theirs)
     cells = [f"_{i}" for i in range(len(names))]

@@ -1,6 +1,7 @@
 """Title questions over the trigram index, and comparison by hash trees."""
 
 from satbill.operators import compare, quality, search, titles
+from satbill.sources.snapshot import snapshot
 
 TITLES = [
     (1, "Label 3 – part 1"), (2, "label 3 - PART 10"), (3, "Other"), (4, None), (5, ""), (6, "Label 3 — part 1"), (None, "label"), (7, "ab"), (8, "a–b"),
@@ -49,3 +50,17 @@ def test_equal_tables_differ_in_no_node(spark):
     a = spark.range(5000).selectExpr("id", "cast(id % 7 AS string) AS v")
     ours, theirs = compare._rows(a), compare._rows(a.repartition(3))
     assert compare.differing_nodes(ours, theirs, 1).collect() == []
+
+
+def test_both_sides_are_worked_out_once(spark):
+    """Every level used to read, join and hash both inputs anew."""
+    kept = {}
+
+    def keep(df, name):
+        kept[name] = kept.get(name, 0) + 1
+        return snapshot(df, name)
+
+    a, b = spark.createDataFrame([(1, "x"), (2, None)], "k int, v string"), spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    got = compare.differing_rows(a, b, keep=keep)
+    assert kept == {"left_rows": 1, "right_rows": 1, "nodes": 2} and "ExistingRDD" not in got._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(tuple(map(str, r)) for r in got.collect()) == [("2", "None", "1", "0"), ("2", "y", "0", "1")]
