@@ -79,3 +79,35 @@ def test_trend(profits):
     rows = profit.profit_trend(profits([("2025-01", "A", "C", "10", "110"), ("2025-02", "A", "C", "10", "60"), ("2025-03", "A", "C", "10", "60")]))
     got = [(r.period, r.profit_change, r.profit_change_pct, r.trend) for r in rows.orderBy("period").collect()]
     assert got == [("2025-01", None, None, None), ("2025-02", D(-50), -50.0, "DECREASE"), ("2025-03", D(0), 0.0, None)]
+
+
+SHOWN_SERVICES = "service_id long, vsat string, login string, close_date timestamp"
+
+
+def test_repeated_service_records_and_open_periods(spark):
+    jan, feb = dt.datetime(2025, 1, 15), dt.datetime(2025, 2, 15)
+    services = spark.createDataFrame(
+        [(1, "D1", "SUB-1", jan), (1, "D1", "SUB-1", None), (2, "D2", "SUB-2", jan), (2, "D2", "SUB-2", feb)], SHOWN_SERVICES)
+    assert {r.service_id: r._close for r in revenue.closing_days(services).collect()} == {1: None, 2: feb}
+    items = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 1), (2, 2), (9, 1)], "service_id long, period_id int")
+    periods = spark.createDataFrame([(1, dt.datetime(2025, 1, 1)), (2, dt.datetime(2025, 2, 1))], "period_id int, start_date timestamp")
+    found = {r.imei: sorted(r._open_in) for r in revenue.open_periods(services, items, periods).collect()}
+    assert found == {"D1": ["2025-01", "2025-02"], "D2": ["2025-01"]}
+
+
+def test_display_moves_a_report_with_its_lookups_once(spark):
+    cols = "service_id long, sub_contract_id string, imei string, contract_id string, period string, currency_id int, acc_currency_id int, account_id int"
+    # laid out by the owner's key, as the report is
+    report = spark.createDataFrame([
+        (1, "SUB-1", "D1", "SUB-1", "2025-01", 1, 1, 1, True, None, None), (1, "SUB-1", "D1", "SUB-1", "2025-01", 4, 1, 1, True, None, None),
+        (2, "SUB-2", "D2", "SUB-2", "2025-01", 1, 1, 1, True, dt.datetime(2025, 1, 3), True),
+        (3, "SUB-3", "D3", "SUB-3", "2025-01", 1, 1, 1, True, dt.datetime(2025, 1, 3), False),
+    ], cols + ", _known boolean, _close timestamp, _seen boolean").repartition(4, "contract_id", "imei", "account_id")
+    services = spark.createDataFrame([], SHOWN_SERVICES)
+    items = spark.createDataFrame([], "service_id long, period_id int")
+    periods = spark.createDataFrame([], "period_id int, start_date timestamp")
+    shown = revenue.revenue_display(report, services, items, periods)
+    assert [(r.service_id, r.currency_id) for r in shown.orderBy("service_id").collect()] == [(1, 1), (2, 1)]
+    assert shown.columns == [n.split()[0] for n in cols.split(", ")]
+    plan = shown._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan
