@@ -30,10 +30,14 @@ def statistics(cells: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([mean, deviation], axis=1) * np.sqrt(np.concatenate([length, length]))
 
 
+def _whole(q: np.ndarray, v: np.ndarray) -> bool:
+    """Whether no inner product of the rows, nor any part of one, loses a digit in double precision."""
+    return np.abs(q).max(initial=0.0) * np.abs(v).max(initial=0.0) * q.shape[1] < 2**53
+
+
 def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Inner products of pairs of rows; whole numbers, cut off at the range of a long."""
-    top = np.abs(q).max(initial=0.0) * np.abs(v).max(initial=0.0) * q.shape[1]
-    if top < 2**53:
+    if _whole(q, v):
         return np.einsum("ij,ij->i", q, v).astype(np.int64)
     sums = [sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for x, y in zip(q.tolist(), v.tolist(), strict=True)]
     return np.array([min(max(s, -(2**63)), 2**63 - 1) for s in sums], np.int64)
@@ -72,6 +76,11 @@ def block_best(q_ids, q, v_ids, v, k: int):
             columns, alive = columns[kept], alive[:, kept]
             if not len(columns):
                 break
+        if len(columns) and _whole(qs, v[columns]):
+            # one product of the rows still in question; only pairs that reach a row's k-th best are ranked
+            products = qs @ v[columns].T
+            products[~alive] = -np.inf
+            alive &= products >= _kth(products, k)[:, None]
         row, column = np.nonzero(alive)
         for first in range(0, len(row), 1 << 16):  # in portions, each cut to its k best per query row
             r, c = row[first : first + (1 << 16)], columns[column[first : first + (1 << 16)]]
