@@ -173,15 +173,16 @@ def _as_is(df: DataFrame, name: str) -> DataFrame:
 
 
 def consolidated(
-    usage: DataFrame, fees: DataFrame, plans: DataFrame, plan_fallback: bool = True, months: Months | None = None, keep: Keep = _as_is
+    usage: DataFrame, fees: DataFrame, plans: DataFrame, plan_fallback: bool = True, months: Months | None = None, keep: Keep = _as_is,
+    overage: DataFrame | None = None,
 ) -> DataFrame:
     """Usage and fee sides of every device, contract and month, with the best known plan.
 
     ``keep`` writes the overage table that the sums and both modal plans start from, so raw usage is scanned once. With
     ``months`` only their usage and fees are read; the modal plans still count a key's whole history, from its
-    plan column alone.
+    plan column alone. ``overage`` is that table of ``usage``, where it is at hand.
     """
-    overage = keep(usage_overage(usage_of(usage, months), plans), "overage")
+    overage = keep(usage_overage(usage_of(usage, months), plans), "overage") if overage is None else overage
     return consolidate(overage, fees_of(fees, months), plan_fallback, None if months is None else usage)
 
 
@@ -553,16 +554,17 @@ def _advance_only_rows(usage: DataFrame, fees: DataFrame, as_of: dt.date | str,
 def billing_report(
     usage: DataFrame, fees: DataFrame, plans: DataFrame, info: DataFrame, agreements: DataFrame,
     as_of: dt.date | str, plan_fallback: bool = True, months: Months | MonthSet | None = None, keep: Keep = _as_is,
-    modal: dict[str, DataFrame] | None = None,
+    modal: dict[str, DataFrame] | None = None, overage: DataFrame | None = None,
 ) -> DataFrame:
     """The monthly cost report: consolidated rows, then advances that have no row of their own.
 
     ``keep`` may write the inputs that several branches share (``snapshot``): raw usage is then scanned once and
     everything after it starts from its far smaller monthly sums. ``months`` asks for a range or a set of report months: usage and
     fees of other months are not read (but for the month before, whose advances the report shows), and the rows are those
-    of the whole report in that range. ``modal`` are the modal plans of ``usage`` by key, where they are at hand.
+    of the whole report in that range. ``modal`` are the modal plans of ``usage`` by key and ``overage`` its overage table in those
+    months, where they are at hand.
     """
-    overage = keep(usage_overage(usage_of(usage, months), plans), "overage")
+    overage = keep(usage_overage(usage_of(usage, months), plans), "overage") if overage is None else overage
     near = fees_of(fees, months, before=1)
     lines = keep(dedup_fees(near), "fee_lines")
     info, agreements = keep(info, "info"), keep(agreements, "agreements")

@@ -23,16 +23,26 @@ def agreements(t: Tables) -> DataFrame:
     return dims.device_agreements(t.services, t.services_ext, t.accounts)
 
 
-def consolidated(t: Tables) -> DataFrame:
-    return costs.consolidated(t.usage, t.fees, t.plans, keep=t.keep)
+def consolidated(t: Tables, overage: DataFrame | None = None) -> DataFrame:
+    return costs.consolidated(t.usage, t.fees, t.plans, keep=t.keep, overage=overage)
 
 
-def report(t: Tables, months: costs.Months | None = None, as_of: str = AS_OF, plan_fallback: bool = True) -> DataFrame:
+def report(t: Tables, months: costs.Months | None = None, as_of: str = AS_OF, plan_fallback: bool = True, **more) -> DataFrame:
     return costs.billing_report(
-        t.usage, t.fees, t.plans, info(t), agreements(t), as_of, plan_fallback=plan_fallback, months=months, keep=t.keep
+        t.usage, t.fees, t.plans, info(t), agreements(t), as_of, plan_fallback=plan_fallback, months=months, **{"keep": t.keep, **more}
     )
 
 
+def unnamed_report(t: Tables, **more) -> DataFrame:
+    """The report for jobs that read no names: services and agreements are not written, so that Spark drops their joins,
+    which add neither rows nor sums."""
+    return report(t, keep=lambda df, name: df if name in ("info", "agreements") else t.keep(df, name), **more)
+
+
+def kept_overage(t: Tables) -> DataFrame:
+    return t.once(("overage",), lambda t: costs.usage_overage(t.usage, t.plans))
+
+
 def money(t: Tables, months: costs.Months | None = None) -> DataFrame:
     """The report's money without its lookups, written once."""
     return t.once(("money", months), lambda t: costs.cost_table(t.usage, t.fees, t.plans, AS_OF, months=months, keep=t.keep))
