@@ -425,7 +425,8 @@ def planned_rows(
     Modal plans, services and agreements are looked up per device and contract, not per month; without ``info`` there are no names and
     no previous advances.
     """
-    parts = [usage_rows(overage), plan_rows(fees)]
+    # written: the pairs, the first devices and the report itself all start from them
+    parts = [usage_rows(overage), keep(plan_rows(fees), "fee_plans")]
     pairs = keep(device_contracts(parts[0].select("imei", "contract_id").unionByName(parts[1].select("imei", "contract_id"))), "pairs")
     lookups = pairs
     for key in KEYS_OF_PLANS if plan_fallback else ():
