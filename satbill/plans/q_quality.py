@@ -184,7 +184,7 @@ register(
 )
 register(
     "h15_fee_coverage", "bill_month record_count:i has_fee_activation:i has_fee_advance:i has_fee_credit:i has_fee_credited:i has_fee_prorated:i",
-    lambda t: quality.fee_coverage(report(t)),
+    lambda t: quality.fee_coverage(unnamed_report(t)),
     """SELECT bill_month, count(*) AS record_count, count(*) FILTER (fee_activation <> 0) AS has_fee_activation,
               count(*) FILTER (fee_advance <> 0) AS has_fee_advance, count(*) FILTER (fee_credit <> 0) AS has_fee_credit,
               count(*) FILTER (fee_credited <> 0) AS has_fee_credited, count(*) FILTER (fee_prorated <> 0) AS has_fee_prorated
