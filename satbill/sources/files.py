@@ -155,15 +155,29 @@ def _may_open() -> Column:
     return F.coalesce(F.max(reduce(or_, [_opens(F.col("value"), d) for d in DELIMITERS])), F.lit(False))
 
 
-def file_records(lines: DataFrame, must_have: list[str]) -> DataFrame:
-    """Per delivered file (source_file): whether it has a header, and records_in_file, its data records. Empty files without a
-    single line are not seen, as no line comes from them."""
+def file_facts(lines: DataFrame, must_have: list[str]) -> DataFrame:
+    """Per file what one pass over its lines tells: encoding, header, open quotes and data lines. ``split_lines`` and
+    ``file_records`` both start from it."""
     filled = F.length(F.trim("value")) > 0
     header = is_header(must_have)
-    per_file = lines.groupBy("source_file").agg(
-        F.coalesce(F.max(header), F.lit(False)).alias("has_header"),
-        F.count(F.when(filled & ~header, 1)).alias("records_in_file"), F.min("file_path").alias("file_path"), _may_open().alias("_torn"),
+    return lines.groupBy("file_path", "source_file").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("_utf8"),
+        # A file has one header, so the set is as good as a value, and it needs no sort of the lines.
         F.array_min(F.collect_set(F.when(header, F.decode(F.col("value").cast("binary"), "ISO-8859-1")))).alias("_head"),
+        _may_open().alias("_torn"),
+        F.coalesce(F.max(header), F.lit(False)).alias("has_header"),
+        F.count(F.when(filled & ~header, 1)).alias("records_in_file"),
+    )
+
+
+def file_records(lines: DataFrame, must_have: list[str], facts: DataFrame | None = None) -> DataFrame:
+    """Per delivered file (source_file): whether it has a header, and records_in_file, its data records. Empty files without a
+    single line are not seen, as no line comes from them. ``facts`` are the ``file_facts`` of the lines, where they are at hand."""
+    filled = F.length(F.trim("value")) > 0
+    header = is_header(must_have)
+    per_file = (file_facts(lines, must_have) if facts is None else facts).groupBy("source_file").agg(
+        F.max("has_header").alias("has_header"), F.sum("records_in_file").alias("records_in_file"), F.min("file_path").alias("file_path"),
+        F.max("_torn").alias("_torn"), F.min("_head").alias("_head"),
     )
     per_file = snapshot(per_file.withColumn("_sep", _separator(F.col("_head"))).drop("_head"), "file-records")
     torn = per_file.filter("_torn AND has_header")
@@ -175,20 +189,17 @@ def file_records(lines: DataFrame, must_have: list[str]) -> DataFrame:
     return result.join(counted, "source_file", "left").select("source_file", "has_header", F.coalesce("joined", "records_in_file").alias("records_in_file"))
 
 
-def split_lines(lines: DataFrame, headings: list[str], must_have: list[str]) -> DataFrame:
+def split_lines(lines: DataFrame, headings: list[str], must_have: list[str], facts: DataFrame | None = None) -> DataFrame:
     """One row per data line: source_file and a text column per heading (``c0`` on), blanks as NULL.
 
     A file counts as UTF-8 only if every line is valid; otherwise all of it is read as Latin-1.
     A header is the line that carries the feed's own headings. Quoted fields may hold delimiters and line breaks, also where a
-    file is read in several pieces.
+    file is read in several pieces. ``facts`` are the ``file_facts`` of the lines, where they are at hand.
     """
     as_latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     marked = _placed(lines).withColumn("_header", is_header(must_have))
-    per_file = marked.groupBy("file_path").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("_utf8"),
-        # A file has one header, so the set is as good as a value, and it needs no sort of the lines.
-        F.array_min(F.collect_set(F.when(F.col("_header"), as_latin))).alias("_head"),
-        _may_open().alias("_torn"),
+    per_file = (file_facts(lines, must_have) if facts is None else facts).groupBy("file_path").agg(
+        F.bool_and("_utf8").alias("_utf8"), F.min("_head").alias("_head"), F.max("_torn").alias("_torn")
     ).filter(F.col("_head").isNotNull())
     sep = _separator(F.col("_head"))
     per_file = (
@@ -228,10 +239,10 @@ def _typed(cells: DataFrame, headings: list[str], numbers: list[str]) -> tuple[D
     return parsed, {h: F.col(f"c{i}") for i, h in enumerate(headings)}
 
 
-def usage_rows(lines: DataFrame, strict_month: bool = False) -> DataFrame:
+def usage_rows(lines: DataFrame, strict_month: bool = False, facts: DataFrame | None = None) -> DataFrame:
     """Typed usage rows from raw lines."""
     numbers = ["Total Rows", "Usage", "Total Amount", "Bill Month", "Actual Usage", "Call/Session Count", "SP Account No"]
-    cells, at = _typed(split_lines(lines, USAGE_HEADINGS, USAGE_MUST), USAGE_HEADINGS, numbers)
+    cells, at = _typed(split_lines(lines, USAGE_HEADINGS, USAGE_MUST, facts), USAGE_HEADINGS, numbers)
     text = lambda h: F.trim(at[h])
     whole = lambda h: at[h].cast("long")
     money = lambda h: at[h].cast("decimal(18,2)")
@@ -246,10 +257,10 @@ def usage_rows(lines: DataFrame, strict_month: bool = False) -> DataFrame:
     )
 
 
-def fee_rows(lines: DataFrame) -> DataFrame:
+def fee_rows(lines: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Typed fee rows from raw lines, the left-out line of business included. Texts keep their blanks."""
     numbers = ["Company Number", "Settling Period", "Prorated Days"]
-    cells, at = _typed(split_lines(lines, FEE_HEADINGS, FEE_MUST), FEE_HEADINGS, numbers)
+    cells, at = _typed(split_lines(lines, FEE_HEADINGS, FEE_MUST, facts), FEE_HEADINGS, numbers)
     whole = lambda h: at[h].cast("long")
     return cells.select(
         any_date(at["Invoice Date"]).cast("timestamp").alias("invoice_date"), at["Company Name"].alias("company_name"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from satbill.sources.files import FEE_MUST, USAGE_MUST, fee_rows, file_records, raw_lines, usage_rows
+from satbill.sources.files import FEE_MUST, USAGE_MUST, fee_rows, file_facts, file_records, raw_lines, usage_rows
 from satbill.sources.loads import file_log_entries, log_load, write_replacing
 from satbill.sources.snapshot import snapshot
 
@@ -23,11 +23,12 @@ def load_batch(lines: DataFrame, table_path: str, log_path: str, batch: str | in
     """
     started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     parse, must_have = PARSERS[kind]
-    kept = snapshot(parse(lines).withColumn("load_date", F.lit(started).cast("timestamp")), f"ingest-{kind}")
+    facts = snapshot(file_facts(lines, must_have), "file-facts")  # parsing and logging both read them
+    kept = snapshot(parse(lines, facts=facts).withColumn("load_date", F.lit(started).cast("timestamp")), f"ingest-{kind}")
     stored = kept if kind == "usage" else kept.filter(~F.coalesce(F.upper(F.trim("service")) == "BROADBAND", F.lit(False)))
     write_replacing(stored, table_path)
     finished = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    log_load(file_log_entries(file_records(lines, must_have), kept, kind, started, finished), log_path, batch)
+    log_load(file_log_entries(file_records(lines, must_have, facts), kept, kind, started, finished), log_path, batch)
 
 
 def stream_ingest(
