@@ -6,8 +6,9 @@ import importlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType, IntegralType
 
 from satbill.plans.bind import Tables, with_tables
 from satbill.plans.derived import DERIVED
@@ -41,18 +42,25 @@ def register(name: str, columns: str, run: Callable[[Tables], DataFrame], sql: s
     REGISTRY[name] = Query(name, pairs, run, sql)
 
 
+def _as_double(value: Column, kind: DataType, digits: int) -> Column:
+    """A double of so many digits. Rounding a double goes through its text; numbers that have no more digits need none of it."""
+    whole = isinstance(kind, IntegralType) or (isinstance(kind, DecimalType) and kind.scale <= digits)
+    return value.cast("double") if whole else F.round(value.cast("double"), digits) + F.lit(0.0)
+
+
 def _shape_spark(df: DataFrame, columns) -> DataFrame:
     """Common result types, so that both engines return the same kinds of values."""
     cast = {
-        "s": lambda c: c.cast("string"),
-        "i": lambda c: c.cast("bigint"),
-        "d": lambda c: F.round(c.cast("double"), 4) + F.lit(0.0),
-        "e": lambda c: F.round(c.cast("double"), 6) + F.lit(0.0),
-        "b": lambda c: c.cast("boolean"),
-        "D": lambda c: F.date_format(c.cast("date"), "yyyy-MM-dd"),
-        "t": lambda c: F.date_format(c.cast("timestamp"), "yyyy-MM-dd HH:mm:ss"),
+        "s": lambda c, kind: c.cast("string"),
+        "i": lambda c, kind: c.cast("bigint"),
+        "d": lambda c, kind: _as_double(c, kind, 4),
+        "e": lambda c, kind: _as_double(c, kind, 6),
+        "b": lambda c, kind: c.cast("boolean"),
+        "D": lambda c, kind: F.date_format(c.cast("date"), "yyyy-MM-dd"),
+        "t": lambda c, kind: F.date_format(c.cast("timestamp"), "yyyy-MM-dd HH:mm:ss"),
     }
-    return df.select(*[cast[t](F.col(n)).alias(n) for n, t in columns])
+    kinds = {field.name: field.dataType for field in df.schema}
+    return df.select(*[cast[t](F.col(n), kinds[n]).alias(n) for n, t in columns])
 
 
 def _shape_sql(name: str, kind: str) -> str:
