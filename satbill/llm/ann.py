@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from satbill.llm.vectors import best, blocks, meet, packed, sound, unpacked
+from satbill.llm.vectors import best, blocks, from_bytes, meet, packed, sound, to_bytes
 from satbill.sources.snapshot import snapshot
 
 SHARD, BLOCK = 4_096, 1_024
@@ -136,7 +136,7 @@ def walk(x: np.ndarray, layers: list[np.ndarray], queries: np.ndarray, beam: int
     return ids
 
 
-INDEX = "dim int, ids binary, node_of binary, cells binary, levels array<binary>"
+INDEX = "dim int, ids binary, node_of binary, nodes int, cells binary, levels array<binary>"
 
 
 def index(vectors: DataFrame) -> DataFrame:
@@ -155,10 +155,10 @@ def index(vectors: DataFrame) -> DataFrame:
             layers, order = build(x)
             place = np.empty(len(x), np.int64)
             place[order] = np.arange(len(x))
-            row = [dim, ids.tobytes(), place[node].tobytes(), np.ascontiguousarray(x[order]).tobytes(), [t.tobytes() for t in layers]]
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
+            row = [dim, ids.tobytes(), place[node].tobytes(), len(x), to_bytes(x[order]), [t.tobytes() for t in layers]]
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["dim", "ids", "node_of", "cells", "levels"]
+                [pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["dim", "ids", "node_of", "nodes", "cells", "levels"]
             )
 
     return snapshot(sound(vectors, nonzero=True).mapInArrow(run, INDEX), "hnsw-index")
@@ -200,28 +200,26 @@ def search(shards: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> D
     smaller vec_id; rows that share a vec_id are one item at the least of their distances. Query rows follow the rules of
     ``index``.
     """
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, q = unpacked(row["dim"], row["q_ids"], row["q_cells"])
-                ids, node = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["node_of"], np.int64)
-                x = np.frombuffer(row["cells"], np.float64).reshape(-1, row["dim"])
-                layers = [np.frombuffer(t, np.int32).reshape(-1, LINKS * (2 if not i else 1)) for i, t in enumerate(row["levels"])]
-                order = np.lexsort((ids, node))  # a node's ids, smallest first
-                first = np.searchsorted(node[order], np.arange(len(x) + 1))
-                for at in range(0, len(q), 256):
-                    some, names = q[at : at + 256], q_ids[at : at + 256]
-                    found = walk(x, layers, some, max(beam, 2 * k))
-                    owner, vec, score = _nearest_ids(x, some, names, found, ids[order], first, k)
-                    yield _found(names[owner], vec, score)
-                    # A beam may hold the nodes of few vec_ids: such queries look at all nodes.
-                    short = np.flatnonzero((np.bincount(owner, minlength=len(some)) < k) & (len(x) > (found >= 0).sum(axis=1)))
-                    for few in np.split(short, range(16, len(short), 16)):
-                        every = np.broadcast_to(np.arange(len(x)), (len(few), len(x)))
-                        owner, vec, score = _nearest_ids(x, some[few], names[few], every, ids[order], first, k)
-                        yield _found(names[few][owner], vec, score)
+    def found(held, row):
+        ids, node = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["node_of"], np.int64)
+        x = from_bytes(row["cells"], row["nodes"], row["dim"])
+        layers = [np.frombuffer(t, np.int32).reshape(-1, LINKS * (2 if not i else 1)) for i, t in enumerate(row["levels"])]
+        order = np.lexsort((ids, node))  # a node's ids, smallest first
+        first = np.searchsorted(node[order], np.arange(len(x) + 1))
+        for q_ids, q, _ in held:
+            for at in range(0, len(q), 256):
+                some, names = q[at : at + 256], q_ids[at : at + 256]
+                near = walk(x, layers, some, max(beam, 2 * k))
+                owner, vec, score = _nearest_ids(x, some, names, near, ids[order], first, k)
+                yield _found(names[owner], vec, score)
+                # A beam may hold the nodes of few vec_ids: such queries look at all nodes.
+                short = np.flatnonzero((np.bincount(owner, minlength=len(some)) < k) & (len(x) > (near >= 0).sum(axis=1)))
+                for few in np.split(short, range(16, len(short), 16)):
+                    every = np.broadcast_to(np.arange(len(x)), (len(few), len(x)))
+                    owner, vec, score = _nearest_ids(x, some[few], names[few], every, ids[order], first, k)
+                    yield _found(names[few][owner], vec, score)
 
     wanted = sound(queries, nonzero=True)
     wanted = snapshot(packed(wanted.repartition(max(1, -(-wanted.count() // BLOCK))), BLOCK), "hnsw-queries")
-    pairs = meet(wanted, shards, wanted.count(), shards.count(), ["ids", "node_of", "cells", "levels"])
-    return best(pairs.mapInArrow(run, "query_id long, vec_id long, score double"), k, lowest=True)
+    found_rows = meet(wanted, shards, ["ids", "node_of", "nodes", "cells", "levels"], found, "query_id long, vec_id long, score double")
+    return best(found_rows, k, lowest=True)

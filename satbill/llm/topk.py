@@ -50,21 +50,31 @@ def _kth(scores: np.ndarray, k: int) -> np.ndarray:
     return -np.partition(-scores, k - 1, axis=1)[:, k - 1]
 
 
-def block_best(q_ids, q, v_ids, v, k: int):
-    """(query id, vector id, score) of each query row's k best in the shard; the shard's ids differ from each other."""
+def block_best(q_ids, q, v_ids, v, k: int, known: np.ndarray | None = None):
+    """(query id, vector id, score) of each query row's k best in the shard; the shard's ids differ from each other.
+
+    ``known`` holds a k-th best score of each query row, in this shard or another; what stays below it is left out, and
+    it is raised in place.
+    """
     levels = [n for n in LEVELS if n <= v.shape[1]]  # none for vectors without components: all survive, at 0
     own = [(statistics(q, n), statistics(v, n)) for n in levels]
     scale = np.linalg.norm(q, axis=1).max(initial=0.0) * np.linalg.norm(v, axis=1).max(initial=0.0)
     slack = 1e-9 * scale + 1e-6
+    known = np.full(len(q), -np.inf) if known is None else known
     out = []
     for at in range(0, len(q), CHUNK):
         some = slice(at, at + CHUNK)
         qs, names = q[some], q_ids[some]
         columns = np.arange(len(v))
         alive = names[:, None] != v_ids[None, :]
-        floor = np.full(len(qs), -np.inf)
+        floor = known[some].copy()
         for a, b in own:
             bound = a[some] @ b[columns].T
+            alive &= bound >= floor[:, None] - slack
+            kept = alive.any(axis=0)
+            columns, alive, bound = columns[kept], alive[:, kept], bound[:, kept]
+            if not len(columns):
+                break
             bound[~alive] = -np.inf
             seeds = np.argpartition(-bound, min(4 * k, bound.shape[1]) - 1, axis=1)[:, : 4 * k]
             pairs = np.repeat(np.arange(len(qs)), seeds.shape[1]), columns[seeds.ravel()]
@@ -80,7 +90,9 @@ def block_best(q_ids, q, v_ids, v, k: int):
             # one product of the rows still in question; only pairs that reach a row's k-th best are ranked
             products = qs @ v[columns].T
             products[~alive] = -np.inf
-            alive &= products >= _kth(products, k)[:, None]
+            floor = np.maximum(floor, _kth(products, k))
+            alive &= products >= floor[:, None]
+        known[some] = floor
         row, column = np.nonzero(alive)
         for first in range(0, len(row), 1 << 16):  # in portions, each cut to its k best per query row
             r, c = row[first : first + (1 << 16)], columns[column[first : first + (1 << 16)]]
@@ -117,21 +129,20 @@ def search(vectors: DataFrame, is_query, k: int) -> DataFrame:
     dimension is the query's; ties go to the smaller vec_id. Rows with a null id, a null vector, or a component that is
     null or not finite take no part. Rows that share a vec_id are one item with the best of their scores. Further columns play no part.
     """
-    def scored(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, q = unpacked(row["dim"], row["q_ids"], row["q_cells"])
-                ids, v = unpacked(row["dim"], row["ids"], row["cells"])
-                for v_ids, cells in _without_repeats(ids, np.floor(256 * v)):
-                    for names, found, scores in block_best(q_ids, np.floor(256 * q), v_ids, cells, k):
-                        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(found), pa.array(scores)], ["query_id", "vec_id", "score"])
+    def scored(held, row):
+        ids, v = unpacked(row["dim"], row["ids"], row["cells"])
+        for v_ids, cells in _without_repeats(ids, np.floor(256 * v)):
+            for q_ids, q, notes in held:
+                if not notes:
+                    notes.update(whole=np.floor(256 * q), known=np.full(len(q), -np.inf))  # carried from shard to shard
+                for names, found, scores in block_best(q_ids, notes["whole"], v_ids, cells, k, notes["known"]):
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(found), pa.array(scores)], ["query_id", "vec_id", "score"])
 
     rows = sound(vectors)
     wanted = rows.where(is_query(rows["vec_id"]))
     shards = snapshot(packed(rows, BLOCK), "topk-shards")
     queries = snapshot(packed(wanted.repartition(max(1, -(-wanted.count() // BLOCK))), BLOCK), "topk-queries")
-    pairs = meet(queries, shards, queries.count(), shards.count(), ["ids", "cells"])
-    return best(pairs.mapInArrow(scored, "query_id long, vec_id long, score long"), k, lowest=False)
+    return best(meet(queries, shards, ["ids", "cells"], scored, "query_id long, vec_id long, score long"), k, lowest=False)
 
 
 ORACLE_SQL = """

@@ -43,13 +43,25 @@ def blocks(batches, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 PACKED = "dim int, ids binary, cells binary"
 
 
+def to_bytes(cells: np.ndarray) -> bytes:
+    """The matrix row by row, in single precision where that keeps every number (not-a-number does not occur)."""
+    with np.errstate(over="ignore"):
+        single = cells.astype(np.float32)
+    return (single if (single == cells).all() else np.ascontiguousarray(cells)).tobytes()
+
+
+def from_bytes(cells: bytes, rows: int, dim: int) -> np.ndarray:
+    size = np.float32 if len(cells) == 4 * rows * dim else np.float64
+    return np.frombuffer(cells, size).reshape(rows, dim).astype(np.float64)
+
+
 def packed(rows: DataFrame, size: int) -> DataFrame:
     """A row per block of vectors."""
 
     def run(batches):
         for dim, ids, cells in blocks(batches, size):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([cells.tobytes()], pa.binary())], ["dim", "ids", "cells"]
+                [pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([to_bytes(cells)], pa.binary())], ["dim", "ids", "cells"]
             )
 
     return rows.mapInArrow(run, PACKED)
@@ -57,21 +69,47 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
 
 def unpacked(dim: int, ids: bytes, cells: bytes) -> tuple[np.ndarray, np.ndarray]:
     keys = np.frombuffer(ids, np.int64)
-    return keys, np.frombuffer(cells, np.float64).reshape(len(keys), dim)
+    return keys, from_bytes(cells, len(keys), dim)
+
 
+HELD = 16 << 20  # bytes of query blocks that a task holds while shards pass by
+SPAN = 4  # shards per task, or more if it holds more query blocks
 
-def meet(queries: DataFrame, shards: DataFrame, n_queries: int, n_shards: int, payload: list[str]) -> DataFrame:
-    """Every block of queries (q_ids, q_cells) beside every shard of its dimension.
 
-    The pairs lie on a grid of blocks by shards: a block goes to the cells of its line, a shard to those of its column, so
-    that the pairs spread over all tasks and each arises once, whatever cells the hashes name.
+def grid(queries: DataFrame, shards: DataFrame) -> tuple[int, int]:
+    """Lines and columns of the grid in ``meet``."""
+    n, size = queries.agg(F.count(F.lit(1)), F.sum(F.octet_length("ids") + F.octet_length("cells"))).first()
+    lines = max(1, min(n, -(-(size or 0) // HELD)))
+    return lines, max(1, -(-shards.count() // max(SPAN, -(-n // lines))))
+
+
+def meet(queries: DataFrame, shards: DataFrame, payload: list[str], score, schema: str) -> DataFrame:
+    """``score(blocks, shard)`` of every shard, a row with ``payload``, and the query blocks of its dimension, (ids, matrix, notes) each.
+
+    Both are dealt over a grid of tasks: a block of queries goes to the tasks of its line, a shard to those of its column. A
+    task holds its line's blocks, about ``HELD`` bytes, and its shards pass by one at a time, so a shard moves once per line and no
+    pair of a block and a shard is ever a row. Nothing is broadcast, however small the written blocks are before they are
+    dealt. The notes, an empty dict at first, are the block's while its task runs.
     """
-    line, column = max(1, n_queries), max(1, n_shards)
-    q = queries.select("dim", F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.pmod(F.xxhash64("ids"), F.lit(line)).alias("line"))
-    q = q.withColumn("column", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(column - 1).cast("long"))))
-    s = shards.select("dim", *payload, F.pmod(F.xxhash64("ids"), F.lit(column)).alias("column"))
-    s = s.withColumn("line", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(line - 1).cast("long"))))
-    return q.join(s, ["line", "column", "dim"]).select("dim", "q_ids", "q_cells", *payload)
+    lines, columns = grid(queries, shards)
+    dealt = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n))  # noqa: E731  equal blocks go apart
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = queries.select("dim", "ids", "cells", F.lit(0).alias("side"), dealt(lines).alias("line")).withColumn("column", every(columns))
+    s = shards.select("dim", *payload, F.lit(1).alias("side"), dealt(columns).alias("column")).withColumn("line", every(lines))
+    cell = (F.col("line") * columns + F.col("column")).cast("int")
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                if row["side"] == 0:
+                    held.setdefault(row["dim"], []).append((*unpacked(row["dim"], row["ids"], row["cells"]), {}))
+                elif row["dim"] in held:
+                    yield from score(held[row["dim"]], row)
+
+    tasks = q.unionByName(s, allowMissingColumns=True).repartitionById(lines * columns, cell).drop("line", "column")
+    return tasks.sortWithinPartitions("side").mapInArrow(run, schema)
 
 
 def best(found: DataFrame, k: int, lowest: bool) -> DataFrame:
